@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phasegrid.llm import chat, exact, fingerprint, langid, mixing, pieces, quality, tokens, toxicity
+from phasegrid.llm import chat, exact, fingerprint, langid, mixing, near, pieces, quality, tokens, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.near_components(table(spark, sf_dir, "documents"), words=3, percent=85)
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources drawn to the square root of their row counts, whole documents."""
     mixed = mixing.mix_sources(table(spark, sf_dir, "documents"), power=0.5, seed=17, with_rates=True)
@@ -57,6 +61,7 @@ QUERIES = {
     "op3_toxicity": op3_toxicity,
     "op4_language_id": op4_language_id,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_near_dedup": op6_near_dedup,
     "op7_mix_sources": op7_mix_sources,
     "op8_chat_format": op8_chat_format,
     "op9_token_counts": op9_token_counts,

@@ -11,14 +11,14 @@ from pyspark.sql import functions as F
 
 #: Words a worker remembers, and the longest one it does.
 REMEMBERED, LONGEST = 500_000, 64
-_known: dict[str, int] = {}
+_known: dict[str | bytes, int] = {}
 
 U = np.uint64
 _A, _B, _C, _D = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9), U(0xD6E8FEB86659FD93)
 
 
-def word_hashes(words: Sequence[str]) -> np.ndarray:
-    """64-bit hashes of words, the same on every machine."""
+def word_hashes(words: Sequence[str] | Sequence[bytes]) -> np.ndarray:
+    """64-bit hashes of words (as UTF-8), the same on every machine."""
     known = _known
     try:
         return np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
@@ -29,7 +29,7 @@ def word_hashes(words: Sequence[str]) -> np.ndarray:
     digest, long = xxhash.xxh3_64_intdigest, []
     for w in set(words):
         if w not in known:
-            known[w] = digest(w.encode("utf-8", "surrogatepass"))
+            known[w] = digest(w if isinstance(w, bytes) else w.encode("utf-8", "surrogatepass"))
             if len(w) > LONGEST:
                 long.append(w)
     out = np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
