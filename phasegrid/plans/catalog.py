@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from phasegrid.plans import event_queries, signal_queries
+from phasegrid.plans import event_queries, relational_queries, signal_queries
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**signal_queries.QUERIES, **event_queries.QUERIES}
-ORACLES: dict[str, str] = {**signal_queries.ORACLES, **event_queries.ORACLES}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**signal_queries.QUERIES, **event_queries.QUERIES, **relational_queries.QUERIES}
+ORACLES: dict[str, str] = {**signal_queries.ORACLES, **event_queries.ORACLES, **relational_queries.ORACLES}
