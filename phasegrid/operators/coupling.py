@@ -17,24 +17,26 @@ from pyspark.sql import types as T
 
 from phasegrid.functions import dsp
 
-Band = tuple[int, int]
+Band = tuple[float, float]
 
 
 def dft_band(x: np.ndarray, band: Band) -> np.ndarray:
     """Analytic signal of the discrete frequencies low..high of each row."""
     spectrum = np.fft.fft(x, axis=1)
     kept = np.zeros_like(spectrum)
-    kept[:, band[0] : band[1] + 1] = 2 * spectrum[:, band[0] : band[1] + 1]
+    low, high = int(band[0]), int(band[1])
+    kept[:, low : high + 1] = 2 * spectrum[:, low : high + 1]
     return np.fft.ifft(kept, axis=1)
 
 
 def _stacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(indices of usable rows, their samples): rows of the first usable length; null, empty and non-finite signals are left out."""
+    """(indices of usable rows, their samples): rows of the first usable length; null, empty, constant and non-finite signals are left out."""
     rows = column.to_pylist()
     length = next((len(r) for r in rows if r), 0)
     use = [k for k, r in enumerate(rows) if r and len(r) == length and None not in r]
     x = np.array([rows[k] for k in use], dtype=np.float64).reshape(len(use), length)
     fine = np.isfinite(x).all(axis=1)
+    fine[fine] = x[fine].std(axis=1) >= 1e-9
     return np.array(use, dtype=np.int64)[fine], x[fine]
 
 
@@ -47,11 +49,12 @@ def by_length(batch: pa.RecordBatch, samples: int) -> Iterator[pa.RecordBatch]:
 
 def phase_amplitude_sums(
     signals: DataFrame, keys: Sequence[str], bands: Sequence[tuple[str, Band, Band]], samples: str = "samples", block: int | None = None, bins: int = dsp.BINS,
+    sfreq: float | None = None,
 ) -> DataFrame:
     """``*keys, leg, half, bin, amp_sum, n``: each signal's amplitude sums and counts by phase bin and half, for each leg (name, phase band, amplitude band).
 
     ``block``: samples of the interleaved blocks whose parity is the half; all is half 0 without it.
-    Each band's analytic signal is made once, however many legs use it.
+    Bands are discrete frequencies, or Hz where the rate ``sfreq`` is given. Each band's analytic signal is made once, however many legs use it.
     """
     distinct = sorted({b for _, p, a in bands for b in (p, a)})
     names = list(keys)
@@ -63,7 +66,8 @@ def phase_amplitude_sums(
                 if not len(use):
                     continue
                 n = x.shape[1]
-                analytic = {b: dft_band(x, b) for b in distinct}
+                per_hz = n / sfreq if sfreq else 1
+                analytic = {b: dft_band(x, (max(1, round(b[0] * per_hz)), round(b[1] * per_hz))) for b in distinct}
                 half = (np.arange(n) // block) % 2 if block else np.zeros(n, dtype=np.int64)
                 halves = 2 if block else 1
                 cells = halves * bins

@@ -40,10 +40,6 @@ def map_signals(df: DataFrame, keys: Sequence[str], samples: str, out: str, kern
                 use, x = _stacked(part.column(len(names)))
                 if not len(use) or x.shape[1] < least:
                     continue
-                fine = x.std(axis=1) >= 1e-9
-                use, x = use[fine], x[fine]
-                if not len(use):
-                    continue
                 own = list(zip(*(part.column(k).take(pa.array(use)).to_pylist() for k in range(len(names))), strict=True))
                 rows = [(*own[k], *values) for k, *values in kernel(own, x)]
                 if rows:
