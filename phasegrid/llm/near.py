@@ -10,7 +10,10 @@ Texts with equal sets are one node from the start. A key's nodes are not paired
 with each other: each is compared with a pivot, pairs that are confirmed merge
 components, and only keys that still hold several components go another round,
 with more pivots and without those that have met everyone. What is left
-undone is exactly pairs inside a component. No group is ever gathered in a task.
+undone is exactly pairs inside a component. Keys of a crowd that does not merge,
+such as copies of one text that are each edited a little too much, would need too
+many pivots; they are resolved exactly by comparing what sets differ in from what
+most of the crowd has. No group is ever gathered in a task.
 """
 
 from __future__ import annotations
@@ -30,6 +33,8 @@ from phasegrid.llm.words import mix, ngram_hashes, word_hashes
 CHUNKS, LANES = 10, 4
 #: The largest distance for which the keys find all pairs, and the accepted chance of a larger one between texts just similar enough.
 MOST_DIFFERENT, CHANCE = 2 * CHUNKS - 1, 5e-5
+#: A key that more nodes than this still meet under after the first round is resolved with ``across_crowds``.
+CROWD = 64
 #: Pivots under a key in the second round, and how many times as many in each round after.
 FIRST_PIVOTS, MORE_PIVOTS = 2, 4
 #: Words of a shingle and the least similarity in percent, where a contract says nothing else.
@@ -149,6 +154,54 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def across_crowds(members: DataFrame, labels: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Similar pairs ``v, p``, as many as components need, among nodes that meet under the keys of ``members`` (key, v).
+
+    Crowds are keys connected by nodes. A crowd's centre is what more than half of
+    its sets hold, and a node's delta is the symmetric difference of its set and
+    the centre. Sets x, y are similar if and only if S(x) + S(y) <= 2 (100 +
+    percent) * |common part of the deltas|, where S = (100 + percent) * |delta| -
+    (100 - percent) * |set|. So where S(x) + S(y) <= 0 both are similar to the node
+    of least S, and a star to it stands for all such pairs. Any other pair shares
+    an element of its deltas early enough that the ones behind it can still make up
+    the common part: elements are put in order, rarest first, those of one delta
+    left out, and pairs meet under an element only where their places allow it.
+    """
+    up, down = 100 + percent, 100 - percent
+    firsts = members.groupBy("key").agg(F.min("v").alias("p"))
+    crowds = components(materialise(members.join(firsts, "key").select("v", "p").distinct(), "stars"))
+    crowds = materialise(crowds.select("v", F.col("c").alias("crowd")).join(labels, "v", "left").select("v", "crowd", F.coalesce("c", "v").alias("c")), "crowds")
+    among = BitFilter.of_keys(crowds, [F.col("v")], crowds.count()).may_hold(F.col("doc_id"))
+    sets = materialise(sets_of(docs.where(among), words).withColumnRenamed("doc_id", "v").join(crowds, "v"), "sets")
+    size = sets.groupBy("crowd").agg(F.count("*").alias("size"))
+    held = sets.select("crowd", F.explode("shingles").alias("h")).groupBy("crowd", "h").agg(F.count("*").alias("f"))
+    centre = materialise(held.where(f"f > {CROWD // 4}").join(size, "crowd").where("2 * f > size").groupBy("crowd").agg(F.collect_list("h").alias("centre")), "centre")
+    with_centre = sets.join(centre, "crowd", "left").withColumn("centre", F.coalesce("centre", F.array().cast("array<bigint>")))
+    delta = F.concat(F.array_except("shingles", "centre"), F.array_except("centre", "shingles"))
+    score = (up * F.size("delta") - down * F.size("shingles")).cast("long")
+    deltas = materialise(with_centre.withColumn("delta", delta).select("crowd", "v", "c", "delta", score.alias("s")), "deltas")
+
+    # all pairs that need no common part: a star to the least score of the crowd
+    least = materialise(deltas.groupBy("crowd").agg(F.min(F.struct("s", "v")).alias("m")).select("crowd", F.col("m.s").alias("low"), F.col("m.v").alias("p")), "least")
+    near = materialise(deltas.join(least, "crowd").where("v != p and s + low <= 0").select("v", "p"), "near")
+    same = materialise(deltas.select("v", F.col("c").alias("p")).where("v != p").union(near), "same")
+    grouped = materialise(deltas.drop("c").join(components(same), "v", "left").withColumn("c", F.coalesce("c", "v")), "grouped")
+
+    # the others, by the elements that they may have in common
+    elements = grouped.select("crowd", "v", F.explode("delta").alias("h"))
+    often = materialise(elements.groupBy("crowd", "h").agg(F.count("*").alias("g")).where("g > 1"), "often")
+    ordered = materialise(elements.join(often, ["crowd", "h"]).groupBy("v").agg(F.sort_array(F.collect_list(F.struct("g", "h"))).alias("in_order")), "ordered")
+    placed = grouped.select("crowd", "v", "c", "s").join(ordered, "v").join(least.select("crowd", "low"), "crowd")
+    placed = placed.select("crowd", "v", "c", "s", "low", F.size("in_order").alias("many"), F.posexplode("in_order").alias("at", "e"))
+    # elements from here on, this one too, have to do for the partner that asks least
+    placed = materialise(placed.withColumn("left", F.col("many") - F.col("at")).where(f"{2 * up} * left >= s + low").select("crowd", F.col("e.h").alias("h"), "v", "c", "s", "left"), "placed")
+    x, y = placed.alias("x"), placed.alias("y")
+    reach = F.least("x.left", "y.left") * (2 * up) >= F.col("x.s") + F.col("y.s")
+    on = (F.col("x.crowd") == F.col("y.crowd")) & (F.col("x.h") == F.col("y.h")) & (F.col("x.v") < F.col("y.v")) & (F.col("x.c") != F.col("y.c")) & reach
+    pairs = materialise(x.join(y, on).select(F.col("x.v").alias("v"), F.col("y.v").alias("p")).distinct(), "pairs")
+    return near.union(confirmed(pairs, nodes, docs, words, percent))
+
+
 def linked(nodes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """``v, c``: components of all similar nodes; a node without a partner may be missing."""
     keys = nodes.select("v", F.explode(masked_keys()).alias("key"))
@@ -156,16 +209,22 @@ def linked(nodes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataF
     shared = materialise(keys.groupBy("key").agg(F.min("v").alias("p"), F.max("v").alias("q")).where("p < q").select("key", "p"), "shared")
     meeting = materialise(keys.join(shared, "key").where("v != p"), "meeting")
     fresh = materialise(meeting.select("v", "p").distinct(), "pairs")
-    tested, active, pivots = fresh, meeting.select("key", "v"), FIRST_PIVOTS
+    tested, active, pivots, first = fresh, meeting.select("key", "v"), FIRST_PIVOTS, True
     found = materialise(confirmed(fresh, nodes, docs, words, percent), "found")
     labels = components(found)
     while True:
         # members that have met all others under their key are out; keys of one component are done
         named = materialise(active.join(labels, "v", "left").select("key", "v", F.coalesce("c", "v").alias("c")), "named")
-        open_keys = materialise(named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key"), "open")
+        open_keys = materialise(named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("key", "n"), "open")
         if open_keys.isEmpty():
             return labels
         named = materialise(named.join(open_keys, "key"), "active")
+        if first:
+            first, crowded = False, materialise(named.where(f"n > {CROWD}").select("key", "v"), "crowded")
+            if not crowded.isEmpty():
+                found = materialise(found.union(across_crowds(crowded, labels, nodes, docs, words, percent)).distinct(), "found")
+                labels, active = components(found), named.where(f"n <= {CROWD}").select("key", "v")
+                continue
         # from each part of a key's nodes the first of the first and the last of the last component: one isn't of the largest
         ends = named.groupBy("key", F.pmod(F.xxhash64("v", F.lit(pivots)), F.lit(pivots)).alias("part")).agg(F.min(F.struct("c", "v")).alias("lo"), F.max(F.struct("c", "v")).alias("hi"))
         chosen = materialise(ends.select("key", F.explode(F.array("lo", "hi")).alias("at")).select("key", F.col("at.v").alias("p"), F.col("at.c").alias("pc")).distinct(), "pivots")

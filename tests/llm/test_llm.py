@@ -131,6 +131,19 @@ def test_near_components(spark, words, percent):
     assert rows_of(got, "doc_id", "n_shingles", "component_id", "kept") == sorted(brute_near(rows, words, percent), key=repr)
 
 
+@pytest.mark.parametrize(("crowd", "words", "percent"), [(2, 3, 85), (8, 5, 80)])
+def test_crowds_that_do_not_merge(spark, monkeypatch, crowd, words, percent):
+    """Copies edited around the threshold, and texts that share one long passage."""
+    monkeypatch.setattr(near, "CROWD", crowd)
+    r = random.Random(crowd)
+    rows = [edited(prose(100 + b, 120), r, r.randrange(8)) for b in range(3) for _ in range(40)]
+    rows += [prose(999, 60) + " " + prose(2000 + k, r.randrange(5, 60)) for k in range(40)]
+    r.shuffle(rows)
+    rows = list(enumerate(rows))
+    got = near.near_components(spark.createDataFrame(rows, "doc_id long, text string"), words, percent)
+    assert rows_of(got, "doc_id", "n_shingles", "component_id", "kept") == sorted(brute_near(rows, words, percent), key=repr)
+
+
 def test_near_dedup_odd_rows(odd, none):
     got = near.near_dedup(odd)
     assert got.columns == odd.columns
