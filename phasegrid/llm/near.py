@@ -174,12 +174,14 @@ def across_crowds(members: DataFrame, labels: DataFrame, nodes: DataFrame, docs:
     among = BitFilter.of_keys(crowds, [F.col("v")], crowds.count()).may_hold(F.col("doc_id"))
     sets = materialise(sets_of(docs.where(among), words).withColumnRenamed("doc_id", "v").join(crowds, "v"), "sets")
     size = sets.groupBy("crowd").agg(F.count("*").alias("size"))
-    held = sets.select("crowd", F.explode("shingles").alias("h")).groupBy("crowd", "h").agg(F.count("*").alias("f"))
-    centre = materialise(held.where(f"f > {CROWD // 4}").join(size, "crowd").where("2 * f > size").groupBy("crowd").agg(F.collect_list("h").alias("centre")), "centre")
-    with_centre = sets.join(centre, "crowd", "left").withColumn("centre", F.coalesce("centre", F.array().cast("array<bigint>")))
-    delta = F.concat(F.array_except("shingles", "centre"), F.array_except("centre", "shingles"))
-    score = (up * F.size("delta") - down * F.size("shingles")).cast("long")
-    deltas = materialise(with_centre.withColumn("delta", delta).select("crowd", "v", "c", "delta", score.alias("s")), "deltas")
+    held = sets.select("crowd", F.explode("shingles").alias("h")).groupBy("crowd", "h").agg(F.count("*").alias("f")).where("f > 1")
+    held = materialise(held.join(size, "crowd"), "held")
+    # the centre's elements with the number of nodes that lack them, rarest first
+    centre = held.where("2 * f > size").groupBy("crowd").agg(F.sort_array(F.collect_list(F.struct((F.col("size") - F.col("f")).alias("g"), "h"))).alias("centre"))
+    with_centre = sets.join(materialise(centre, "centre"), "crowd", "left").withColumn("centre", F.coalesce("centre", F.array().cast("array<struct<g:bigint,h:bigint>>")))
+    lacking = F.expr("filter(centre, e -> not array_contains(shingles, e.h))")
+    score = up * (F.size("shingles") - F.size("centre") + 2 * F.size("lacking")) - down * F.size("shingles")
+    deltas = materialise(with_centre.withColumn("lacking", lacking).select("crowd", "v", "c", F.expr("filter(lacking, e -> e.g > 1)").alias("lacking"), score.cast("long").alias("s")), "deltas")
 
     # all pairs that need no common part: a star to the least score of the crowd
     least = materialise(deltas.groupBy("crowd").agg(F.min(F.struct("s", "v")).alias("m")).select("crowd", F.col("m.s").alias("low"), F.col("m.v").alias("p")), "least")
@@ -188,13 +190,14 @@ def across_crowds(members: DataFrame, labels: DataFrame, nodes: DataFrame, docs:
     grouped = materialise(deltas.drop("c").join(components(same), "v", "left").withColumn("c", F.coalesce("c", "v")), "grouped")
 
     # the others, by the elements that they may have in common
-    elements = grouped.select("crowd", "v", F.explode("delta").alias("h"))
-    often = materialise(elements.groupBy("crowd", "h").agg(F.count("*").alias("g")).where("g > 1"), "often")
-    ordered = materialise(elements.join(often, ["crowd", "h"]).groupBy("v").agg(F.sort_array(F.collect_list(F.struct("g", "h"))).alias("in_order")), "ordered")
-    placed = grouped.select("crowd", "v", "c", "s").join(ordered, "v").join(least.select("crowd", "low"), "crowd")
-    placed = placed.select("crowd", "v", "c", "s", "low", F.size("in_order").alias("many"), F.posexplode("in_order").alias("at", "e"))
-    # elements from here on, this one too, have to do for the partner that asks least
-    placed = materialise(placed.withColumn("left", F.col("many") - F.col("at")).where(f"{2 * up} * left >= s + low").select("crowd", F.col("e.h").alias("h"), "v", "c", "s", "left"), "placed")
+    extra = held.where("2 * f <= size").select("crowd", "h", F.col("f").alias("g"))
+    added = sets.select("crowd", "v", F.explode("shingles").alias("h")).join(extra, ["crowd", "h"]).groupBy("v").agg(F.collect_list(F.struct("g", "h")).alias("added"))
+    in_order = F.sort_array(F.concat("lacking", F.coalesce("added", F.array().cast("array<struct<g:bigint,h:bigint>>"))))
+    ordered = grouped.join(materialise(added, "added"), "v", "left").join(least.select("crowd", "low"), "crowd").withColumn("in_order", in_order).withColumn("many", F.size("in_order"))
+    # from a place on the elements, that one too, have to do for the partner that asks least
+    prefix = F.greatest(F.lit(0), F.least(F.col("many"), F.col("many") - F.ceil((F.col("s") + F.col("low")) / (2 * up)) + 1)).cast("int")
+    placed = ordered.select("crowd", "v", "c", "s", "many", F.posexplode(F.slice("in_order", F.lit(1), prefix)).alias("at", "e"))
+    placed = materialise(placed.select("crowd", F.col("e.h").alias("h"), "v", "c", "s", (F.col("many") - F.col("at")).alias("left")), "placed")
     x, y = placed.alias("x"), placed.alias("y")
     reach = F.least("x.left", "y.left") * (2 * up) >= F.col("x.s") + F.col("y.s")
     on = (F.col("x.crowd") == F.col("y.crowd")) & (F.col("x.h") == F.col("y.h")) & (F.col("x.v") < F.col("y.v")) & (F.col("x.c") != F.col("y.c")) & reach
