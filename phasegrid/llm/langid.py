@@ -20,6 +20,7 @@ from itertools import chain
 
 import ahocorasick
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
@@ -34,8 +35,8 @@ WORD = re.compile(r"[^\W\d_]+")
 MOST_TEXTS, ROUNDS, SMOOTHING = 4_000, 3, 0.05
 #: Probability of a character that no piece covers, times the pieces' rest; scale of a character, against underflow; longest stretch scored as one.
 UNCOVERED, SCALE, STRETCH = 1e-6, 8.0, 40
-#: Words a worker remembers.
-REMEMBERED = 400_000
+#: Words a worker remembers, and how many are worked on together.
+REMEMBERED, TOGETHER = 400_000, 5_000
 UNDETERMINED = "und"
 
 
@@ -80,7 +81,7 @@ class Lattice:
         word, begin = np.concatenate([word, each]), np.concatenate([end - length, place])
         end, piece = np.concatenate([end, place + 1]), np.concatenate([piece, np.full(len(each), vocabulary.size - 1)])
         order = np.lexsort((word, end))
-        return cls(sizes, word[order], begin[order], end[order], piece[order])
+        return cls(sizes, *(a[order].astype(np.int32) for a in (word, begin, end, piece)))
 
     def forward(self, weight: np.ndarray) -> np.ndarray:
         """alpha[word, place, language], from the scaled weight of each edge and language."""
@@ -133,7 +134,7 @@ def fit(counts: dict[str, dict[str, int]], vocabulary: Vocabulary, rounds: int =
     languages = sorted(counts)
     words = sorted({w for of in counts.values() for w in of})
     n = np.array([[counts[x].get(w, 0) for x in languages] for w in words], dtype=np.float64).reshape(len(words), len(languages))
-    lattices = [(slice(k, k + 20_000), Lattice.of(words[k : k + 20_000], vocabulary)) for k in range(0, len(words), 20_000)]
+    lattices = [(slice(k, k + TOGETHER), Lattice.of(words[k : k + TOGETHER], vocabulary)) for k in range(0, len(words), TOGETHER)]
     p = np.full((vocabulary.size, len(languages)), 1.0 / vocabulary.size)
     p[-1] = UNCOVERED
     for _ in range(rounds):
@@ -168,8 +169,8 @@ class Scorer:
         if len(self.index) > REMEMBERED:
             self._forget()
         fresh = sorted({w for of in words for w in of if w not in self.index})
-        for k in range(0, len(fresh), 5_000):
-            part = fresh[k : k + 5_000]
+        for k in range(0, len(fresh), TOGETHER):
+            part = fresh[k : k + TOGETHER]
             self.index.update(zip(part, range(len(self.rows), len(self.rows) + len(part)), strict=True))
             self.rows = np.concatenate([self.rows, Lattice.of(part, self.vocabulary).log_probabilities(self.model.probabilities)])
         counts = np.array([len(of) for of in words])
@@ -208,7 +209,8 @@ def train(docs: DataFrame, path: str, parts: int = 4, part: int = 2, most: int =
     """Fit on at most ``most`` texts with a language, outside the held-out part.
 
     The ids with the smallest hashes are taken. Their words are counted by Spark;
-    at most a bounded sample's distinct words reach the driver.
+    the distributions are fitted to the bounded sample's counts in one task, and
+    only they reach the driver.
     """
     chosen = docs.where(F.col("lang").isNotNull() & (fold("doc_id", parts) != part)).select("doc_id", F.xxhash64("doc_id").alias("rank")).orderBy("rank", "doc_id").limit(most).select("doc_id").distinct()
 
@@ -222,11 +224,17 @@ def train(docs: DataFrame, path: str, parts: int = 4, part: int = 2, most: int =
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(words, pa.string())], ["lang", "word"])
 
     sample = docs.where("lang is not null").select("doc_id", "lang", "text").join(F.broadcast(chosen), "doc_id")
-    counted = sample.select("lang", "text").mapInArrow(count, "lang string, word string").groupBy("lang", "word").agg(F.count("*").alias("n")).toArrow()
-    counts: dict[str, dict[str, int]] = {}
-    for lang, word, n in zip(*(counted[c].to_pylist() for c in ("lang", "word", "n")), strict=True):
-        counts.setdefault(lang, {})[word] = n
-    return fit(counts, Vocabulary(path)) if counts else Model([], np.zeros((1, 0)))
+    counted = sample.select("lang", "text").mapInArrow(count, "lang string, word string").groupBy("lang", "word").agg(F.count("*").alias("n"))
+
+    def fitted(rows: pd.DataFrame) -> pd.DataFrame:
+        counts: dict[str, dict[str, int]] = {}
+        for lang, word, n in zip(rows["lang"], rows["word"], rows["n"], strict=True):
+            counts.setdefault(lang, {})[word] = n
+        model = fit(counts, Vocabulary(path))
+        return pd.DataFrame({"languages": [model.languages], "probabilities": [model.probabilities.tobytes()]})
+
+    got = counted.groupBy(F.lit(0).alias("all")).applyInPandas(fitted, "languages array<string>, probabilities binary").first()
+    return Model(list(got.languages), np.frombuffer(got.probabilities).reshape(-1, len(got.languages))) if got else Model([], np.zeros((1, 0)))
 
 
 def predict(docs: DataFrame, model: Model, path: str) -> DataFrame:
