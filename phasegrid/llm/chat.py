@@ -50,7 +50,8 @@ def render_conversations(turns: DataFrame) -> DataFrame:
 
     Returns ``conv_id, n_turns, copies, rendered``; a turn is
     ``<|im_start|>role\\ntext<|im_end|>\\n``. Long and empty texts are kept whole;
-    an empty table gives an empty result; columns other than ``conv_id, turn,
+    an empty table gives an empty result. A conversation comes out as one value, so
+    its turns, and only they, meet in one task. Columns other than ``conv_id, turn,
     role, text`` are ignored.
     """
     hashed = prefix_hashes(turns)
