@@ -32,11 +32,11 @@ from phasegrid.llm.words import fold, held_out
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Texts that the distributions are fitted on at most; rounds of expectation maximisation; added to each expected count.
-MOST_TEXTS, ROUNDS, SMOOTHING = 4_000, 3, 0.05
+MOST_TEXTS, ROUNDS, SMOOTHING = 2_000, 3, 0.05
 #: Probability of a character that no piece covers, times the pieces' rest; scale of a character, against underflow; longest stretch scored as one.
 UNCOVERED, SCALE, STRETCH = 1e-6, 8.0, 40
 #: Words a worker remembers, and how many are worked on together.
-REMEMBERED, TOGETHER = 400_000, 5_000
+REMEMBERED, TOGETHER = 150_000, 5_000
 UNDETERMINED = "und"
 
 

@@ -30,7 +30,7 @@ OFF = -1e8
 #: What an uncovered character scores below the least piece.
 PENALTY = 10.0
 #: Stretches a worker remembers, and the longest one it does.
-REMEMBERED, LONGEST = 400_000, 64
+REMEMBERED, LONGEST = 200_000, 64
 
 
 class Pieces:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Words a worker remembers, and the longest one it does.
-REMEMBERED, LONGEST = 500_000, 64
+REMEMBERED, LONGEST = 150_000, 64
 _known: dict[str | bytes, int] = {}
 
 U = np.uint64
