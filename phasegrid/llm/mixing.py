@@ -3,7 +3,8 @@
 Every document draws its number of copies from a Poisson distribution whose mean
 is its source's target repetition rate. The draw inverts the distribution at a
 uniform number hashed from seed and document, so it needs no random state and
-comes out the same on any retry or partitioning. Copies are then dealt out and
+comes out the same on any retry or partitioning. A large mean is split into equal
+parts with draws of their own, whose sum has the distribution of the whole. Copies are then dealt out and
 sorted by a hash, which is a global shuffle without sampling the input.
 """
 
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from phasegrid.llm.store import materialise
 
-#: Largest mean rate: with it exp(-rate) is well above zero and the inversion has a fixed number of steps.
+#: Largest mean of one draw: with it exp(-rate) is well above zero and the inversion has a fixed number of steps.
 MAX_RATE, STEPS = 64.0, 160
 BROADCAST_SOURCES = 100_000
 
@@ -38,6 +39,17 @@ def poisson_quantile(u: Column, rate: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), start, step, lambda s: s["k"])
 
 
+def poisson_copies(seed: int, key: list[Column], rate: Column) -> Column:
+    """A draw from Poisson(rate) for any rate: the sum of draws from its equal parts of ``MAX_RATE`` at most.
+
+    The first part is hashed from seed and key alone, each other one from its number as well.
+    """
+    parts = F.greatest(F.lit(1), F.ceil(rate / MAX_RATE).cast("int"))
+    each = rate / parts
+    rest = F.aggregate(F.sequence(F.lit(2), parts), F.lit(0), lambda n, i: n + poisson_quantile(uniform(seed, *key, i), each))
+    return poisson_quantile(uniform(seed, *key), each) + F.when(parts > 1, rest).otherwise(0)
+
+
 def mix_sources(
     docs: DataFrame, weights: dict[str, float] | None = None, power: float = 0.5, total: float | None = None, seed: int = 17,
     id_col: str = "doc_id", source_col: str = "source", with_rates: bool = False,
@@ -47,7 +59,7 @@ def mix_sources(
     ``weights``: target share by source (any positive scale; a source that is not
     named gets none). Without them a source's weight is its row count to ``power``.
     ``total``: expected number of rows out, the input's by default. A source of n
-    rows gets the rate total * share / n, at most ``MAX_RATE``.
+    rows gets the rate total * share / n, however large it is.
 
     All columns of ``docs`` are kept; with ``with_rates`` also ``mix_rate,
     copy_index, shuffle_key``, which replace columns so named. A null source is
@@ -69,14 +81,14 @@ def mix_sources(
     sizes = materialise(sizes, "sources")
     sources, all_weight, all_rows = sizes.agg(F.count("*"), F.sum("__w"), F.sum("__n")).first()
     wanted = float(total if total is not None else all_rows or 0)
-    rate = F.least(F.lit(MAX_RATE), F.try_divide(F.lit(wanted) * F.col("__w"), F.lit(float(all_weight or 0)) * F.col("__n")))
+    rate = F.try_divide(F.lit(wanted) * F.col("__w"), F.lit(float(all_weight or 0)) * F.col("__n"))
     rates = sizes.select("__source", F.coalesce(rate, F.lit(0.0)).alias("__rate"))
     if sources <= BROADCAST_SOURCES:
         rates = F.broadcast(rates)
 
     columns = [F.col(f"`{c}`") for c in docs.columns if not (with_rates and c in ("mix_rate", "copy_index", "shuffle_key"))]
     drawn = docs.withColumn("__source", source).join(rates, "__source")
-    drawn = drawn.withColumn("__copies", poisson_quantile(uniform(seed, F.col(id_col), F.col("__source")), F.col("__rate")))
+    drawn = drawn.withColumn("__copies", poisson_copies(seed, [F.col(id_col), F.col("__source")], F.col("__rate")))
     spread = drawn.where("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
     spread = spread.withColumn("__key", F.md5(F.concat_ws("|", F.lit(str(seed + 1)), F.col(id_col).cast("string"), F.col("__source"), F.col("__copy").cast("string"))))
     out = spread.repartition("__key").sortWithinPartitions("__key")

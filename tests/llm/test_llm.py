@@ -197,6 +197,27 @@ def test_poisson_quantile(spark):
     assert got == sorted(got) and abs(np.mean(got) - 2.5) < 0.01 and abs(np.var(got) - 2.5) < 0.05
 
 
+def test_mixing_repeats_a_rare_source_beyond_one_draw(spark):
+    df = spark.range(4000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 20, "rare").otherwise("big").alias("source"))
+    got = mixing.mix_sources(df, weights={"rare": 1.0, "big": 1.0}, with_rates=True)
+    count = {r.source: (r.n, r.rate) for r in got.groupBy("source").agg(F.count("*").alias("n"), F.max("mix_rate").alias("rate")).collect()}
+    assert count["rare"][1] == 100.0
+    # Poisson sums of mean 2,000: five standard deviations
+    assert all(abs(n - 2000) < 5 * 2000**0.5 for n, _ in count.values())
+    copies = got.where("source = 'rare'").groupBy("doc_id").agg(F.count("*").alias("n"), F.max("copy_index").alias("last"), F.countDistinct("shuffle_key").alias("keys")).collect()
+    assert len(copies) == 20 and all(r.n == r.last == r.keys for r in copies)
+
+
+def test_draws_of_large_means_are_poisson(spark):
+    df = spark.range(20000).select(mixing.poisson_copies(3, [F.col("id")], F.lit(300.0)).alias("k"))
+    mean, var = df.agg(F.avg("k"), F.var_samp("k")).first()
+    assert abs(mean - 300) < 5 * (300 / 20000) ** 0.5
+    assert abs(var - 300) < 5 * 300 * (2 / 20000) ** 0.5
+    small = spark.range(500).withColumn("rate", F.col("id") / 8)
+    same = mixing.poisson_copies(3, [F.col("id")], F.col("rate")) == mixing.poisson_quantile(mixing.uniform(3, F.col("id")), F.col("rate"))
+    assert small.where(same).count() == 500
+
+
 def test_mixing_odd_rows(odd, none):
     got = mixing.mix_sources(odd.withColumn("source", F.when(F.col("doc_id") > 5, F.col("source"))))
     assert got.columns == odd.columns and got.count() > 0
