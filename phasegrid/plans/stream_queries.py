@@ -30,7 +30,7 @@ def stream_sliding(spark, d):
 
 def stream_sessions(spark, d):
     """Runs of a user's events without a gap of two hours."""
-    got = blocks.drained(blocks.sessions(blocks.read_blocks(spark, f"{d}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp")), "ts", "2 hours", ["user_id"]), "complete", "sessions")
+    got = blocks.drained(blocks.sessions(blocks.read_blocks(spark, f"{d}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp")), "ts", "2 hours", ["user_id"], late=None), "complete", "sessions")
     return got.select("user_id", F.date_format("session_window.start", "yyyy-MM-dd HH:mm:ss").alias("begin"), "n", F.round("total", 6).alias("total"))
 
 

@@ -1,7 +1,10 @@
 """Streams of blocks and events. Accumulators add up, so a stream's result is that of the batch.
 
-Late data: an event later than ``LATE`` behind the newest one seen is dropped
-from windows; batch tables replayed in one trigger lose none.
+Late data: with a delay ``late``, an event farther than it behind the newest one of
+the triggers before is dropped from sessions in every mode, and from windows unless
+the mode is complete; state then has a bound. Without one (None) nothing is dropped
+and all sessions are kept, which needs the complete mode: so are tables replayed,
+whose files may be in any order of time.
 """
 
 from __future__ import annotations
@@ -58,8 +61,9 @@ def epochs(events: DataFrame, ts: str, width: str, slide: str | None = None, by:
     return seen.groupBy(F.window(ts, width, slide) if slide else F.window(ts, width), *by).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
 
-def sessions(events: DataFrame, ts: str, gap: str, by: Sequence[str], late: str = LATE) -> DataFrame:
-    seen = events.withWatermark(ts, late)
+def sessions(events: DataFrame, ts: str, gap: str, by: Sequence[str], late: str | None = LATE) -> DataFrame:
+    """Counts and sums of ``value`` in runs without a gap."""
+    seen = events if late is None else events.withWatermark(ts, late)
     return seen.groupBy(*by, F.session_window(ts, gap)).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from phasegrid.operators import coupling, kernels
 from phasegrid.operators import events as ev
-from phasegrid.plans import pipelines
+from phasegrid.plans import event_queries, pipelines, stream_queries
 from phasegrid.streaming import blocks
 
 FS = 200.0
@@ -132,6 +132,18 @@ def test_stream_of_runs_equals_batch(spark, tmp_path):
     assert sorted(map(tuple, spark.read.schema(stream.schema).parquet(out).collect())) == batch
 
 
+@pytest.mark.parametrize("stream, batch", [("stream_sessions", "session_runs"), ("stream_epochs", "tumbling_epochs"), ("stream_sliding", "sliding_epochs")])
+def test_streams_of_many_files_in_random_order_equal_batch(spark, tmp_path, stream, batch):
+    r = np.random.default_rng(5)
+    (tmp_path / "events.parquet").mkdir()
+    start = np.datetime64("2024-01-01", "us")
+    for k in range(12):
+        at = start + r.integers(0, 30 * 86400, 200).astype("timedelta64[s]")
+        pd.DataFrame({"event_id": np.arange(200) + 200 * k, "user_id": r.integers(0, 15, 200), "event_type": "view", "ts": at, "value": r.integers(0, 9, 200).astype(float)}).to_parquet(tmp_path / f"events.parquet/{k:02}.parquet")
+    got, want = (sorted(map(tuple, q(spark, str(tmp_path)).collect())) for q in (stream_queries.QUERIES[stream], event_queries.QUERIES[batch]))
+    assert got == want
+
+
 def test_accumulators_add_up(signals):
     legs = [("l", (1, 40), (400, 640))]
     whole = coupling.phase_amplitude_sums(signals, ["subject"], legs, block=1000).groupBy("half", "bin").agg(F.sum("amp_sum").alias("s"), F.sum("n").alias("n"))
