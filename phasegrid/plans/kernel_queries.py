@@ -18,14 +18,12 @@ SLOW, SPINDLE, RIPPLE = (0.5, 1.25), (2.0, 4.0), (6.0, 11.0)
 
 
 def recordings(spark: SparkSession, d: str) -> DataFrame:
-    """``user_id, samples, marks``: a user's hours from the first event on, in whole days, and the hours of purchases in it."""
+    """``user_id, samples, marks``: a user's hours from the first event to the last, and the hours of purchases in it."""
     grid = ev.interpolated(event_queries._grid(spark, d), ["user_id"])
     signals = grid.groupBy("user_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "filled"))), lambda e: e["filled"]).alias("samples"), F.min("k").alias("k0"))
     marks = event_queries.table(spark, d).where("event_type = 'purchase'").groupBy("user_id").agg(F.sort_array(F.collect_list(F.floor(F.col("t") / 3600))).alias("hours"))
     at = F.transform(F.coalesce("hours", F.array().cast("array<bigint>")), lambda h: (h - F.col("k0")).cast("int"))
-    # whole days only: signals then have few lengths, and a kernel runs over many of them at once
-    days = F.slice("samples", F.lit(1), (F.floor(F.size("samples") / 24) * 24).cast("int"))
-    return signals.join(marks, "user_id", "left").select("user_id", days.alias("samples"), at.alias("marks"))
+    return signals.join(marks, "user_id", "left").select("user_id", "samples", at.alias("marks"))
 
 
 def _rounded(df: DataFrame, digits: int = 6) -> DataFrame:

@@ -3,11 +3,13 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from phasegrid.functions import dsp, stats
+from phasegrid.plans import kernel_queries
 
 FS = 200.0
 T = np.arange(0, 60, 1 / FS)
@@ -168,3 +170,14 @@ def test_bootstrap_is_fixed_and_covers():
     low, high = stats.bootstrap_ci(x)
     assert (low, high) == stats.bootstrap_ci(x) and low < x.mean() < high
     assert all(math.isnan(v) for v in stats.bootstrap_ci([1.0]))
+
+
+def test_recordings_keep_every_hour(spark, tmp_path):
+    hours = {1: 23, 2: 25, 3: 48}
+    rows = [(u, np.datetime64("2024-01-01T05:30", "us") + np.timedelta64(h, "h"), "purchase" if h == n - 1 else "view", float(h * h % 7)) for u, n in hours.items() for h in range(n)]
+    pd.DataFrame([(k, *r) for k, r in enumerate(rows)], columns=["event_id", "user_id", "ts", "event_type", "value"]).astype({"ts": "datetime64[us]"}).to_parquet(tmp_path / "events.parquet")
+    got = {r.user_id: r for r in kernel_queries.recordings(spark, str(tmp_path)).collect()}
+    assert {u: len(r.samples) for u, r in got.items()} == hours
+    assert all(r.samples == [float(h * h % 7) for h in range(hours[u])] and r.marks == [hours[u] - 1] for u, r in got.items())
+    counts = {r.user_id: r["count"] for r in kernel_queries.sos_bandpass(spark, str(tmp_path)).groupBy("user_id").count().collect()}
+    assert counts == hours
