@@ -158,13 +158,13 @@ def spearman(spark, d):
 
 
 def mann_whitney_u(spark, d):
-    """Rank-sum statistic of the account balances of each pair of segments."""
+    """Rank-sum statistic of the account balances, rounded to hundreds, of each pair of segments."""
     c = t(spark, d, "customer").withColumn("v", F.round("c_acctbal", -2))
     return rollup.rank_sum(c, [], "c_mktsegment", "v").select("a", "b", "n_a", "n_b", F.col("u").cast("double").alias("u"))
 
 
 def wilcoxon_w(spark, d):
-    """Signed-rank sums of the paired state means, in each segment."""
+    """Signed-rank sums of the differences of the paired state means, rounded to thousands, in each segment."""
     p = rollup.paired_states(t(spark, d, "orders"), ["o_custkey"], "o_orderstatus", "o_totalprice", ["O", "F"])
     c = t(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment")
     diff = p.join(c, "o_custkey").withColumn("diff", F.round((F.col("F") - F.col("O")) / 1000))
