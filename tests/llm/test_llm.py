@@ -73,6 +73,18 @@ def test_exact_dedup_keeps_whole_rows(spark, odd, none):
     assert exact.exact_dedup(none).count() == 0
 
 
+def test_exact_groups_in_shards(spark, odd, none):
+    """With filters of 32,768 bits each, 3,000 rows need three shards; the groups are the same."""
+    rows = [(k, f"text {k % 2900}") for k in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert exact.shards_for(3000, 1 << 15) == 3
+    got = exact.exact_groups(df, max_bits=1 << 15)
+    assert rows_of(got, "doc_id", "keep_id", "group_size", "kept", "text_sha256") == brute_exact(rows)
+    two = [(k, f"t{k % 2}") for k in range(300)]  # of three shards one is empty at least
+    got = exact.exact_groups(spark.createDataFrame(two, "doc_id long, text string"), max_bits=1 << 12)
+    assert rows_of(got, "doc_id", "keep_id", "group_size", "kept", "text_sha256") == brute_exact(two)
+
+
 def test_exact_hot_group(spark):
     rows = [(i, "same" if i % 3 else f"own {i}") for i in range(6000)]
     got = exact.exact_groups(spark.createDataFrame(rows, "doc_id long, text string"))
@@ -82,11 +94,12 @@ def test_exact_hot_group(spark):
 def test_filter_holds_all_and_little_else(spark):
     df = spark.range(4000)
     held = BitFilter.of_keys(df.where("id % 2 = 0"), [F.col("id")], 2000)
-    got = df.select("id", held.may_hold(F.col("id")).alias("m")).collect()
-    assert all(r.m for r in got if r.id % 2 == 0)
+    got = held.marked(df, [F.col("id")], "m").collect()
+    assert len(got) == 4000 and all(r.m for r in got if r.id % 2 == 0)
     assert sum(r.m for r in got if r.id % 2) < 100
     twice = BitFilter.of_repeated(df.union(df.where("id < 10")), [F.col("id")], 4010, max_bits=1 << 15)
-    assert all(r.m for r in df.where("id < 10").select(twice.may_hold(F.col("id")).alias("m")).collect())
+    assert all(r.m for r in twice.marked(df.where("id < 10"), [F.col("id")], "m").collect())
+    assert not any(r.m for r in BitFilter.of_keys(df.limit(0), [F.col("id")], 0).marked(df, [F.col("id")], "m").collect())
 
 
 # near-duplicates
@@ -152,19 +165,38 @@ def test_near_dedup_odd_rows(odd, none):
 
 
 def test_keys_find_every_pair_under_the_distance(spark):
-    r = np.random.default_rng(3)
-    base = r.integers(0, 1 << 16, 40, dtype=np.uint16)
-    rows = []
+    """Pairs 2 * chunks - 1 lanes apart always share a key, wherever the lanes are."""
+    r, chunks = np.random.default_rng(3), near.CHUNKS
+    lanes, top = chunks * near.LANES, 1 << near.BITS
+
+    def packed(values):
+        return [int(sum(int(v) << (near.BITS * k) for k, v in enumerate(values[j : j + near.LANES]))) for j in range(0, lanes, near.LANES)]
+
+    base, rows = r.integers(0, top, lanes), []
     for k in range(200):
         other = base.copy()
-        at = r.choice(40, near.MOST_DIFFERENT, replace=False)
-        other[at] ^= r.integers(1, 1 << 16, len(at), dtype=np.uint16)
-        rows.append([k, *other.view(np.int64).tolist()])
-    df = spark.createDataFrame([[-1, *base.view(np.int64).tolist()], *rows], "id long, " + ", ".join(f"c{k} long" for k in range(near.CHUNKS)))
-    keys = {x.id: set(x.k) for x in df.select("id", near.masked_keys().alias("k")).collect()}
+        at = r.choice(lanes, 2 * chunks - 1, replace=False)
+        other[at] ^= r.integers(1, top, len(at))
+        rows.append([k, *packed(other)])
+    df = spark.createDataFrame([[-1, *packed(base)], *rows], "id long, " + ", ".join(f"{c} long" for c in near.chunk_names(chunks)))
+    keys = {x.id: set(x.k) for x in df.select("id", near.masked_keys(chunks).alias("k")).collect()}
     assert all(keys[-1] & keys[k] for k in range(200))
-    far = df.alias("a").join(df.alias("b"), F.col("a.id") == -1).select(F.col("b.id").alias("id"), near.differing_lanes("a", "b").alias("d")).collect()
-    assert {x.d for x in far if x.id >= 0} == {near.MOST_DIFFERENT}
+    far = df.alias("a").join(df.alias("b"), F.col("a.id") == -1).select(F.col("b.id").alias("id"), near.differing_lanes("a", "b", chunks).alias("d")).collect()
+    assert {x.d for x in far if x.id >= 0} == {2 * chunks - 1}
+
+
+def test_chunks_grow_with_the_distance(spark):
+    assert near.chunks_for(100) == near.chunks_for(85) == near.CHUNKS < near.chunks_for(70) < near.chunks_for(50)
+    for bad in (0, 5, 101):
+        with pytest.raises(ValueError, match="dissimilar"):
+            near.chunks_for(bad)
+    # pairs just above one half: each of two texts has 30 % of its words changed in one stretch
+    rows = []
+    for k in range(60):
+        words = [f"w{k}x{j}" for j in range(100)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[:69] + [f"v{k}x{j}" for j in range(31)]))]
+    got = near.near_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 50)
+    assert rows_of(got, "doc_id", "n_shingles", "component_id", "kept") == sorted(brute_near(rows, 3, 50), key=repr)
 
 
 def test_components_of_a_path(spark):
@@ -218,10 +250,26 @@ def test_draws_of_large_means_are_poisson(spark):
     assert small.where(same).count() == 500
 
 
-def test_mixing_odd_rows(odd, none):
-    got = mixing.mix_sources(odd.withColumn("source", F.when(F.col("doc_id") > 5, F.col("source"))))
-    assert got.columns == odd.columns and got.count() > 0
+def test_mixing_odd_rows(spark, odd, none):
+    got = mixing.mix_sources(odd, weights={"s": 1.0}, total=1300.0, with_rates=True)
+    assert got.columns == [*odd.columns, "mix_rate", "copy_index", "shuffle_key"]
+    rows = got.collect()
+    # rate 100: every row comes out about a hundred times, rows equal in id, source and text equally often
+    assert {r.mix_rate for r in rows} == {100.0}
+    n = Counter((r.doc_id, r.text) for r in rows)
+    assert set(n) == {(i, t) for i, t in ODD} and all(60 < v / ODD.count(k) < 140 for k, v in n.items())
+    assert n[7, "twice"] % 2 == 0
     assert mixing.mix_sources(none).count() == 0
+    unnamed = spark.createDataFrame([(i, None, "s", None) for i in (1, 2)], "doc_id long, text string, source string, lang string")
+    assert mixing.mix_sources(unnamed, weights={"t": 1.0}).count() == 0
+
+
+def test_rows_without_an_id_are_drawn_each_for_itself(spark):
+    df = spark.range(20_000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"), F.lit("s").alias("source"))
+    got = mixing.mix_sources(df, weights={"s": 1.0}, total=30_000.0)
+    assert abs(got.count() - 30_000) < 1_000
+    each = [r.n for r in got.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert len(each) > 1 and max(each) < 2 * sum(each) / len(each)
 
 
 # chat
