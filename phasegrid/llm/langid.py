@@ -13,6 +13,7 @@ a time.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
@@ -28,11 +29,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from phasegrid.llm.pieces import MARK
-from phasegrid.llm.words import fold, held_out
+from phasegrid.llm.words import bounded_sample, fold, held_out, remembers, turn_to
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Texts that the distributions are fitted on at most; rounds of expectation maximisation; added to each expected count.
-MOST_TEXTS, ROUNDS, SMOOTHING = 2_000, 3, 0.05
+MOST_TEXTS, MOST_CHARS, ROUNDS, SMOOTHING = 2_000, 32_000_000, 3, 0.05
 #: Probability of a character that no piece covers, times the pieces' rest; scale of a character, against underflow; longest stretch scored as one.
 UNCOVERED, SCALE, STRETCH = 1e-6, 8.0, 40
 #: Words a worker remembers, and how many are worked on together.
@@ -194,11 +195,12 @@ def identify(texts: Sequence[str], scorer: Scorer) -> tuple[list[str], np.ndarra
 
 
 _scorers: dict[tuple[str, bytes], Scorer] = {}
+remembers("langid", lambda: _scorers.clear())
 
 
 def _scorer(model: Model, path: str) -> Scorer:
     """One for each worker and model, so that what it remembers outlives a task."""
-    key = (path, model.probabilities[:64].tobytes())
+    key = (path, hashlib.sha256("\n".join(model.languages).encode() + model.probabilities.tobytes()).digest())
     if key not in _scorers:
         _scorers.clear()
         _scorers[key] = Scorer(model, Vocabulary(path))
@@ -206,13 +208,18 @@ def _scorer(model: Model, path: str) -> Scorer:
 
 
 def train(docs: DataFrame, path: str, parts: int = 4, part: int = 2, most: int = MOST_TEXTS) -> Model:
-    """Fit on at most ``most`` texts with a language, outside the held-out part.
+    """Fit on at most ``most`` texts with a language (``MOST_CHARS`` characters in all), outside the held-out part.
 
-    The ids with the smallest hashes are taken. Their words are counted by Spark;
-    the distributions are fitted to the bounded sample's counts in one task, and
-    only they reach the driver.
+    Rows whose ids have the smallest hashes are taken. Their words are counted by
+    Spark; the distributions are fitted to the bounded sample's counts in one task,
+    and only they reach the driver.
     """
-    chosen = docs.where(F.col("lang").isNotNull() & (fold("doc_id", parts) != part)).select("doc_id", F.xxhash64("doc_id").alias("rank")).orderBy("rank", "doc_id").limit(most).select("doc_id").distinct()
+    known = docs.where(F.col("lang").isNotNull() & (fold("doc_id", parts) != part))
+    ids = known.select(F.col("doc_id").alias("__id"), F.xxhash64("doc_id").alias("rank")).orderBy("rank", "__id").limit(most).distinct()
+    # the language goes with the text, as rows that share an id may differ in it
+    tagged = known.select("doc_id", F.concat_ws("\n", "lang", F.coalesce("text", F.lit(""))).alias("text"))
+    own = F.split("text", "\n", 2)
+    sample = bounded_sample(tagged, ids, most, MOST_CHARS).select(own[0].alias("lang"), own[1].alias("text")).repartition("text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -223,7 +230,6 @@ def train(docs: DataFrame, path: str, parts: int = 4, part: int = 2, most: int =
                 words += own
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(words, pa.string())], ["lang", "word"])
 
-    sample = docs.where("lang is not null").select("doc_id", "lang", "text").join(F.broadcast(chosen), "doc_id")
     counted = sample.select("lang", "text").mapInArrow(count, "lang string, word string").groupBy("lang", "word").agg(F.count("*").alias("n"))
 
     def fitted(rows: pd.DataFrame) -> pd.DataFrame:
@@ -244,6 +250,7 @@ def predict(docs: DataFrame, model: Model, path: str) -> DataFrame:
     at = columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn_to("langid")
         scorer = _scorer(shared.value, path)
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
@@ -262,7 +269,9 @@ def identify_languages(docs: DataFrame, path: str, parts: int = 4, part: int = 2
     Learns from ``text`` and non-null ``lang`` of at most ``most`` rows outside the
     held-out part (crc32 of the id modulo ``parts`` is ``part``); predictions see
     the text alone. Ties go to the language first in order. A row without an id is
-    predicted and is not held out. Nothing to learn from: every text is ``und``.
+    predicted and is not held out; rows that share an id are predicted each by its
+    own text. Nothing to learn from: every text is ``und``. An empty table gives an
+    empty result; very long texts are scored whole; other columns are ignored.
     """
     got = predict(docs.select("doc_id", "text"), train(docs, path, parts, part, most), path)
     return got.select("doc_id", held_out("doc_id", parts, part).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))

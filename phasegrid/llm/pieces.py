@@ -15,7 +15,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator, Sequence
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -24,6 +26,8 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from phasegrid.llm.words import remembers, turn_to
+
 MARK = "▁"
 #: Pieces with such a score are switched off in the vocabulary; those of one character get the least other score.
 OFF = -1e8
@@ -31,6 +35,8 @@ OFF = -1e8
 PENALTY = 10.0
 #: Stretches a worker remembers, and the longest one it does.
 REMEMBERED, LONGEST = 200_000, 64
+#: Texts that a worker encodes at once.
+TOGETHER = 256
 
 
 class Pieces:
@@ -58,63 +64,101 @@ class Pieces:
             self.scores[model.id_to_piece(k)] = least
         self.automaton.make_automaton()
         self.least = least - PENALTY
+        self.single = {p for p in self.scores if len(p) == 1}
         if any(MARK in p.lstrip(MARK) or re.search(r"[\t\n]", p) for p in self.scores):
             raise ValueError("a piece goes across words or lines")
-        self.known: dict[str, tuple[tuple[int, ...], float]] = {}
+        self.piece_bytes = np.frombuffer(b"".join(self.bytes_of), dtype=np.uint8)
+        self.piece_sizes = np.array([len(b) for b in self.bytes_of], dtype=np.int64)
+        self.piece_starts = np.cumsum(self.piece_sizes) - self.piece_sizes
+        self.forget()
+
+    def forget(self) -> None:
+        """Drop the stretches seen so far: their numbers, and by number the ids, one behind the other, and the score."""
+        self.known: dict[str, int] = {}
+        self.ids, self.ends, self.sums = array("i"), array("q", [0]), array("d")
 
     #: A word with the space marks before it, marks alone, or a line end or tab.
     STRETCH = re.compile(f"{MARK}*[^{MARK}\\t\\n]+|{MARK}+|[\\t\\n]")
 
-    def best(self, stretch: str) -> tuple[tuple[int, ...], float]:
+    def best(self, stretch: str) -> tuple[list[int], float]:
         """Viterbi over one stretch: piece ids and their score. Of equal sums the one with the longer last piece wins."""
         n = len(stretch)
-        score, back = [0.0] + [-np.inf] * n, [(0, -1)] * (n + 1)
-        done = 0
+        score, back, number = [0.0] + [-np.inf] * n, [0] * (n + 1), [-1] * (n + 1)
+        # where no character is uncovered, each place is settled by the matches that end there
+        done = n if self.single.issuperset(stretch) else 0
         for end, (length, own, k) in self.automaton.iter(stretch):
             while done < end:  # characters before this match's last one are settled
                 done += 1
-                self._uncovered(stretch, done, score, back)
+                self._uncovered(stretch, done, score, back, number)
             end += 1
             if (total := score[end - length] + own) > score[end]:
-                score[end], back[end] = total, (length, k)
+                score[end], back[end], number[end] = total, length, k
         while done < n:
             done += 1
-            self._uncovered(stretch, done, score, back)
+            self._uncovered(stretch, done, score, back, number)
         ids: list[int] = []
         at = n
         while at:
-            length, k = back[at]
+            k = number[at]
             ids += [k] if k >= 0 else [self.byte_ids[b] for b in reversed(stretch[at - 1].encode("utf-8", "surrogatepass"))]
-            at -= length
-        return tuple(reversed(ids)), score[n]
-
-    def _uncovered(self, stretch: str, end: int, score: list[float], back: list[tuple[int, int]]) -> None:
-        if stretch[end - 1] not in self.scores and (total := score[end - 1] + self.least) > score[end]:
-            score[end], back[end] = total, (1, -1)
+            at -= back[at]
+        ids.reverse()
+        return ids, score[n]
+
+    def _uncovered(self, stretch: str, end: int, score: list[float], back: list[int], number: list[int]) -> None:
+        if stretch[end - 1] not in self.single and (total := score[end - 1] + self.least) > score[end]:
+            score[end], back[end], number[end] = total, 1, -1
+
+    def encode_all(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(piece ids of all texts one behind the other, how many each text has, the score of each).
+
+        A space is put before a text that is not empty.
+        """
+        if len(self.known) > REMEMBERED:
+            self.forget()
+        stretches = [self.STRETCH.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
+        known, long = self.known, []
+        for stretch in {s for of in stretches for s in of if s not in known}:
+            ids, score = self.best(stretch)
+            known[stretch] = len(self.sums)
+            self.ids.extend(ids)
+            self.ends.append(len(self.ids))
+            self.sums.append(score)
+            if len(stretch) > LONGEST:
+                long.append(stretch)
+        counts = np.array([len(of) for of in stretches], dtype=np.int64)
+        at = np.fromiter(map(known.__getitem__, chain.from_iterable(stretches)), dtype=np.int64, count=int(counts.sum()))
+        for stretch in long:
+            del known[stretch]
+        ids, ends, sums = np.array(self.ids, dtype=np.int32), np.array(self.ends, dtype=np.int64), np.array(self.sums)
+        owner = np.repeat(np.arange(len(texts)), counts)
+        sizes = np.bincount(owner, weights=ends[at + 1] - ends[at], minlength=len(texts)).astype(np.int64)
+        return gathered(ids, ends[at], ends[at + 1] - ends[at]), sizes, np.bincount(owner, weights=sums[at], minlength=len(texts))
 
     def encode(self, text: str) -> tuple[list[int], float]:
-        """Piece ids of a whole text and their score; a space is put before a text that is not empty."""
-        if not text:
-            return [], 0.0
-        known, ids, total = self.known, [], 0.0
-        for stretch in self.STRETCH.findall(MARK + text.replace(" ", MARK)):
-            found = known.get(stretch)
-            if found is None:
-                found = self.best(stretch)
-                if len(stretch) <= LONGEST:
-                    if len(known) > REMEMBERED:
-                        known.clear()
-                    known[stretch] = found
-            ids += found[0]
-            total += found[1]
-        return ids, total
+        """Piece ids of a whole text and their score."""
+        ids, _, score = self.encode_all([text])
+        return ids.tolist(), float(score[0])
+
+    def decode_all(self, ids: np.ndarray, sizes: np.ndarray) -> list[str]:
+        """The texts of piece ids: those that were encoded, but for space marks in them, which become spaces."""
+        data = gathered(self.piece_bytes, self.piece_starts[ids], self.piece_sizes[ids]).tobytes()
+        ends = np.cumsum(sizes)
+        upto = np.concatenate([[0], np.cumsum(self.piece_sizes[ids])])
+        return [data[upto[e - n] : upto[e]].decode("utf-8", "surrogatepass").replace(MARK, " ")[1:] for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
 
     def decode(self, ids: Sequence[int]) -> str:
-        """The text of piece ids: the text that was encoded, but for space marks in it, which become spaces."""
-        return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "surrogatepass").replace(MARK, " ")[1:]
+        return self.decode_all(np.array(ids, dtype=np.int64), np.array([len(ids)]))[0]
+
+
+def gathered(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Stretches of ``values``, one behind the other."""
+    upto = np.cumsum(sizes)
+    return values[np.repeat(starts - upto + sizes, sizes) + np.arange(int(upto[-1]) if len(upto) else 0)]
 
 
 _loaded: dict[str, Pieces] = {}
+remembers("pieces", lambda: _loaded.clear())
 
 
 def pieces(path: str) -> Pieces:
@@ -134,19 +178,18 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     ids_type = pa.list_(pa.int32())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn_to("pieces")
         own = pieces(path)
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
+            for k in range(0, batch.num_rows, TOGETHER):
+                part = batch.slice(k, TOGETHER)
                 texts = [t or "" for t in part.column(1).to_pylist()]
-                coded = [own.encode(t) for t in texts]
-                sizes = np.array([len(ids) for ids, _ in coded], dtype=np.int64)
-                flat = np.fromiter((i for ids, _ in coded for i in ids), dtype=np.int32, count=int(sizes.sum()))
+                flat, sizes, scores = own.encode_all(texts)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(flat)).cast(ids_type)
-                again = [own.decode(ids) for ids, _ in coded]
-                same = pa.array([a == t for a, t in zip(again, texts, strict=True)])
-                digest = pa.array([hashlib.sha256(a.encode("utf-8", "surrogatepass")).hexdigest() for a in again])
-                yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array(sizes), pa.array([s for _, s in coded], pa.float64()), same, digest], ["doc_id", "pieces", "n_pieces", "score", "round_trip", "decoded_sha256"])
+                again = own.decode_all(flat, sizes)
+                same = pa.array([a == t for a, t in zip(again, texts, strict=True)], pa.bool_())
+                digest = pa.array([hashlib.sha256(a.encode("utf-8", "surrogatepass")).hexdigest() for a in again], pa.string())
+                yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array(sizes), pa.array(scores), same, digest], ["doc_id", "pieces", "n_pieces", "score", "round_trip", "decoded_sha256"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, pieces array<int>, n_pieces long, score double, round_trip boolean, decoded_sha256 string")
@@ -156,6 +199,7 @@ def decode_documents(coded: DataFrame, path: str, id_col: str = "doc_id", pieces
     """``doc_id, text`` from piece ids; a null list gives the empty text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn_to("pieces")
         own = pieces(path)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([own.decode(ids or []) for ids in batch.column(1).to_pylist()], pa.string())], ["doc_id", "text"])

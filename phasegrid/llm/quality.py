@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phasegrid.llm.words import held_out, labelled_sample, ngram_hashes, word_hashes
+from phasegrid.llm.words import held_out, labelled_sample, ngram_hashes, turn_to, word_hashes
 
 BITS = 18
 #: Labelled texts that a model is fitted on at most; times it goes through them.
@@ -27,6 +27,8 @@ TOKEN = re.compile(r"\w+|[^\w\s]+")
 #: What a token that equals the one before it, or the one before that, counts as besides.
 _AGAIN = np.uint64(0xA5A5A5A5A5A5A5A5)
 THRESHOLD = 0.7
+#: Texts that a worker holds at once.
+TOGETHER = 256
 
 
 def features(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -96,9 +98,10 @@ def quality_scores(docs: DataFrame, weights: np.ndarray, threshold: float = THRE
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn_to("quality")
         w = shared.value
-        for batch in batches:
-            scores = np.array([score(t or "", w) for t in batch.column(1).to_pylist()], dtype=np.float64)
+        for batch in (b.slice(k, TOGETHER) for b in batches for k in range(0, b.num_rows, TOGETHER)):
+            scores = np.array([score(t.as_py() or "", w) for t in batch.column(1)], dtype=np.float64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores), pa.array((scores >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
     return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, score double, predicted int")
@@ -107,9 +110,12 @@ def quality_scores(docs: DataFrame, weights: np.ndarray, threshold: float = THRE
 def classify_quality(docs: DataFrame, labels: DataFrame, parts: int = 4, part: int = 2, most: int = MOST_TEXTS) -> DataFrame:
     """``doc_id, held_out, score, predicted`` for each row of ``docs``.
 
-    Learns from at most ``most`` rows of ``labels.quality`` outside the held-out
-    part (crc32 of the id modulo ``parts`` is ``part``). A row without an id is
-    scored and is not held out. Without any label every score is 0.5.
+    Learns from at most ``most`` texts with ``labels.quality`` outside the held-out
+    part (crc32 of the id modulo ``parts`` is ``part``); null labels teach nothing,
+    an id labelled more than once has its largest label. A row without an id is
+    scored and is not held out; rows that share an id are scored each by its own
+    text. A score of just the threshold predicts 1. Without any label every score is
+    0.5. An empty table gives an empty result; very long texts are scored whole.
     """
     scored = quality_scores(docs, train(labelled_sample(docs, labels, "quality", parts, part, most)))
     return scored.select("doc_id", held_out("doc_id", parts, part).alias("held_out"), "score", "predicted")

@@ -26,6 +26,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from phasegrid.llm.words import remembers, turn_to
+
 STABLE = re.compile(r"(?<=[ \t\n\r])(?=[^ \t\n\r])")
 WORD = re.compile(r"[^ \t\n\r]+")
 #: Characters of a chunk and of the first overlap; texts longer than a chunk are huge.
@@ -63,8 +65,8 @@ def splice(text: str, encode, chunk: int = CHUNK, overlap: int = OVERLAP) -> tup
                 begin = at
                 break
             widened += 1
-            if low == begin + 1:  # nothing to cut at in the whole chunk: it takes in as much again
-                end = min(len(text), end + chunk)
+            if low == begin + 1:  # nothing to cut at in the whole chunk: it becomes twice as long, so all tries together cost no more than the last two
+                end = min(len(text), begin + 2 * (end - begin))
                 own, spans = encode(text[begin:end])
                 width = overlap
             else:
@@ -119,6 +121,7 @@ class Counter:
 
 
 _counters: dict[tuple[str, int, int], Counter] = {}
+remembers("tokens", lambda: _counters.clear())
 
 
 def counter(path: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> Counter:
@@ -139,6 +142,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048, chunk: int = CHU
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn_to("tokens")
         own = counter(path, chunk, overlap)
         for batch in batches:
             for k in range(0, batch.num_rows, 512):

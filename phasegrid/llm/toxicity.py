@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from phasegrid.llm.quality import sigmoid
-from phasegrid.llm.words import LONGEST, REMEMBERED, held_out, labelled_sample, mix, ngram_hashes, word_hashes
+from phasegrid.llm.words import LONGEST, REMEMBERED, held_out, labelled_sample, mix, ngram_hashes, turn_to, word_hashes
 
 BITS = 18
 #: Labelled texts that a model is fitted on at most, passes over them, texts of a step.
@@ -31,6 +31,8 @@ LEAST_TEXTS, RATE, L1, BIAS = 4, 0.3, 1e-4, -8.0
 SENTENCE = re.compile(r"[^.!?\n]*(?:[.!?\n]+|$)")
 WORD = re.compile(r"\w+")
 THRESHOLD, OFFENDING = 0.7, 0.5
+#: Texts that a worker holds at once.
+TOGETHER = 256
 
 
 def sentence_spans(text: str) -> list[tuple[int, int]]:
@@ -159,11 +161,12 @@ def toxicity_scores(docs: DataFrame, weights: np.ndarray, threshold: float = THR
     spans_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn_to("toxicity")
         scorer = Scorer(shared.value)
-        for batch in batches:
+        for batch in (b.slice(k, TOGETHER) for b in batches for k in range(0, b.num_rows, TOGETHER)):
             scores, found = [], []
-            for t in batch.column(1).to_pylist():
-                spans, p = scorer.sentences(t or "")
+            for t in batch.column(1):
+                spans, p = scorer.sentences(t.as_py() or "")
                 scores.append(noisy_or(p))
                 found.append([{"start": spans[k][0], "end": spans[k][1], "score": float(p[k])} for k in np.flatnonzero(p >= OFFENDING)])
             s = np.array(scores, dtype=np.float64)
@@ -176,9 +179,12 @@ def toxicity_scores(docs: DataFrame, weights: np.ndarray, threshold: float = THR
 def classify_toxicity(docs: DataFrame, labels: DataFrame, parts: int = 3, part: int = 1, most: int = MOST_TEXTS) -> DataFrame:
     """``doc_id, held_out, score, predicted, offending`` for each row of ``docs``.
 
-    Learns from at most ``most`` rows of ``labels.toxic`` outside the held-out part
-    (crc32 of the id modulo ``parts`` is ``part``). A row without an id is scored
-    and is not held out.
+    Learns from at most ``most`` texts with ``labels.toxic`` outside the held-out part
+    (crc32 of the id modulo ``parts`` is ``part``); null labels teach nothing, an id
+    labelled more than once has its largest label. A row without an id is scored
+    and is not held out; rows that share an id are scored each by its own text. A
+    score of just the threshold predicts 1. No label to learn from: nothing is toxic.
+    An empty table gives an empty result; very long texts are scored whole.
     """
     scored = toxicity_scores(docs, train(labelled_sample(docs, labels, "toxic", parts, part, most)))
     return scored.select("doc_id", held_out("doc_id", parts, part).alias("held_out"), "score", "predicted", "offending")
