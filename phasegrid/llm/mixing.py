@@ -52,7 +52,7 @@ def poisson_copies(seed: int, key: list[Column], rate: Column) -> Column:
 
 def mix_sources(
     docs: DataFrame, weights: dict[str, float] | None = None, power: float = 0.5, total: float | None = None, seed: int = 17,
-    id_col: str = "doc_id", source_col: str = "source", with_rates: bool = False,
+    id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", with_rates: bool = False,
 ) -> DataFrame:
     """Replicate documents so that sources occur in the target weights, in shuffled order.
 
@@ -63,8 +63,10 @@ def mix_sources(
 
     All columns of ``docs`` are kept; with ``with_rates`` also ``mix_rate,
     copy_index, shuffle_key``, which replace columns so named. A null source is
-    the source ''. Rows equal in id and source draw the same number. An empty
-    table gives an empty result.
+    the source ''. What a row draws and where its copies go is hashed from its id,
+    source and text (if there is one), so rows without an id, or with one id, are drawn each for
+    itself; rows equal in all three draw the same number. An empty table gives an
+    empty result.
 
     Rates are joined from one row for each source. They are broadcast for at most
     ``BROADCAST_SOURCES`` sources, so the hot source's documents stay where they
@@ -88,9 +90,10 @@ def mix_sources(
 
     columns = [F.col(f"`{c}`") for c in docs.columns if not (with_rates and c in ("mix_rate", "copy_index", "shuffle_key"))]
     drawn = docs.withColumn("__source", source).join(rates, "__source")
-    drawn = drawn.withColumn("__copies", poisson_copies(seed, [F.col(id_col), F.col("__source")], F.col("__rate")))
+    drawn = drawn.withColumn("__text", F.md5(F.coalesce(F.col(text_col), F.lit("")) if text_col in docs.columns else F.lit("")))
+    drawn = drawn.withColumn("__copies", poisson_copies(seed, [F.col(id_col), F.col("__source"), F.col("__text")], F.col("__rate")))
     spread = drawn.where("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
-    spread = spread.withColumn("__key", F.md5(F.concat_ws("|", F.lit(str(seed + 1)), F.col(id_col).cast("string"), F.col("__source"), F.col("__copy").cast("string"))))
+    spread = spread.withColumn("__key", F.md5(F.concat_ws("|", F.lit(str(seed + 1)), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col("__source"), F.col("__text"), F.col("__copy").cast("string"))))
     out = spread.repartition("__key").sortWithinPartitions("__key")
     extra = [F.col("__rate").alias("mix_rate"), F.col("__copy").alias("copy_index"), F.col("__key").alias("shuffle_key")] if with_rates else []
     return out.select(*columns, *extra)

@@ -75,17 +75,19 @@ ORACLES = {
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM d JOIN g USING (text_sha256)""",
     "op7_mix_sources": """
         WITH RECURSIVE sizes AS (SELECT coalesce(source, '') AS src, count(*) AS n FROM documents GROUP BY 1),
-        rates AS (SELECT src, least(64.0, (SELECT sum(n) FROM sizes)::DOUBLE * sqrt(n::DOUBLE) / ((SELECT sum(sqrt(n::DOUBLE)) FROM sizes) * n)) AS rate FROM sizes),
+        rates AS (SELECT src, (SELECT sum(n) FROM sizes)::DOUBLE * sqrt(n::DOUBLE) / ((SELECT sum(sqrt(n::DOUBLE)) FROM sizes) * n) AS rate FROM sizes),
+        each AS (SELECT src, rate, greatest(1, ceil(rate / 64.0))::INTEGER AS parts, rate / greatest(1, ceil(rate / 64.0)) AS mean FROM rates),
         steps AS (
-            SELECT src, rate, 0 AS k, exp(-rate) AS p, exp(-rate) AS cdf FROM rates
+            SELECT src, mean, 0 AS k, exp(-mean) AS p, exp(-mean) AS cdf FROM each
             UNION ALL
-            SELECT src, rate, k + 1, p * rate / (k + 1), cdf + p * rate / (k + 1) FROM steps WHERE k < 160),
-        bands AS (SELECT src, rate, k, cdf, lag(cdf, 1, -1.0) OVER (PARTITION BY src ORDER BY k) AS low FROM steps),
-        drawn AS (SELECT *, coalesce(source, '') AS src, (('0x' || substr(md5('17|' || coalesce(doc_id::VARCHAR, '') || '|' || coalesce(source, '')), 1, 8))::BIGINT + 0.5) / 4294967296.0 AS u FROM documents),
-        counted AS (SELECT d.*, b.rate, b.k FROM drawn d JOIN bands b ON b.src = d.src AND d.u > b.low AND (d.u <= b.cdf OR b.k = 160))
-        SELECT doc_id, text, lang, source, n_chars, round(rate, 9) AS mix_rate, c::INTEGER AS copy_index,
-               md5('18|' || coalesce(doc_id::VARCHAR || '|', '') || src || '|' || c) AS shuffle_key
-        FROM (SELECT *, unnest(range(1, k + 1)) AS c FROM counted)""",
+            SELECT src, mean, k + 1, p * mean / (k + 1), cdf + p * mean / (k + 1) FROM steps WHERE k < 160),
+        bands AS (SELECT src, k, cdf, lag(cdf, 1, -1.0) OVER (PARTITION BY src ORDER BY k) AS low FROM steps),
+        named AS (SELECT *, coalesce(source, '') AS src, coalesce(doc_id::VARCHAR, '') || '|' || coalesce(source, '') || '|' || md5(coalesce(text, '')) AS name, row_number() OVER () AS nth FROM documents),
+        parted AS (SELECT d.nth, d.src, d.name, unnest(range(1, e.parts + 1)) AS part FROM named d JOIN each e USING (src)),
+        drawn AS (SELECT *, (('0x' || substr(md5('17|' || name || CASE WHEN part > 1 THEN '|' || part ELSE '' END), 1, 8))::BIGINT + 0.5) / 4294967296.0 AS u FROM parted),
+        counted AS (SELECT d.nth, sum(b.k) AS copies FROM drawn d JOIN bands b ON b.src = d.src AND d.u > b.low AND (d.u <= b.cdf OR b.k = 160) GROUP BY 1)
+        SELECT doc_id, text, lang, source, n_chars, round(rate, 9) AS mix_rate, c::INTEGER AS copy_index, md5('18|' || name || '|' || c) AS shuffle_key
+        FROM (SELECT n.*, r.rate, unnest(range(1, c.copies::BIGINT + 1)) AS c FROM named n JOIN counted c USING (nth) JOIN rates r USING (src))""",
     "op8_chat_format": """
         WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS place
                    FROM conversations WHERE conv_id IS NOT NULL),
