@@ -21,7 +21,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Names of lower levels are a few characters long and occur in most texts of a language.
@@ -232,7 +232,8 @@ def edit_comparison(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     hash. Returns ``doc_id, n_chars, edited_sha256, fingerprint,
     edited_fingerprint, near_edited, near_next``, a row for each row. Null texts
     are empty. Rows without an id stand in no order: their edited text is their
-    own first half and ``near_next`` is null. Other columns are ignored.
+    own first half and ``near_next`` is null. Other columns are ignored. Ids have to
+    be integers that fit a long. An empty table gives an empty result.
 
     Rows are dealt to many ranges of ids, cut at approximate quantiles. A range
     also gets the first row of the next range, so each is worked through alone in
@@ -245,7 +246,7 @@ def edit_comparison(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     cuts = rows.agg(F.percentile_approx("doc_id", shares, 20 * ranges)).first()[0] or []
     cuts = sorted(set(cuts), reverse=True)
     # the range's number counts upward as ids fall; the cuts are at most as many as the ranges asked for
-    found = F.lit(len(cuts)) - F.expr(_steps(cuts)) if cuts else F.lit(0)
+    found = F.lit(len(cuts)) - cuts_below(cuts, F.col("doc_id")) if cuts else F.lit(0)
     ranged = rows.where("doc_id is not null").withColumn("range", found.cast("int")).withColumn("order", F.struct(-F.col("doc_id"), F.sha2("text", 256)))
     heads = ranged.groupBy("range").agg(F.min("order").alias("order")).orderBy("range").collect()  # a row for each range
     if not heads:
@@ -267,17 +268,17 @@ def edit_comparison(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return dealt.select("range", "lent", "doc_id", "text").mapInArrow(_compare, schema).unionByName(alone.select("range", "lent", "doc_id", "text").mapInArrow(_compare, schema))
 
 
-def _steps(cuts: Sequence[int]) -> str:
-    """SQL for the number of cuts that are at most the id, by bisection."""
+def cuts_below(cuts: Sequence[int], value: Column) -> Column:
+    """How many of ``cuts`` are at most ``value``, by bisection of one constant array, so that the plan doesn't grow with them."""
+    held = F.from_json(F.lit(str(sorted(cuts))), "array<bigint>")
 
-    def step(low: int, high: int) -> str:
-        if low == high:
-            return str(low)
-        mid = (low + high) // 2
-        return f"if(doc_id >= {up[mid]}, {step(mid + 1, high)}, {step(low, mid)})"
+    def halve(s: Column, _: Column) -> Column:
+        mid = F.shiftright(s["low"] + s["high"], 1)
+        above = F.get(held, mid) <= value
+        return F.when(s["low"] >= s["high"], s).otherwise(F.struct(F.when(above, mid + 1).otherwise(s["low"]).alias("low"), F.when(above, s["high"]).otherwise(mid).alias("high")))
 
-    up = sorted(cuts)
-    return step(0, len(up))
+    start = F.struct(F.lit(0).alias("low"), F.lit(len(cuts)).alias("high"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(len(cuts).bit_length())), start, halve, lambda s: s["low"])
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
