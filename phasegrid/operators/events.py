@@ -39,11 +39,15 @@ def on_grid(events: DataFrame, keys: Sequence[str], t: str, value: str, step: fl
 
 
 def interpolated(grid: DataFrame, keys: Sequence[str], k: str = "k", v: str = "v") -> DataFrame:
-    """Gaps filled on the line between the values beside them; the ends hold a value by construction of the grid."""
+    """Gaps filled on the line between the values beside them; the ends hold a value by construction of the grid.
+
+    The next value is the last one met in descending order: a running frame costs one
+    step a row, one that reaches to the end of the partition reads it again for each.
+    """
     back = Window.partitionBy(*keys).orderBy(k).rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy(*keys).orderBy(k).rowsBetween(0, Window.unboundedFollowing)
+    ahead = Window.partitionBy(*keys).orderBy(F.desc(k)).rowsBetween(Window.unboundedPreceding, 0)
     at = F.when(F.col(v).isNotNull(), F.struct(F.col(k).alias("k"), F.col(v).alias("v")))
-    both = grid.withColumn("__a", F.last(at, ignorenulls=True).over(back)).withColumn("__z", F.first(at, ignorenulls=True).over(ahead))
+    both = grid.withColumn("__a", F.last(at, ignorenulls=True).over(back)).withColumn("__z", F.last(at, ignorenulls=True).over(ahead))
     a, z = F.col("__a"), F.col("__z")
     line = a["v"] + (z["v"] - a["v"]) * (F.col(k) - a["k"]) / (z["k"] - a["k"])
     return both.withColumn("filled", F.coalesce(F.col(v), line, a["v"], z["v"])).drop("__a", "__z")

@@ -256,11 +256,11 @@ def spearman_p(rho: pd.Series, n: pd.Series) -> pd.Series:
 
 
 @F.pandas_udf(T.DoubleType())
-def rank_sum_p(u: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
-    """Two-sided normal p of a rank sum with continuity correction, without ties."""
+def rank_sum_p(u: pd.Series, a: pd.Series, b: pd.Series, ties: pd.Series) -> pd.Series:
+    """Two-sided normal p of a rank sum, corrected for continuity and for ties (sum of t^3 - t); 1 where all values are equal."""
     out = []
-    for x, m, n in zip(u, a, b, strict=True):
-        spread = (m * n * (m + n + 1) / 12) ** 0.5
-        z = (max(x, m * n - x) - m * n / 2 - 0.5) / spread
+    for x, m, n, tied in zip(u, a, b, ties, strict=True):
+        spread = (m * n / 12 * (m + n + 1 - tied / ((m + n) * (m + n - 1)))) ** 0.5 if m + n > 1 else 0.0
+        z = (max(x, m * n - x) - m * n / 2 - 0.5) / spread if spread > 0 else 0.0
         out.append(min(1.0, math.erfc(z / math.sqrt(2))))
     return pd.Series(out)

@@ -7,13 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Regions of channel labels, in the order they are tried.
+# Regions, patterns of the lower-case label, patterns of the code; in the order they are tried.
 ROI_RULES = [
-    ("entorhinal", ["entorhinal"], ["Entorhinal"]),
+    ("entorhinal", ["entorhinal"], []),
     ("parahippocampal", ["parahippocampal"], ["ParaHippocampal"]),
     ("hippocampal", ["hippocamp"], ["Hippocampus"]),
     ("amygdala", ["amygdala"], ["Amygdala"]),
-    ("temporal_neocortex", ["temporal"], ["Temporal"]),
+    ("temporal_neocortex", ["middle temporal", "superior temporal", "inferior temporal"], ["Temporal_Mid", "Temporal_Sup", "Temporal_Inf"]),
 ]
 
 
@@ -50,46 +50,71 @@ def paired_states(df: DataFrame, keys: Sequence[str], state: str, value: str, st
     return df.groupBy(*keys).pivot(state, list(states)).agg(F.avg(value)).dropna(subset=list(states))
 
 
-def average_rank(value: str, keys: Sequence[str] = ()) -> Column:
-    """Rank among the keys' rows, ties sharing the average."""
-    w = Window.partitionBy(*keys)
-    return F.rank().over(w.orderBy(value)) + (F.count("*").over(Window.partitionBy(*keys, value)) - 1) / 2
+#: Ranges that the values of a key are dealt to.
+RANGES = 64
+
+
+def with_running_counts(hist: DataFrame, keys: Sequence[str], value: str, counts: Sequence[str], ranges: int = RANGES) -> DataFrame:
+    """``hist`` with ``below_<c>`` for each of ``counts``: the sum of c over the key's rows with a smaller value.
+
+    ``hist`` has one row for each key and value. The values of a key are dealt to
+    ranges at approximate quantiles; sums run inside a range, and a range starts
+    from the totals of those before it. So a key's values are never all in one task.
+    """
+    shares = F.array(*[F.lit(k / ranges) for k in range(1, ranges)])
+    cuts = hist.groupBy(*keys).agg(F.percentile_approx(value, shares, F.lit(20 * ranges)).alias("__cuts"))
+    dealt = hist.join(cuts, list(keys)).withColumn("__range", F.size(F.filter("__cuts", lambda c: c <= F.col(value)))).drop("__cuts")
+    before = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0).cast("long")
+    totals = dealt.groupBy(*keys, "__range").agg(*[F.sum(c).alias(f"__{c}") for c in counts])
+    starts = totals.select(*keys, "__range", *[F.coalesce(F.sum(f"__{c}").over(before), zero).alias(f"__start_{c}") for c in counts])
+    inside = Window.partitionBy(*keys, "__range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    placed = dealt.join(starts, [*keys, "__range"])
+    running = [(F.coalesce(F.sum(c).over(inside), zero) + F.col(f"__start_{c}")).alias(f"below_{c}") for c in counts]
+    return placed.select(*hist.columns, *running)
 
 
 def signed_rank(df: DataFrame, keys: Sequence[str], difference: str) -> DataFrame:
-    """``*keys, n, w_plus, w_minus`` of the signed-rank statistic; zero differences are dropped."""
-    d = df.where(F.col(difference) != 0).withColumn("__a", F.abs(difference))
-    r = d.withColumn("__r", average_rank("__a", keys))
-    plus, minus = (F.coalesce(F.sum(F.when(c, F.col("__r"))), F.lit(0.0)) for c in (F.col(difference) > 0, F.col(difference) < 0))
-    return r.groupBy(*keys).agg(F.count("*").alias("n"), plus.alias("w_plus"), minus.alias("w_minus"))
+    """``*keys, n, w_plus, w_minus`` of the signed-rank statistic; null and zero differences are dropped, ties share their average rank."""
+    own = df.where(F.col(difference) != 0).groupBy(*keys, F.abs(difference).alias("__a")).agg(F.count("*").alias("c"), F.count_if(F.col(difference) > 0).alias("up"))
+    ranked = with_running_counts(own, keys, "__a", ["c"]).withColumn("r", F.col("below_c") + (F.col("c") + 1) / 2)
+    return ranked.groupBy(*keys).agg(F.sum("c").alias("n"), F.sum(F.col("up") * F.col("r")).alias("w_plus"), F.sum((F.col("c") - F.col("up")) * F.col("r")).alias("w_minus"))
 
 
 def rank_sum(df: DataFrame, keys: Sequence[str], group: str, value: str) -> DataFrame:
-    """``*keys, a, b, n_a, n_b, u``: the rank-sum statistic of each pair of groups a < b.
+    """``*keys, a, b, n_a, n_b, u, ties``: the rank-sum statistic of each pair of groups a < b.
 
-    Groups of one key are joined on inequality after they have been reduced to
-    histograms of (group, value), so what is joined is distinct values.
+    ``ties`` is the sum of t^3 - t over the pair's tied values. Groups of one key are
+    joined on inequality after they have been reduced to histograms of (group,
+    value), so what is joined is distinct values. Null values are left out.
     """
-    hist = df.groupBy(*keys, group, value).agg(F.count("*").alias("c"))
-    own = Window.partitionBy(*keys, group)
-    # for each value: how many of the group are below it
-    below = F.sum("c").over(own.orderBy(value)) - F.col("c")
-    total = hist.withColumn("below", below).withColumn("n", F.sum("c").over(own))
-    groups = total.select(*keys, group, "n").distinct()
+    hist = df.where(F.col(value).isNotNull()).groupBy(*keys, group, value).agg(F.count("*").alias("c"))
+    groups = hist.groupBy(*keys, group).agg(F.sum("c").alias("n"))
     pairs = groups.select(*keys, F.col(group).alias("a"), F.col("n").alias("n_a")).join(groups.select(*keys, F.col(group).alias("b"), F.col("n").alias("n_b")), list(keys)).where("a < b") if keys else (
         groups.select(F.col(group).alias("a"), F.col("n").alias("n_a")).join(groups.select(F.col(group).alias("b"), F.col("n").alias("n_b")), F.col("a") < F.col("b"))
     )
-    # every value of a, with b's counts below it and at it, by a merge of both groups in order of value
-    a = pairs.join(hist.withColumnRenamed(group, "a"), [*keys, "a"]).select(*keys, "a", "b", "n_a", "n_b", value, F.col("c").alias("ca"), F.lit(0).cast("long").alias("cb"))
-    b = pairs.join(hist.withColumnRenamed(group, "b"), [*keys, "b"]).select(*keys, "a", "b", "n_a", "n_b", value, F.lit(0).cast("long").alias("ca"), F.col("c").alias("cb"))
+    # every value of either group, with the counts of both
+    none = F.lit(0).cast("long")
+    a = pairs.join(hist.withColumnRenamed(group, "a"), [*keys, "a"]).select(*keys, "a", "b", "n_a", "n_b", value, F.col("c").alias("ca"), none.alias("cb"))
+    b = pairs.join(hist.withColumnRenamed(group, "b"), [*keys, "b"]).select(*keys, "a", "b", "n_a", "n_b", value, none.alias("ca"), F.col("c").alias("cb"))
     merged = a.unionByName(b).groupBy(*keys, "a", "b", "n_a", "n_b", value).agg(F.sum("ca").alias("ca"), F.sum("cb").alias("cb"))
-    w = Window.partitionBy(*keys, "a", "b").orderBy(value)
-    lower = merged.withColumn("lower", F.sum("cb").over(w) - F.col("cb"))
-    return lower.groupBy(*keys, "a", "b", "n_a", "n_b").agg(F.sum(F.col("ca") * (F.col("lower") + F.col("cb") / 2)).alias("u"))
+    lower = with_running_counts(merged, [*keys, "a", "b"], value, ["cb"]).withColumn("t", (F.col("ca") + F.col("cb")).cast("double"))
+    return lower.groupBy(*keys, "a", "b", "n_a", "n_b").agg(F.sum(F.col("ca") * (F.col("below_cb") + F.col("cb") / 2)).alias("u"), F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).alias("ties"))
 
 
 def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
-    """``*keys, rho, n``: correlation of average ranks."""
-    own = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    ranked = own.withColumn("__x", average_rank(x, keys)).withColumn("__y", average_rank(y, keys))
-    return ranked.groupBy(*keys).agg(F.corr("__x", "__y").alias("rho"), F.count("*").alias("n"))
+    """``*keys, rho, n``: correlation of average ranks; rows with a null in either are left out, and rho is null where a side has one value only."""
+    own = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumn("__all", F.lit(0))
+    by = ["__all", *keys]
+    pairs = own.groupBy(*by, F.col(x).alias("__x"), F.col(y).alias("__y")).agg(F.count("*").alias("c"))
+
+    def ranks(v: str, name: str) -> DataFrame:
+        hist = with_running_counts(pairs.groupBy(*by, v).agg(F.sum("c").alias("c")), by, v, ["c"])
+        return hist.select(*by, v, (F.col("below_c") + (F.col("c") + 1) / 2).alias(name))
+
+    # the mean of n ranks is (n + 1) / 2, ties or not
+    n = pairs.groupBy(*by).agg(F.sum("c").alias("n"))
+    ranked = pairs.join(ranks("__x", "rx"), [*by, "__x"]).join(ranks("__y", "ry"), [*by, "__y"]).join(n, by)
+    dx, dy = F.col("rx") - (F.col("n") + 1) / 2, F.col("ry") - (F.col("n") + 1) / 2
+    sums = ranked.groupBy(*by).agg(F.first("n").alias("n"), *[F.sum(F.col("c") * a * b).alias(s) for a, b, s in ((dx, dy, "sxy"), (dx, dx, "sxx"), (dy, dy, "syy"))])
+    return sums.select(*keys, F.try_divide(F.col("sxy"), F.sqrt(F.col("sxx") * F.col("syy"))).alias("rho"), "n")

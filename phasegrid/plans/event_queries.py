@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from phasegrid.operators import events as ev
+from phasegrid.operators import rollup
 
 HOUR = 3600.0
 
@@ -52,13 +53,50 @@ def upstate_mean(spark, d):
 
 
 def split_half(spark, d):
-    """Means of every other event of each user, and how they agree over users."""
+    """Means of every other event of each user."""
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     odd = table(spark, d).withColumn("odd", (F.row_number().over(w) - 1) % 2)
     halves = odd.groupBy("user_id").agg(F.avg(F.when(F.col("odd") == 0, F.col("value"))).alias("a"), F.avg(F.when(F.col("odd") == 1, F.col("value"))).alias("b"))
     return halves.select("user_id", F.round("a", 8).alias("even_mean"), F.round("b", 8).alias("odd_mean"))
 
 
+def _after_purchase(spark, d):
+    """A row for each purchase with values in the three hours from it on: its own value, their mean, and its place among the user's."""
+    grid = _grid(spark, d).where("v is not null")
+    buys = table(spark, d).where("event_type = 'purchase'").withColumn("place", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1)
+    wanted = buys.select("user_id", "event_id", "place", F.col("value").alias("depth"), F.floor(F.col("t") / HOUR).alias("k0"))
+    hours = wanted.withColumn("k", F.explode(F.sequence(F.col("k0"), F.col("k0") + 2))).join(grid, ["user_id", "k"])
+    return hours.groupBy("user_id", "event_id", "place", "depth").agg(F.avg("v").alias("up"))
+
+
+def _halves(spark, d):
+    """Each user's mean after purchases of even and of odd place, to a billionth, and over all."""
+    of = lambda k: F.round(F.avg(F.when(F.col("place") % 2 == k, F.col("up"))), 9)
+    return _after_purchase(spark, d).groupBy("user_id").agg(of(0).alias("a"), of(1).alias("b"), F.avg("up").alias("up"), F.count("*").alias("n")).where("a is not null and b is not null")
+
+
+def split_half_reliability(spark, d):
+    """Rank correlation over users between the halves' means after a purchase."""
+    return rollup.spearman(_halves(spark, d), [], "a", "b").select(F.round("rho", 9).alias("rho"), "n")
+
+
+def validation_summary(spark, d):
+    """Users and events, the mean over users, how the halves agree, and how the mean after a purchase goes with the purchase's own value."""
+    each = _after_purchase(spark, d).withColumn("up", F.round("up", 9))
+    halves = _halves(spark, d)
+    one = halves.agg(F.count("*").alias("n_users"), F.sum("n").alias("n_events"), F.round(F.avg("up"), 7).alias("mean_up")).withColumn("all", F.lit(0))
+    split = rollup.spearman(halves, [], "a", "b").select(F.lit(0).alias("all"), F.round("rho", 9).alias("split_r"))
+    depth = rollup.spearman(each, [], "depth", "up").select(F.lit(0).alias("all"), F.round("rho", 9).alias("depth_r"))
+    return one.join(split, "all").join(depth, "all").drop("all")
+
+
+def validation_by_cohort(spark, d):
+    """The same for three cohorts of users: number, mean, standard error, and the halves' rank correlation."""
+    halves = _halves(spark, d).withColumn("cohort", F.col("user_id") % 3)
+    means = halves.groupBy("cohort").agg(F.count("*").alias("n_subj"), F.round(F.avg("up"), 7).alias("mean_up"), F.round(F.stddev_pop("up") / F.sqrt(F.count("*")), 7).alias("sem"))
+    return means.join(rollup.spearman(halves, ["cohort"], "a", "b").select("cohort", F.round("rho", 9).alias("split_r")), "cohort")
+
+
 def event_phase_rayleigh(spark, d):
     """Time of day as phase: resultant, preferred phase and p of each event type."""
     phase = table(spark, d).withColumn("phase", F.pmod(F.col("t"), F.lit(86400.0)) / 86400.0 * 2 * math.pi - math.pi)
@@ -176,6 +214,7 @@ def night_bins(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
+    split_half_reliability, validation_summary, validation_by_cohort,
     ied_mask_antijoin, ied_mask_open, triggered_average, upstate_mean, split_half, event_phase_rayleigh, rayleigh_share, gaps_islands_capped, sliding_best_window, gap_interp, usable_share, percentile_stage,
     value_percentiles, tumbling_epochs, sliding_epochs, session_runs, cumulative_cap, kept_rows, first_events, best_channel, sample_indices, event_type_normalised, json_props, night_bins,
 )}
@@ -192,7 +231,19 @@ _RAY = """, p AS (SELECT *, (t - floor(t / 86400) * 86400) / 86400 * 2 * pi() -
     q AS (SELECT *, greatest(0.0, least(1.0, exp(-n * mrl * mrl) * (1 + (2 * n * mrl * mrl - pow(n * mrl * mrl, 2)) / (4 * n)))) AS pv FROM r)"""
 _ANTI = f"WITH {_T} SELECT event_id, user_id, event_type FROM e WHERE event_type <> 'error' AND NOT EXISTS (SELECT 1 FROM e m WHERE m.event_type = 'error' AND m.user_id = e.user_id AND e.t {{low}} m.t - 1800 AND e.t < m.t + 1800)"
 
+_UP = _G + """, b AS (SELECT user_id, event_id, value AS depth, floor(t / 3600)::BIGINT AS k0, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS place FROM e WHERE event_type = 'purchase'),
+    u AS (SELECT b.user_id, event_id, place, depth, avg(v) AS up FROM b JOIN g ON g.user_id = b.user_id AND g.k BETWEEN k0 AND k0 + 2 WHERE v IS NOT NULL GROUP BY 1, 2, 3, 4),
+    h AS (SELECT user_id, user_id % 3 AS cohort, round(avg(up) FILTER (place % 2 = 0), 9) AS a, round(avg(up) FILTER (place % 2 = 1), 9) AS b, avg(up) AS up, count(*) AS n FROM u GROUP BY 1 HAVING a IS NOT NULL AND b IS NOT NULL)"""
+_RANK = "rank() OVER ({p} ORDER BY {v}) + (count(*) OVER (PARTITION BY {k}{v}) - 1) / 2"
+_AB = f"{_RANK.format(p='', k='', v='a')} AS ra, {_RANK.format(p='', k='', v='b')} AS rb"
+_ABC = f"{_RANK.format(p='PARTITION BY cohort', k='cohort, ', v='a')} AS ra, {_RANK.format(p='PARTITION BY cohort', k='cohort, ', v='b')} AS rb"
+
 ORACLES = {
+    "split_half_reliability": f"WITH {_UP} SELECT round(corr(ra, rb), 9) AS rho, count(*) AS n FROM (SELECT {_AB} FROM h)",
+    "validation_summary": f"""WITH {_UP}, s AS (SELECT round(corr(ra, rb), 9) AS split_r FROM (SELECT {_AB} FROM h)),
+        d AS (SELECT depth AS a, round(up, 9) AS b FROM u), r AS (SELECT round(corr(ra, rb), 9) AS depth_r FROM (SELECT {_AB} FROM d))
+        SELECT n_users, n_events, mean_up, split_r, depth_r FROM (SELECT count(*) AS n_users, sum(n)::BIGINT AS n_events, round(avg(up), 7) AS mean_up FROM h), s, r""",
+    "validation_by_cohort": f"WITH {_UP} SELECT cohort, count(*) AS n_subj, round(avg(up), 7) AS mean_up, round(stddev_pop(up) / sqrt(count(*)), 7) AS sem, round(corr(ra, rb), 9) AS split_r FROM (SELECT *, {_ABC} FROM h) GROUP BY 1",
     "ied_mask_antijoin": _ANTI.format(low=">="),
     "ied_mask_open": _ANTI.format(low=">"),
     "triggered_average": f"WITH {_I}, b AS (SELECT user_id, floor(t / 3600)::BIGINT AS k0 FROM e WHERE event_type = 'purchase') SELECT (i.k - b.k0)::INT AS \"offset\", round(avg(filled), 7) AS mean_v, count(*) AS n FROM b JOIN i ON i.user_id = b.user_id AND i.k >= b.k0 - 4 AND i.k < b.k0 + 4 GROUP BY 1",

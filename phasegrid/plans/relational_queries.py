@@ -158,16 +158,15 @@ def spearman(spark, d):
 
 
 def mann_whitney_u(spark, d):
-    """Rank-sum statistic of the account balances, rounded to hundreds, of each pair of segments."""
-    c = t(spark, d, "customer").withColumn("v", F.round("c_acctbal", -2))
-    return rollup.rank_sum(c, [], "c_mktsegment", "v").select("a", "b", "n_a", "n_b", F.col("u").cast("double").alias("u"))
+    """Rank-sum statistic of the account balances of each pair of segments."""
+    return rollup.rank_sum(t(spark, d, "customer"), [], "c_mktsegment", "c_acctbal").select("a", "b", "n_a", "n_b", F.col("u").cast("double").alias("u"))
 
 
 def wilcoxon_w(spark, d):
-    """Signed-rank sums of the differences of the paired state means, rounded to thousands, in each segment."""
+    """Signed-rank sums of the differences of the paired state means (to a millionth, where sums in another order may differ) in each segment."""
     p = rollup.paired_states(t(spark, d, "orders"), ["o_custkey"], "o_orderstatus", "o_totalprice", ["O", "F"])
     c = t(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment")
-    diff = p.join(c, "o_custkey").withColumn("diff", F.round((F.col("F") - F.col("O")) / 1000))
+    diff = p.join(c, "o_custkey").withColumn("diff", F.round(F.col("F") - F.col("O"), 6))
     return rollup.signed_rank(diff, ["c_mktsegment"], "diff").select("c_mktsegment", "n", F.col("w_plus").cast("double"), F.col("w_minus").cast("double"))
 
 
@@ -184,7 +183,41 @@ def hashed_subsample(spark, d):
     return picked.select("c_mktsegment", "rank", "c_custkey")
 
 
+def _contacts(spark, d):
+    """Electrode contacts made from customers, a recording for each nation; every seventh has no number."""
+    shaft = F.element_at(F.array(*map(F.lit, SHAFTS)), (F.col("c_custkey") % len(SHAFTS) + 1).cast("int"))
+    name = F.concat(shaft, F.when(F.col("c_custkey") % 7 == 0, "").otherwise((F.col("c_custkey") % 12 + 1).cast("string")))
+    return t(spark, d, "customer").select("c_custkey", "c_nationkey", name.alias("name"))
+
+
+SHAFTS = ("LA", "LB", "LC", "LH", "RA")
+#: Contacts that belong to the region, by name, and the largest number used; staging contacts in order of preference.
+REGION, MOST_CONTACT, STAGING = "^(LA|LB|LC|LH)", 6, ("LB4", "LC4", "LB6", "LH4", "LC6")
+
+
+def contact_filter(spark, d):
+    """Contacts of the region with a number up to the largest used; a name without a number counts as 999."""
+    return names.usable_contacts(_contacts(spark, d), "name", REGION, MOST_CONTACT).select("c_custkey", "name", "contact")
+
+
+def staging_channel(spark, d):
+    """Each recording's first preferred contact that exists; without one the first usable contact."""
+    own = _contacts(spark, d)
+    usable = names.usable_contacts(own, "name", REGION, MOST_CONTACT)
+    return names.preferred_channel(own, usable, ["c_nationkey"], "name", STAGING, "c_custkey").select("c_nationkey", "channel")
+
+
+def manifest_payload(spark, d):
+    """Blocks of a manifest (orders) with the samples of their files (line items): count, sum, and whether the file is there."""
+    manifest = t(spark, d, "orders").select("o_orderkey", F.format_string("block_%07d.npz", F.col("o_orderkey")).alias("file"), F.col("o_totalprice").alias("start_s"))
+    payload = t(spark, d, "lineitem").where("l_quantity < 40").select(F.format_string("block_%07d.npz", F.col("l_orderkey")).alias("file"), "l_quantity")
+    sums = payload.groupBy("file").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("total"))
+    out = manifest.join(sums, "file", "left")
+    return out.select("file", "start_s", F.coalesce("n", F.lit(0).cast("long")).alias("n"), F.coalesce("total", F.lit(0.0)).alias("total"), F.col("n").isNotNull().alias("found"))
+
+
 QUERIES = {f.__name__: f for f in (
+    contact_filter, staging_channel, manifest_payload,
     roi_classify, clip_name_parse, channel_names, normative_filter, state_pivot_pairs, mean_of_means, weighted_rollup, region_pairs_theta, semi_intersect, cached_files, anti_except, union_cohorts, top_k, first_n_per_group,
     max_by_best, representative_order, count_positive, value_counts, min_n_groups, composite_counts, trapezoid_area, spearman, mann_whitney_u, wilcoxon_w, summary_json, hashed_subsample,
 )}
@@ -193,7 +226,12 @@ _O = "o AS (SELECT * FROM orders JOIN customer ON c_custkey = o_custkey JOIN nat
 _P = "p AS (SELECT o_custkey, avg(o_totalprice) FILTER (o_orderstatus = 'O') AS w, avg(o_totalprice) FILTER (o_orderstatus = 'F') AS n3 FROM orders GROUP BY 1 HAVING w IS NOT NULL AND n3 IS NOT NULL)"
 _CH = "CASE WHEN c_custkey % 2 = 0 THEN 'L' ELSE 'R' END || ['A', 'AH', 'EC', 'PHG', 'X'][c_custkey % 5 + 1] || (c_custkey % 12 + 1)"
 
+_CONTACTS = "c AS (SELECT c_custkey, c_nationkey, ['LA', 'LB', 'LC', 'LH', 'RA'][c_custkey % 5 + 1] || CASE WHEN c_custkey % 7 = 0 THEN '' ELSE (c_custkey % 12 + 1)::VARCHAR END AS name FROM customer), u AS (SELECT *, coalesce(try_cast(regexp_extract(name, '^[A-Za-z]+([0-9]+)$', 1) AS INT), 999) AS contact FROM c), k AS (SELECT * FROM u WHERE regexp_matches(name, '^(LA|LB|LC|LH)') AND contact <= 6)"
+
 ORACLES = {
+    "contact_filter": f"WITH {_CONTACTS} SELECT c_custkey, name, contact FROM k",
+    "staging_channel": f"WITH {_CONTACTS}, p AS (SELECT c_nationkey, name, list_position(['LB4', 'LC4', 'LB6', 'LH4', 'LC6'], name) AS place, 0 AS nth FROM c WHERE name IN ('LB4', 'LC4', 'LB6', 'LH4', 'LC6') UNION ALL SELECT c_nationkey, name, 99, c_custkey FROM k) SELECT c_nationkey, arg_min(name, (place, nth)) AS channel FROM p GROUP BY 1",
+    "manifest_payload": "SELECT printf('block_%07d.npz', o_orderkey) AS file, o_totalprice AS start_s, count(l_quantity) AS n, coalesce(sum(l_quantity), 0.0) AS total, count(l_quantity) > 0 AS found FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey AND l_quantity < 40 GROUP BY o_orderkey, o_totalprice",
     "roi_classify": "SELECT p_partkey, CASE " + " ".join("WHEN " + " OR ".join([f"contains(lower(p_name), '{x}')" for x in a] + [f"contains(p_brand, '{x}')" for x in b]) + f" THEN '{n}'" for n, a, b in PART_RULES) + " END AS roi FROM part",
     "clip_name_parse": "SELECT o_orderkey, 'sub-RID' || lpad(o_custkey::VARCHAR, 4, '0') AS pt, CASE o_orderstatus WHEN 'O' THEN 'W' ELSE 'N3' END AS state, (o_orderkey % 9)::INT AS idx, pt || '_' || state || '_' || idx || '.edf' AS filename FROM orders WHERE o_orderstatus <> 'F'",
     "channel_names": f"SELECT c_custkey, regexp_extract({_CH}, '^([A-Za-z]+)', 1) AS shaft, regexp_extract({_CH}, '([0-9]+)$', 1)::INT AS contact, regexp_replace(shaft, '^[LR]', '') AS code, shaft || contact || '-' || (contact + 1) AS pair FROM customer",
@@ -216,8 +254,11 @@ ORACLES = {
     "composite_counts": f"WITH {_O} SELECT r_name, c_mktsegment, count(*) AS n FROM o GROUP BY 1, 2",
     "trapezoid_area": "WITH g AS (SELECT l_returnflag, round(l_discount * 100)::INT AS f, sum(l_quantity) AS p FROM lineitem GROUP BY 1, 2), e AS (SELECT *, lag(p) OVER w AS q, lag(f) OVER w AS g FROM g WHERE f >= 2 AND f < 8 WINDOW w AS (PARTITION BY l_returnflag ORDER BY f)) SELECT l_returnflag, round(sum((p + q) / 2 * (f - g)), 6) AS area FROM e GROUP BY 1",
     "spearman": "WITH r AS (SELECT c_mktsegment, rank() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal) + (count(*) OVER (PARTITION BY c_mktsegment, c_acctbal) - 1) / 2 AS x, rank() OVER (PARTITION BY c_mktsegment ORDER BY c_nationkey) + (count(*) OVER (PARTITION BY c_mktsegment, c_nationkey) - 1) / 2 AS y FROM customer) SELECT c_mktsegment, round(corr(x, y), 9) AS rho, count(*) AS n FROM r GROUP BY 1",
-    "mann_whitney_u": "WITH c AS (SELECT c_mktsegment AS g, round(c_acctbal, -2) AS v FROM customer), n AS (SELECT g, count(*) AS n FROM c GROUP BY 1) SELECT x.g AS a, y.g AS b, any_value(p.n) AS n_a, any_value(q.n) AS n_b, sum(CASE WHEN x.v > y.v THEN 1.0 WHEN x.v = y.v THEN 0.5 ELSE 0.0 END)::DOUBLE AS u FROM c x JOIN c y ON x.g < y.g JOIN n p ON p.g = x.g JOIN n q ON q.g = y.g GROUP BY 1, 2",
-    "wilcoxon_w": f"WITH {_P}, d AS (SELECT c_mktsegment, round((n3 - w) / 1000) AS d FROM p JOIN customer ON c_custkey = o_custkey), r AS (SELECT *, rank() OVER (PARTITION BY c_mktsegment ORDER BY abs(d)) + (count(*) OVER (PARTITION BY c_mktsegment, abs(d)) - 1) / 2 AS r FROM d WHERE d <> 0) SELECT c_mktsegment, count(*) AS n, coalesce(sum(r) FILTER (d > 0), 0)::DOUBLE AS w_plus, coalesce(sum(r) FILTER (d < 0), 0)::DOUBLE AS w_minus FROM r GROUP BY 1",
+    "mann_whitney_u": """WITH c AS (SELECT c_mktsegment AS g, c_acctbal AS v FROM customer), n AS (SELECT g, count(*) AS n FROM c GROUP BY 1),
+        p AS (SELECT x.g AS a, y.g AS b, x.n AS n_a, y.n AS n_b FROM n x JOIN n y ON x.g < y.g),
+        r AS (SELECT a, b, n_a, n_b, g, rank() OVER (PARTITION BY a, b ORDER BY v) + (count(*) OVER (PARTITION BY a, b, v) - 1) / 2 AS r FROM p JOIN c ON g = a OR g = b)
+        SELECT a, b, n_a, n_b, (sum(r) FILTER (g = a) - n_a * (n_a + 1) / 2)::DOUBLE AS u FROM r GROUP BY a, b, n_a, n_b""",
+    "wilcoxon_w": f"WITH {_P}, d AS (SELECT c_mktsegment, round(n3 - w, 6) AS d FROM p JOIN customer ON c_custkey = o_custkey), r AS (SELECT *, rank() OVER (PARTITION BY c_mktsegment ORDER BY abs(d)) + (count(*) OVER (PARTITION BY c_mktsegment, abs(d)) - 1) / 2 AS r FROM d WHERE d <> 0) SELECT c_mktsegment, count(*) AS n, coalesce(sum(r) FILTER (d > 0), 0)::DOUBLE AS w_plus, coalesce(sum(r) FILTER (d < 0), 0)::DOUBLE AS w_minus FROM r GROUP BY 1",
     "summary_json": "SELECT c_mktsegment, '{\"n\":' || count(*) || ',\"hi\":' || max(c_nationkey) || '}' AS doc FROM customer GROUP BY 1",
     "hashed_subsample": "SELECT c_mktsegment, rank::INT AS rank, c_custkey FROM (SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY md5('7|' || c_custkey), c_custkey) AS rank FROM customer) WHERE rank <= 20",
 }

@@ -51,6 +51,17 @@ def hierarchy_legs(spark, d):
     return coupling.aligned(sums, ["label", "leg"]).where("pos = 9").select("label", "leg", F.round("value", 9).alias("centre"))
 
 
+def night_coupling(spark, d):
+    """Coupling across the night: the centre of each channel's (label's) aligned curve in six equal stretches of the recording, mean and standard error over channels."""
+    own = table(spark, d)
+    low, high = own.agg(F.min("vec_id"), F.max("vec_id")).first()
+    tbin = F.least(F.lit(5), F.floor((F.col("vec_id") - F.lit(low)) * 6 / F.lit(max(1, (high or 0) - (low or 0))))).cast("int")
+    sums = coupling.phase_amplitude_sums(own.withColumn("tbin", tbin), ["label", "tbin"], [("leg", PHASE, AMP)], "embedding", block=8)
+    centre = coupling.aligned(sums, ["label", "tbin"]).where("pos = 9")
+    got = centre.groupBy("tbin").agg(F.avg("value").alias("m"), (F.stddev_pop("value") / F.sqrt(F.count("*"))).alias("sem"), F.count("*").alias("n"))
+    return got.select("tbin", F.round("m", 8).alias("centre"), F.round("sem", 8).alias("sem"), "n")
+
+
 def comodulogram_grid(spark, d):
     grid = coupling.comodulogram(table(spark, d), ["label"], [(1, 2), (3, 4)], [(k, k + 3) for k in range(8, 24, 4)], "embedding")
     return grid.withColumn("mi", F.round("mi", 9))
@@ -123,7 +134,7 @@ def peak_to_peak(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    tort_mi_by_label, phase_amp_curve, preferred_phase, aligned_curve_xval, aligned_centre_by_signal, hierarchy_legs, comodulogram_grid, rel_band_power, detrend_residual_std,
+    night_coupling, tort_mi_by_label, phase_amp_curve, preferred_phase, aligned_curve_xval, aligned_centre_by_signal, hierarchy_legs, comodulogram_grid, rel_band_power, detrend_residual_std,
     zscore_signal, robust_z, signal_validity, bipolar_pairs, block_parity_means, circular_shift, local_maxima, peak_order, epoch_average, recording_totals, peak_to_peak,
 )}
 
@@ -159,7 +170,10 @@ _MI = "(ln(18.0) + sum(greatest(mean_amp / tot, 1e-12) * ln(greatest(mean_amp /
 _ONE = [("leg", PHASE, AMP)]
 _GRID = [(f"{p[0]}|{a[0]}", p, a) for p in [(1, 2), (3, 4)] for a in [(k, k + 3) for k in range(8, 24, 4)]]
 
+_NIGHT = "r AS (SELECT min(vec_id) AS lo, greatest(1, max(vec_id) - min(vec_id)) AS span FROM embeddings), binned AS (SELECT vec_id, label * 10 + least(5, floor((vec_id - lo) * 6 / span))::INT AS label, embedding FROM embeddings, r)"
+
 ORACLES = {
+    "night_coupling": f"WITH {_NIGHT}, {_aligned(_ONE, 'label').replace('FROM embeddings', 'FROM binned')} SELECT (label % 10)::INT AS tbin, round(avg(value), 8) AS centre, round(stddev_pop(value) / sqrt(count(*)), 8) AS sem, count(*) AS n FROM al WHERE pos = 9 GROUP BY 1",
     "tort_mi_by_label": f"WITH {_dft(_ONE, 'label')} SELECT label, round({_MI}, 9) AS mi FROM (SELECT *, sum(mean_amp) OVER (PARTITION BY label) AS tot FROM curve) GROUP BY label",
     "phase_amp_curve": f"WITH {_dft(_ONE, 'label')} SELECT label, bin, round(mean_amp, 9) AS mean_amp FROM curve",
     "preferred_phase": f"WITH {_dft(_ONE, 'label')} SELECT label, bin AS pref_bin, round(-pi() + (bin + 0.5) * 2 * pi() / 18, 9) AS pref_phase FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY mean_amp DESC, bin) AS r FROM curve) WHERE r = 1",

@@ -24,8 +24,12 @@ LATE = "10 minutes"
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder below the cluster's checkpoint folder, or a temporary one where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='phasegrid-stream-')}"
+    """A new folder below the cluster's checkpoint folder, or a temporary one where none is set and all runs on one machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='phasegrid-stream-')}"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -37,16 +41,20 @@ def read_blocks(spark: SparkSession, path: str, files_each: int = 4) -> DataFram
 
 
 def drained(stream: DataFrame, mode: str, name: str) -> DataFrame:
-    """Run a stream over all there is now; the table that its last trigger leaves (complete) or all triggers add to (append)."""
+    """Run a stream over all there is now; the table that its last trigger leaves (complete) or all triggers add to (append).
+
+    A trigger writes a folder of its own, over what an earlier try of it has left,
+    so a batch that is run again is not there twice.
+    """
     spark = stream.sparkSession
     out = scratch(spark, name)
 
     def put(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(out)
+        batch.write.mode("overwrite").parquet(out if mode == "complete" else f"{out}/trigger-{epoch}")
 
     query = stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", scratch(spark, f"{name}-progress")).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    return spark.read.schema(stream.schema).option("recursiveFileLookup", True).parquet(out)
 
 
 def accumulated(blocks: DataFrame, keys: Sequence[str], legs, samples: str, block: int | None) -> DataFrame:

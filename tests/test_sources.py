@@ -48,11 +48,11 @@ def test_npz(spark, tmp_path):
 
 
 def test_metadata_rules(spark, tmp_path):
-    (tmp_path / "m.csv").write_text("pt,name,final_label,reg,ch1_soz,ch2_soz\np,A1,left parahippocampal,,false,\np,A2,left hippocampus,,,\np,A3,entorhinal,,true,\np,A4,,ParaHippocampal_L,,\np,A5,,parahippocampal_L,,\np,A6,x,,,true\np,A7,nothing,,,\n")
+    (tmp_path / "m.csv").write_text("pt,name,final_label,reg,ch1_soz,ch2_soz\np,A1,left parahippocampal,,false,\np,A2,left hippocampus,,,\np,A3,entorhinal,,true,\np,A4,,ParaHippocampal_L,,\np,A5,,parahippocampal_L,,\np,A6,x,,,true\np,A7,nothing,,,\np,A8,left middle temporal gyrus,,,\np,A9,temporal pole,,,\np,A10,,Temporal_Mid_L,,\np,A11,,Temporal_Pole_Sup_L,,\np,A12,,Entorhinal_L,,\n")
     m = recordings.read_metadata(spark, str(tmp_path / "m.csv"))
     kept = rollup.normative(m, ["ch1_soz", "ch2_soz", "ch1_resected", "ch2_resected"])
     got = {r["name"]: r.roi for r in kept.select("name", rollup.first_match(rollup.ROI_RULES, F.col("final_label"), F.col("reg")).alias("roi")).collect()}
-    assert got == {"A1": "parahippocampal", "A2": "hippocampal", "A4": "parahippocampal", "A5": None, "A7": None}
+    assert got == {"A1": "parahippocampal", "A2": "hippocampal", "A4": "parahippocampal", "A5": None, "A7": None, "A8": "temporal_neocortex", "A9": None, "A10": "temporal_neocortex", "A11": None, "A12": None}
 
 
 def test_tsv_and_ranges(spark, tmp_path):
