@@ -266,10 +266,11 @@ def test_mixing_odd_rows(spark, odd, none):
 
 def test_rows_without_an_id_are_drawn_each_for_itself(spark):
     df = spark.range(20_000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"), F.lit("s").alias("source"))
-    got = mixing.mix_sources(df, weights={"s": 1.0}, total=30_000.0)
-    assert abs(got.count() - 30_000) < 1_000
-    each = [r.n for r in got.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
-    assert len(each) > 1 and max(each) < 2 * sum(each) / len(each)
+    got = mixing.mix_sources(df, weights={"s": 1.0}, total=30_000.0, with_rates=True)
+    n, keys, texts, part = got.agg(F.count("*"), F.countDistinct("shuffle_key"), F.countDistinct("text"), F.count_if(F.pmod(F.hash("shuffle_key"), F.lit(8)) == 0)).first()
+    # each copy has a place of its own in the shuffle; of texts drawn 1.5 times on average e^-1.5 are left out
+    assert abs(n - 30_000) < 1_000 and keys == n
+    assert abs(texts - 20_000 * (1 - np.exp(-1.5))) < 400 and abs(part - n / 8) < 400
 
 
 # chat
