@@ -30,11 +30,12 @@ def uniform(seed: int, *key: Column) -> Column:
 
 def poisson_quantile(u: Column, rate: Column) -> Column:
     """The least k with P(X <= k) >= u for X ~ Poisson(rate), rate <= MAX_RATE; k is at most STEPS."""
-    start = F.struct(F.exp(-rate).alias("p"), F.exp(-rate).alias("cdf"), F.lit(0).alias("k"))
+    # the state holds number and rate, so that what they are made of is worked out once and not at each step
+    start = F.struct(F.exp(-rate).alias("p"), F.exp(-rate).alias("cdf"), F.lit(0).alias("k"), u.alias("u"), rate.alias("rate"))
 
     def step(s: Column, i: Column) -> Column:
-        p = s["p"] * rate / i
-        return F.when(s["cdf"] >= u, s).otherwise(F.struct(p.alias("p"), (s["cdf"] + p).alias("cdf"), i.alias("k")))
+        p = s["p"] * s["rate"] / i
+        return F.when(s["cdf"] >= s["u"], s).otherwise(F.struct(p.alias("p"), (s["cdf"] + p).alias("cdf"), i.alias("k"), s["u"].alias("u"), s["rate"].alias("rate")))
 
     return F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), start, step, lambda s: s["k"])
 
