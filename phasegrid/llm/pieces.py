@@ -8,7 +8,7 @@ in a unigram model. A character that no piece covers becomes byte pieces.
 
 No piece has a space mark after another character, a tab or a line end, so a text
 falls apart at its words without changing the best path; a worker remembers words
-it has seen.
+it has seen, and when they become too many the half that it met most.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import hashlib
 import re
 from array import array
 from collections.abc import Iterator, Sequence
-from itertools import chain
+from itertools import repeat
 
 import ahocorasick
 import numpy as np
@@ -34,7 +34,7 @@ OFF = -1e8
 #: What an uncovered character scores below the least piece.
 PENALTY = 10.0
 #: Stretches a worker remembers, and the longest one it does.
-REMEMBERED, LONGEST = 200_000, 64
+REMEMBERED, LONGEST = 300_000, 64
 #: Texts that a worker encodes at once.
 TOGETHER = 256
 
@@ -70,12 +70,21 @@ class Pieces:
         self.piece_bytes = np.frombuffer(b"".join(self.bytes_of), dtype=np.uint8)
         self.piece_sizes = np.array([len(b) for b in self.bytes_of], dtype=np.int64)
         self.piece_starts = np.cumsum(self.piece_sizes) - self.piece_sizes
-        self.forget()
-
-    def forget(self) -> None:
-        """Drop the stretches seen so far: their numbers, and by number the ids, one behind the other, and the score."""
+        #: Stretches seen so far: their numbers, and by number the ids, one behind the other, the score and how often it was met.
         self.known: dict[str, int] = {}
         self.ids, self.ends, self.sums = array("i"), array("q", [0]), array("d")
+        self.met = np.zeros(0, dtype=np.int64)
+
+    def forget(self) -> None:
+        """Drop stretches, all but the ``REMEMBERED / 2`` that were met most; what they were met for counts half from now on."""
+        numbers = np.fromiter(self.known.values(), dtype=np.int64, count=len(self.known))
+        chosen = np.sort(np.argsort(-self.met[numbers], kind="stable")[: REMEMBERED // 2])
+        names, numbers = list(self.known), numbers[chosen]
+        self.known = {names[k]: n for n, k in enumerate(chosen.tolist())}
+        ids, ends = np.array(self.ids, dtype=np.int32), np.array(self.ends, dtype=np.int64)
+        starts, sizes = ends[numbers], ends[numbers + 1] - ends[numbers]
+        self.ids, self.ends = array("i", gathered(ids, starts, sizes).tobytes()), array("q", np.cumsum([0, *sizes]).tobytes())
+        self.sums, self.met = array("d", np.array(self.sums)[numbers].tobytes()), self.met[numbers] // 2
 
     #: A word with the space marks before it, marks alone, or a line end or tab.
     STRETCH = re.compile(f"{MARK}*[^{MARK}\\t\\n]+|{MARK}+|[\\t\\n]")
@@ -114,22 +123,31 @@ class Pieces:
 
         A space is put before a text that is not empty.
         """
-        if len(self.known) > REMEMBERED:
+        if len(self.sums) > REMEMBERED:
             self.forget()
-        stretches = [self.STRETCH.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        known, long = self.known, []
-        for stretch in {s for of in stretches for s in of if s not in known}:
+        stretches: list[str] = []
+        counts = np.zeros(len(texts), dtype=np.int64)
+        for k, t in enumerate(texts):
+            if t:
+                own = self.STRETCH.findall(MARK + t.replace(" ", MARK))
+                stretches += own
+                counts[k] = len(own)
+        known = self.known
+        at = np.fromiter(map(known.get, stretches, repeat(-1)), dtype=np.int64, count=len(stretches))
+        missing = np.flatnonzero(at < 0)
+        unknown = [stretches[k] for k in missing.tolist()]
+        fresh = list(dict.fromkeys(unknown))
+        for stretch in fresh:
             ids, score = self.best(stretch)
             known[stretch] = len(self.sums)
             self.ids.extend(ids)
             self.ends.append(len(self.ids))
             self.sums.append(score)
+        at[missing] = np.fromiter(map(known.__getitem__, unknown), dtype=np.int64, count=len(unknown))
+        for stretch in fresh:
             if len(stretch) > LONGEST:
-                long.append(stretch)
-        counts = np.array([len(of) for of in stretches], dtype=np.int64)
-        at = np.fromiter(map(known.__getitem__, chain.from_iterable(stretches)), dtype=np.int64, count=int(counts.sum()))
-        for stretch in long:
-            del known[stretch]
+                del known[stretch]
+        self.met = np.bincount(at, minlength=len(self.sums)) + np.pad(self.met, (0, len(self.sums) - len(self.met)))
         ids, ends, sums = np.array(self.ids, dtype=np.int32), np.array(self.ends, dtype=np.int64), np.array(self.sums)
         owner = np.repeat(np.arange(len(texts)), counts)
         sizes = np.bincount(owner, weights=ends[at + 1] - ends[at], minlength=len(texts)).astype(np.int64)

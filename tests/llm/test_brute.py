@@ -238,3 +238,18 @@ def test_pipeline_stages_of_an_empty_table(spark):
         got = stage(spark, docs, "")
         assert got.count() == 0
         assert name == "encoding" or got.columns == docs.columns
+
+
+def test_pieces_when_stretches_are_forgotten(monkeypatch):
+    """Results are the same whatever a worker remembers."""
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    draw = random.Random(11)
+    texts = [" ".join("".join(draw.choice("abcé日\n") for _ in range(draw.randrange(1, 9))) for _ in range(draw.randrange(40))) for _ in range(60)]
+    texts += ["", "x" * 500, "the the the"]
+    one = [pieces.Pieces(path).encode(t) for t in texts[:5]]
+    whole = pieces.Pieces(path)
+    expected = [whole.encode(t) for t in texts]
+    monkeypatch.setattr(pieces, "REMEMBERED", 20)
+    short = pieces.Pieces(path)
+    assert [short.encode(t) for t in texts] == expected and expected[:5] == one
+    assert len(short.known) < len(whole.known)
