@@ -8,7 +8,8 @@ to three), and label maxima, with the minima between them, start the phrases. A
 boundary thus depends on a few neighbours only, so equal substrings get the same
 phrase names inside, wherever they stand. A name is a 64-bit hash of what it is
 made of. The fingerprint is a one-permutation sketch of the names of level
-``FIRST_LEVEL`` and up.
+``FIRST_LEVEL`` and up; a text with fewer than ``FEW`` of them, some words long,
+adds its names of lower levels, so that the likeness of short texts is graded too.
 
 numpy parses many texts at once; the only state between rows is the arrays of
 one batch, whose characters are bounded.
@@ -26,6 +27,8 @@ from pyspark.sql import functions as F
 
 #: Names of lower levels are a few characters long and occur in most texts of a language.
 FIRST_LEVEL, LEVELS = 3, 40
+#: Names of FIRST_LEVEL and up with which a text needs no others.
+FEW = 8
 #: Bins of a sketch; each is 16 bits in the fingerprint, with EMPTY for a bin without a name.
 BINS, EMPTY = 64, 0xFFFF
 #: Characters parsed together (a longer text is parsed alone, whole).
@@ -156,20 +159,31 @@ def levels(texts: Sequence[str], start: int = 0) -> Iterator[tuple[int, np.ndarr
 
 
 def sketches(texts: Sequence[str]) -> np.ndarray:
-    """A row of BINS 16-bit values for each text; texts too short for FIRST_LEVEL use their highest level."""
+    """A row of BINS 16-bit values for each text.
+
+    A text with fewer than FEW names of FIRST_LEVEL and up also uses its phrases of
+    lower levels, and one that is a run of one character that character.
+    """
     n = len(texts)
     least = np.full(n * BINS, ~U(0), dtype=np.uint64)
-    highest = np.full(n, -1, dtype=np.int64)
-    kept: list[tuple[int, np.ndarray, np.ndarray]] = []
+    highest, upper = np.full(n, -1, dtype=np.int64), np.zeros(n, dtype=np.int64)
+    lower: list[tuple[int, np.ndarray, np.ndarray]] = []
+
+    def put(names: np.ndarray, doc: np.ndarray) -> None:
+        np.minimum.at(least, doc.astype(np.int64) * BINS + (names & U(BINS - 1)).astype(np.int64), names >> U(6))
+
     for level, names, doc in levels(texts):
         highest[doc] = level
         if level >= FIRST_LEVEL:
-            np.minimum.at(least, doc.astype(np.int64) * BINS + (names & U(BINS - 1)).astype(np.int64), names >> U(6))
+            upper += np.bincount(doc, minlength=n)
+            put(names, doc)
         else:
-            kept.append((level, names, doc))
-    for level, names, doc in kept:
-        own = highest[doc] == level
-        np.minimum.at(least, doc[own].astype(np.int64) * BINS + (names[own] & U(BINS - 1)).astype(np.int64), names[own] >> U(6))
+            lower.append((level, names, doc))
+    for level, names, doc in lower:
+        needs = (upper < FEW) & ((level > 0) | (highest == 0))
+        if needs.any():
+            own = needs[doc]
+            put(names[own], doc[own])
     values = (_mix(least) % U(EMPTY)).astype(np.uint16)
     values[least == ~U(0)] = EMPTY
     return values.reshape(n, BINS)

@@ -70,13 +70,30 @@ def test_parse_equals_a_plain_one():
     assert got == {k: list(parsed(t)) for k, t in enumerate(texts)}
     for t, values in zip(texts, fingerprint.sketches(texts), strict=True):
         own = list(parsed(t))
-        used = [x for level in (own[fingerprint.FIRST_LEVEL :] or own[-1:]) for x in level]
+        used = [x for level in own[fingerprint.FIRST_LEVEL :] for x in level]
+        if len(used) < fingerprint.FEW:
+            used = [x for level in own[1:] or own for x in level]
         least = {}
         for x in used:
             least[x & 63] = min(least.get(x & 63, TOP), x >> 6)
         assert values.tolist() == [mixed(least[b]) % 0xFFFF if b in least else 0xFFFF for b in range(64)]
 
 
+def test_short_texts_have_a_graded_likeness():
+    """Half-edited texts of some words are neither strangers nor the same; unrelated ones are hardly alike."""
+    r = random.Random(4)
+    words = ["".join(r.choice("abcdefghijklmnoprstuvwz") for _ in range(r.randrange(3, 9))) for _ in range(400)]
+    texts = [" ".join(r.sample(words, k)) for k in (2, 3, 4, 6, 9) for _ in range(40)]
+    edits = [fingerprint.edited_text(t, u) for t, u in zip(texts, texts[1:] + texts[:1], strict=True)]
+    values = fingerprint.sketches([*texts, *edits])
+    own, edited = values[: len(texts)], values[len(texts) :]
+    near, strange = fingerprint.likeness(own, edited), fingerprint.likeness(own, np.roll(own, 1, axis=0))
+    assert ((near > 0) & (near < 1)).mean() > 0.7 and near.mean() > 0.15 and strange.mean() < 0.05
+    one = fingerprint.sketches(["", "a", "b", "aaa"])
+    assert (one[0] == fingerprint.EMPTY).all() and len({tuple(x) for x in one[:3].tolist()}) == 3
+    assert (one[3] == one[1]).all()  # a run of one character counts as that character
+
+
 def test_ranges_of_many_partitions(spark):
     cuts = sorted(random.Random(2).sample(range(10**9), 80_000))
     df = spark.range(3000).withColumn("x", F.pmod(F.xxhash64("id"), F.lit(10**9)))
