@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phasegrid.llm import chat, exact, fingerprint, langid, mixing, near, pieces, quality, tokens, toxicity
+from phasegrid.llm import chat, exact, fingerprint, langid, leaks, mixing, near, pieces, quality, tokens, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +55,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.leak_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_document_fingerprints": op1_document_fingerprints,
     "op2_sentencepiece": op2_sentencepiece,
@@ -66,6 +70,7 @@ QUERIES = {
     "op8_chat_format": op8_chat_format,
     "op9_token_counts": op9_token_counts,
     "op10_quality": op10_quality,
+    "op13_decontamination": op13_decontamination,
 }
 
 ORACLES = {
@@ -96,4 +101,14 @@ ORACLES = {
         firsts AS (SELECT DISTINCT turns[1:i] AS begun FROM (SELECT turns, unnest(range(1, n_turns)) AS i FROM c)),
         g AS (SELECT turns, min(conv_id) AS conv_id, count(*) AS copies FROM c GROUP BY 1)
         SELECT c.conv_id, c.n_turns, g.copies, c.rendered FROM c JOIN g USING (conv_id) WHERE NOT EXISTS (SELECT 1 FROM firsts WHERE begun = g.turns)""",
+    "op13_decontamination": r"""
+        WITH i AS (SELECT coalesce(item_id::VARCHAR, '') AS name, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+        windows AS (SELECT DISTINCT name, least(10, len(w)) AS size, array_to_string(w[k : k + least(10, len(w)) - 1], ' ') AS gram FROM (SELECT *, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS k FROM i WHERE len(w) > 0)),
+        d AS (SELECT row_number() OVER () AS nth, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+        runs AS (SELECT nth, k, size, array_to_string(w[k : k + size - 1], ' ') AS gram FROM (SELECT nth, w, size, unnest(range(1, len(w) - size + 2)) AS k FROM d, (SELECT DISTINCT size FROM windows) WHERE len(w) >= size)),
+        hits AS (SELECT nth, k, size, name FROM runs JOIN windows USING (size, gram)),
+        words AS (SELECT nth, count(DISTINCT place) AS n_hit FROM (SELECT nth, unnest(range(k, k + size)) AS place FROM hits) GROUP BY 1),
+        items AS (SELECT nth, count(*) AS n_items, sha256(string_agg(name, ',' ORDER BY name)) AS items_sha256 FROM (SELECT DISTINCT nth, name FROM hits) GROUP BY 1)
+        SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(items_sha256, sha256('')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+        FROM d LEFT JOIN words USING (nth) LEFT JOIN items USING (nth)""",
 }
