@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phasegrid.llm import chat, exact, fingerprint, langid, leaks, mixing, near, pieces, quality, tokens, toxicity
+from phasegrid.llm import chat, exact, fingerprint, langid, leaks, mixing, near, negatives, pieces, quality, tokens, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +55,12 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    relabelled = vectors.withColumn("label", F.expr("if(vec_id % 7 = 0, (label + 1) % 10, label)"))
+    return negatives.hard_negatives(relabelled, F.col("id") % 100 == 0)
+
+
 def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.leak_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -70,6 +76,7 @@ QUERIES = {
     "op8_chat_format": op8_chat_format,
     "op9_token_counts": op9_token_counts,
     "op10_quality": op10_quality,
+    "op11_hard_negatives": op11_hard_negatives,
     "op13_decontamination": op13_decontamination,
 }
 
@@ -101,6 +108,13 @@ ORACLES = {
         firsts AS (SELECT DISTINCT turns[1:i] AS begun FROM (SELECT turns, unnest(range(1, n_turns)) AS i FROM c)),
         g AS (SELECT turns, min(conv_id) AS conv_id, count(*) AS copies FROM c GROUP BY 1)
         SELECT c.conv_id, c.n_turns, g.copies, c.rendered FROM c JOIN g USING (conv_id) WHERE NOT EXISTS (SELECT 1 FROM firsts WHERE begun = g.turns)""",
+    "op11_hard_negatives": """
+        WITH v AS (SELECT row_number() OVER () AS nth, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+                   FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT a.nth, a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id, list_inner_product(a.q, b.q)::BIGINT AS score FROM v a JOIN v b ON a.nth <> b.nth WHERE a.vec_id % 100 = 0),
+        p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY nth ORDER BY score DESC, vec_id) <= 5)
+        SELECT p.anchor_id, p.vec_id AS positive_id, row_number() OVER (PARTITION BY p.nth, p.vec_id ORDER BY n.score DESC, n.vec_id)::INTEGER AS rank, n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score
+        FROM p JOIN s n ON n.nth = p.nth AND NOT n.same AND 80 * p.score <= 100 * n.score AND n.score <= p.score QUALIFY rank <= 5""",
     "op13_decontamination": r"""
         WITH i AS (SELECT coalesce(item_id::VARCHAR, '') AS name, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
         windows AS (SELECT DISTINCT name, least(10, len(w)) AS size, array_to_string(w[k : k + least(10, len(w)) - 1], ' ') AS gram FROM (SELECT *, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS k FROM i WHERE len(w) > 0)),
