@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phasegrid.llm import chat, exact, fingerprint, langid, leaks, mixing, near, negatives, pieces, quality, tokens, toxicity
+from phasegrid.llm import chat, exact, fingerprint, langid, leaks, mixing, near, negatives, pieces, quality, tokens, toxicity, trie
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +61,10 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.hard_negatives(relabelled, F.col("id") % 100 == 0)
 
 
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(trie.rebuilt_conversations(trie.named_turns(table(spark, sf_dir, "conversations"))))
+
+
 def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.leak_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -77,6 +81,7 @@ QUERIES = {
     "op9_token_counts": op9_token_counts,
     "op10_quality": op10_quality,
     "op11_hard_negatives": op11_hard_negatives,
+    "op12_conversation_trie": op12_conversation_trie,
     "op13_decontamination": op13_decontamination,
 }
 
@@ -115,6 +120,23 @@ ORACLES = {
         p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY nth ORDER BY score DESC, vec_id) <= 5)
         SELECT p.anchor_id, p.vec_id AS positive_id, row_number() OVER (PARTITION BY p.nth, p.vec_id ORDER BY n.score DESC, n.vec_id)::INTEGER AS rank, n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score
         FROM p JOIN s n ON n.nth = p.nth AND NOT n.same AND 80 * p.score <= 100 * n.score AND n.score <= p.score QUALIFY rank <= 5""",
+    "op12_conversation_trie": """
+        WITH RECURSIVE bits AS (SELECT n, n AS c, 0 AS step FROM (SELECT unnest(range(0, 256)) AS n)
+            UNION ALL SELECT n, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, step + 1 FROM bits WHERE step < 8),
+        crc AS (SELECT list(c ORDER BY n) AS held FROM bits WHERE step = 8),
+        own AS (SELECT conv_id, list(sha256(concat_ws('|', length(coalesce(role, ''))::VARCHAR, coalesce(role, ''), coalesce(text, ''))) || '|' || octet_length(encode(coalesce(text, '')))
+                    ORDER BY turn NULLS FIRST, sha256(concat_ws('|', length(coalesce(role, ''))::VARCHAR, coalesce(role, ''), coalesce(text, '')))) AS turns FROM conversations WHERE conv_id IS NOT NULL GROUP BY 1),
+        hashed AS (SELECT conv_id, turns, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+                    lambda s, b: xor(s >> 8, held[(xor(s, b) & 255) + 1]))) % 9 AS h FROM own, crc),
+        rebuilt AS (SELECT a.conv_id, list_concat(coalesce(b.turns, [])[1 : a.h], a.turns[a.h + 1 :]) AS turns FROM hashed a LEFT JOIN own b ON b.conv_id = a.conv_id - a.conv_id % 5),
+        begun AS (SELECT conv_id, turns[1 : d] AS path, d, len(turns) = d AS ends FROM (SELECT *, unnest(range(0, len(turns) + 1)) AS d FROM rebuilt)),
+        nodes AS (SELECT path, d AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE ends), '') AS ended,
+                    (count(*) - 1) * coalesce(string_split(path[d], '|')[2]::BIGINT, 0) AS saved FROM begun GROUP BY 1, 2),
+        parents AS (SELECT path[1 : depth - 1] AS path, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1),
+        whole AS (SELECT n.*, coalesce(p.n_children, 0) AS n_children FROM nodes n LEFT JOIN parents p USING (path)),
+        trees AS (SELECT path[1 : d] AS path, sum((n_children = 0)::INTEGER)::BIGINT AS n_leaves, sum(saved)::BIGINT AS saved_tokens FROM (SELECT *, unnest(range(0, depth + 1)) AS d FROM whole) GROUP BY 1)
+        SELECT w.conv_id, w.depth, p.conv_id AS parent_conv_id, w.n_convs, w.n_children, t.n_leaves, t.saved_tokens, sha256(w.ended) AS ends_sha256
+        FROM whole w JOIN trees t USING (path) LEFT JOIN whole p ON w.depth > 0 AND p.path = w.path[1 : w.depth - 1]""",
     "op13_decontamination": r"""
         WITH i AS (SELECT coalesce(item_id::VARCHAR, '') AS name, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
         windows AS (SELECT DISTINCT name, least(10, len(w)) AS size, array_to_string(w[k : k + least(10, len(w)) - 1], ' ') AS gram FROM (SELECT *, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS k FROM i WHERE len(w) > 0)),
