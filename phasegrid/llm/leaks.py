@@ -388,17 +388,17 @@ def decontaminate(docs: DataFrame, items: DataFrame, least: int = LEAST, longest
     ``most_covered`` are hit goes; so no document without a hit does, and null
     texts stay null. See ``find_leaks`` for ties, repeats and empty tables.
     """
-    names = {"__words", "__spans", "__items"} & set(docs.columns)
-    if names:
-        raise ValueError(f"columns {sorted(names)} are used here")
-    kept = find_leaks(docs, items, docs.columns, least).where(hit_words() <= F.lit(most_covered) * F.col("__words"))
-    place = docs.columns.index("text")
+    names = docs.columns
+    if taken := {"__words", "__spans", "__items", "__key"} & set(names):
+        raise ValueError(f"columns {sorted(taken)} are used here")
+    kept = find_leaks(docs, items, names, least).where(hit_words() <= F.lit(most_covered) * F.col("__words"))
+    place = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t if not s else _without(t, s, longest) for t, s in zip(batch.column(place).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True)]
             columns = batch.columns[:-1]
             columns[place] = pa.array(texts, columns[place].type)
-            yield pa.RecordBatch.from_arrays(columns, docs.columns)
+            yield pa.RecordBatch.from_arrays(columns, names)
 
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns], "__spans").mapInArrow(run, docs.schema)
+    return kept.select(*[F.col(f"`{c}`") for c in names], "__spans").mapInArrow(run, docs.schema)
