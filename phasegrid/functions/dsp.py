@@ -1,4 +1,4 @@
-"""Signal-processing kernels in numpy over [channel, time] arrays; recursions run over time once for all channels."""
+"""Signal-processing kernels in numpy over [channel, time] arrays; recursions go over stretches of time, once for all channels."""
 
 from __future__ import annotations
 
@@ -42,32 +42,93 @@ def notch(freq: float, sfreq: float, quality: float = 30.0) -> np.ndarray:
     return np.array([[gain, -2 * gain * np.cos(w), gain, 1.0, -2 * gain * np.cos(w), 2 * gain - 1]])
 
 
-def _run(sections: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Filter forward, starting in the steady state of each channel's first sample."""
-    scale = np.ones(len(x))
-    for b0, b1, b2, _, a1, a2 in sections:
-        # steady state of the transposed form for a unit input
-        s = (b0 + b1 + b2) / (1 + a1 + a2)
-        z1, z2 = (s - b0) * scale * x[:, 0], (b2 - a2 * s) * scale * x[:, 0]
-        scale = np.ones(len(x))
+#: Samples that a state-space step covers.
+STEP = 64
+
+
+class StateSpace:
+    """Second-order sections as one linear system: what a stretch of samples does to the state is an affine map.
+
+    A stretch of ``STEP`` samples is one matrix product; the state goes from stretch
+    to stretch, and between blocks of a signal the same way.
+    """
+
+    def __init__(self, sections: np.ndarray):
+        self.sections, self.size = sections, 2 * len(sections)
+        m = STEP
+        unit = np.concatenate([np.eye(self.size), np.zeros((1, self.size))])
+        x = np.zeros((self.size + 1, m))
+        x[-1, 0] = 1.0  # the impulse
+        y, ends = np.empty_like(x), []
+        state = unit
+        for t in range(m):
+            y[:, t], state = self._one(x[:, t], state)
+            ends.append(state)
+        self.free = y[:-1]  # output of each unit state without input
+        self.impulse = y[-1]
+        self.forced = np.array([e[-1] for e in ends])  # state t + 1 samples after an impulse
+        self.power = [np.eye(self.size), *(e[:-1] for e in ends)]  # of the step matrix, acting on rows
+        lag = np.arange(m)[:, None] - np.arange(m)[None, :]
+        self.response = np.where(lag >= 0, self.impulse[np.maximum(lag, 0)], 0.0).T
+        self._powers: dict[int, np.ndarray] = {}
+
+    def _one(self, x: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        out = np.empty_like(state)
+        for k, (b0, b1, b2, _, a1, a2) in enumerate(self.sections):
+            y = b0 * x + state[:, 2 * k]
+            out[:, 2 * k] = b1 * x - a1 * y + state[:, 2 * k + 1]
+            out[:, 2 * k + 1] = b2 * x - a2 * y
+            x = y
+        return x, out
+
+    def steady(self, value: np.ndarray) -> np.ndarray:
+        """The state in which a constant input leaves the system as it is, a row for each value."""
+        out = []
+        for b0, b1, b2, _, a1, a2 in self.sections:
+            s = (b0 + b1 + b2) / (1 + a1 + a2)
+            out += [(s - b0) * value, (b2 - a2 * s) * value]
+            value = s * value
+        return np.stack(out, axis=1)
+
+    def over(self, n: int) -> np.ndarray:
+        """What ``n`` samples do to a state: it is multiplied by this from the right."""
+        if n not in self._powers:
+            self._powers[n] = np.linalg.matrix_power(self.power[1], n)
+        return self._powers[n]
+
+    def run(self, x: np.ndarray, state: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Output and end state of each row of ``x``, from the given states or zeros."""
+        rows, n = x.shape
+        state = np.zeros((rows, self.size)) if state is None else state
         y = np.empty_like(x)
-        for t in range(x.shape[1]):
-            own = x[:, t]
-            out = b0 * own + z1
-            z1 = b1 * own - a1 * out + z2
-            z2 = b2 * own - a2 * out
-            y[:, t] = out
-        x = y
-    return x
+        whole = n // STEP * STEP
+        if whole:
+            parts = x[:, :whole].reshape(rows, -1, STEP)
+            pushed = parts @ self.forced[::-1]
+            states = np.empty_like(pushed)
+            for k in range(parts.shape[1]):
+                states[:, k] = state
+                state = state @ self.power[STEP] + pushed[:, k]
+            y[:, :whole] = (parts @ self.response + states @ self.free).reshape(rows, -1)
+        r = n - whole
+        if r:
+            y[:, whole:] = x[:, whole:] @ self.response[:r, :r] + state @ self.free[:, :r]
+            state = state @ self.power[r] + x[:, whole:] @ self.forced[:r][::-1]
+        return y, state
+
+
+def edge_of(sections: np.ndarray) -> int:
+    """Samples by which both ends are extended: three times the filter's taps."""
+    return 3 * int(2 * len(sections) + 1 - min((sections[:, 2] == 0).sum(), (sections[:, 5] == 0).sum()))
 
 
 def filtfilt(sections: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Zero-phase filtering with odd extension at both ends (three times the filter's taps)."""
     x = np.atleast_2d(np.asarray(x, dtype=np.float64))
-    taps = 2 * len(sections) + 1 - min((sections[:, 2] == 0).sum(), (sections[:, 5] == 0).sum())
-    edge = min(3 * taps, x.shape[1] - 1)
+    edge, system = min(edge_of(sections), x.shape[1] - 1), StateSpace(sections)
     long = np.concatenate([2 * x[:, :1] - x[:, edge:0:-1], x, 2 * x[:, -1:] - x[:, -2 : -edge - 2 : -1]], axis=1)
-    back = _run(sections, _run(sections, long)[:, ::-1])[:, ::-1]
+    there = system.run(long, system.steady(long[:, 0]))[0][:, ::-1]
+    back = system.run(there, system.steady(there[:, 0]))[0][:, ::-1]
     return back[:, edge : edge + x.shape[1]]
 
 
