@@ -1,6 +1,8 @@
-"""Queries whose kernels SQL can't express, over recordings: each user's hourly values, gaps filled, at 24 samples a day.
+"""Queries over recordings: each user's hourly values, gaps filled, at 24 samples a day.
 
-Rates and bands are per day, so that the slow band is one cycle a day.
+Rates and bands are per day, so that the slow band is one cycle a day. Filtering,
+spectra, peaks and resampling work on blocks or single samples of the signals; the
+kernels that take whole signals have no SQL form.
 """
 
 from __future__ import annotations
@@ -9,14 +11,30 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from phasegrid.functions import dsp
+from phasegrid.operators import blocks, kernels, rollup, samples
 from phasegrid.operators import events as ev
-from phasegrid.operators import kernels, rollup
 from phasegrid.plans import event_queries, relational_queries
 
 RATE = 24.0
 SLOW, SPINDLE, RIPPLE = (0.5, 1.25), (2.0, 4.0), (6.0, 11.0)
 
 
+#: Hours of a block; signals are longer, so filters go on from block to block.
+HOURS = 256
+
+
+def hours(spark: SparkSession, d: str) -> DataFrame:
+    """``user_id, k, v``: a row for each hour from the user's first event to the last."""
+    return ev.interpolated(event_queries._grid(spark, d), ["user_id"]).select("user_id", "k", F.col("filled").alias("v"))
+
+
+def slow_hours(spark: SparkSession, d: str) -> DataFrame:
+    """``user_id, i, x``: the slow band, line taken off, zero phase."""
+    own = blocks.blocks_of_samples(hours(spark, d), ["user_id"], size=HOURS)
+    return blocks.samples_of_blocks(blocks.bandpassed_blocks(own, ["user_id"], *SLOW, RATE), ["user_id"])
+
+
 def recordings(spark: SparkSession, d: str) -> DataFrame:
     """``user_id, samples, marks``: a user's hours from the first event to the last, and the hours of purchases in it."""
     grid = ev.interpolated(event_queries._grid(spark, d), ["user_id"])
@@ -40,8 +58,7 @@ def pac_masked(spark, d):
 
 
 def sos_bandpass(spark, d):
-    got = kernels.filtered(recordings(spark, d), ["user_id"], "samples", *SLOW, RATE)
-    return _rounded(got.select("user_id", F.posexplode("samples").alias("i", "x")))
+    return slow_hours(spark, d).select("user_id", F.col("i").cast("int").alias("i"), F.round("x", 4).alias("x"))
 
 
 def hilbert_kernel(spark, d):
@@ -49,13 +66,20 @@ def hilbert_kernel(spark, d):
     return _rounded(got.select("user_id", F.posexplode(F.arrays_zip("phase", "envelope")).alias("i", "z")).select("user_id", "i", "z.phase", "z.envelope"))
 
 
+WELCH_BANDS, WELCH_WHOLE, WELCH_HOURS = {"slow": (0.5, 1.25), "delta": (0.5, 2.0), "spindle": (2.0, 4.0), "gamma": (6.0, 12.0)}, (0.5, 10.0), 192
+
+
 def welch_kernel(spark, d):
-    bands = {"slow": (0.5, 1.25), "delta": (0.5, 2.0), "spindle": (2.0, 4.0), "gamma": (6.0, 12.0)}
-    return _rounded(kernels.band_powers(recordings(spark, d), ["user_id"], "samples", bands, (0.5, 10.0), RATE, 8.0))
+    """Each band's share of the power, from stretches of eight days, each half over the next."""
+    own = samples.numbered(hours(spark, d), ["user_id"], detrend=True).where("n >= 8")
+    return _rounded(samples.band_shares(samples.welch(own, ["user_id"], WELCH_HOURS, RATE), ["user_id"], WELCH_BANDS, WELCH_WHOLE))
 
 
 def peaks_kernel(spark, d):
-    return _rounded(kernels.troughs(recordings(spark, d), ["user_id"], "samples", *SLOW, RATE))
+    """Troughs of the slow band's z-score, a standard deviation deep or more and 0.6 days apart."""
+    z = samples.scored(slow_hours(spark, d), ["user_id"], "x").withColumn("x", -F.col("x"))
+    found = samples.apart(samples.local_maxima(z, ["user_id"], "i", "x", 1.0), ["user_id"], 0.6 * RATE)
+    return found.select("user_id", F.col("at").cast("int").alias("at"), F.round("height", 6).alias("depth"))
 
 
 def nesting_timecourse(spark, d):
@@ -88,14 +112,29 @@ def time_frequency_map(spark, d):
     return mean.select("freq", "offset", F.round((F.col("m") - F.avg("m").over(w)) / (F.stddev_pop("m").over(w) + 1e-12), 6).alias("z"), "n")
 
 
+def _taps(down: int) -> list[float]:
+    """The anti-alias filter of resampling: Kaiser window, beta 5."""
+    return dsp.lowpass_taps(20 * down + 1, 1.0 / down, np.kaiser(20 * down + 1, 5.0)).tolist()
+
+
+def _decimating_taps(factor: int) -> list[float]:
+    """That of decimation: Hamming window."""
+    return dsp.lowpass_taps(20 * factor + 1, 1.0 / factor, np.hamming(20 * factor + 1)).tolist()
+
+
+def _resampled(spark, d, down, taps):
+    own = samples.numbered(hours(spark, d), ["user_id"]).where("n >= 8")
+    return samples.resampled(own, ["user_id"], 1, down, taps).select("user_id", F.col("i").cast("int").alias("i"), F.round("v", 5).alias("x"))
+
+
 def resampled_signals(spark, d):
-    got = kernels.resampled(recordings(spark, d), ["user_id"], "samples", 1, 4)
-    return _rounded(got.select("user_id", F.posexplode("samples").alias("i", "x")))
+    """Every fourth hour, through the filter of polyphase resampling."""
+    return _resampled(spark, d, 4, _taps(4))
 
 
 def decimated_signals(spark, d):
-    got = kernels.decimated(recordings(spark, d), ["user_id"], "samples", 2)
-    return _rounded(got.select("user_id", F.posexplode("samples").alias("i", "x")))
+    """Every other hour, through the filter of decimation."""
+    return _resampled(spark, d, 2, _decimating_taps(2))
 
 
 def long_traces(spark, d):
@@ -132,3 +171,53 @@ QUERIES = {f.__name__: f for f in (
     pac_surrogate_z, pac_masked, sos_bandpass, hilbert_kernel, welch_kernel, peaks_kernel, nesting_timecourse, nesting_by_subject, ripple_triggered_z, event_hierarchy, time_frequency_map, resampled_signals, decimated_signals,
     long_traces, bootstrap_ci, wilcoxon_p, spearman_p, region_profile,
 )}
+
+
+def _recursion(name: str, source: str) -> str:
+    """A recursive CTE that runs the slow band's three sections over ``source`` (user_id, t, x), from the steady state of its first sample."""
+    first, step, x, scale = [], [], "q.x", 1.0
+    for k, (b0, b1, b2, _, a1, a2) in enumerate(dsp.butter_bandpass(*SLOW, RATE).tolist(), 1):
+        level = (b0 + b1 + b2) / (1 + a1 + a2)
+        first += ["0.0::DOUBLE", f"{(level - b0) * scale!r}::DOUBLE * x", f"{(b2 - a2 * level) * scale!r}::DOUBLE * x"]
+        step += [f"{b0!r}::DOUBLE * {x} + f.z{k}1 AS o{k}", f"{b1!r}::DOUBLE * {x} - {a1!r}::DOUBLE * o{k} + f.z{k}2", f"{b2!r}::DOUBLE * {x} - {a2!r}::DOUBLE * o{k}"]
+        x, scale = f"o{k}", scale * level
+    return f"""{name}(user_id, t, y1, z11, z12, y2, z21, z22, y3, z31, z32) AS (SELECT user_id, 0::BIGINT, {", ".join(first)} FROM {source} WHERE t = 1
+        UNION ALL SELECT f.user_id, f.t + 1, {", ".join(step)} FROM {name} f JOIN {source} q ON q.user_id = f.user_id AND q.t = f.t + 1)"""
+
+
+_S = f"""WITH RECURSIVE {event_queries._I}, s AS (SELECT user_id, k - min(k) OVER (PARTITION BY user_id) AS i, filled AS v, count(*) OVER (PARTITION BY user_id) AS n FROM i),
+    line AS (SELECT user_id, regr_slope(v, i) AS b, regr_intercept(v, i) AS a FROM s WHERE n >= 8 GROUP BY 1 HAVING min(v) < max(v)),
+    x AS (SELECT user_id, i, n, v, v - a - b * i AS x, least(21, n - 1) AS edge FROM s JOIN line USING (user_id))"""
+_SLOW = f"""{_S}, ends AS (SELECT user_id, min_by(x, i) AS head, max_by(x, i) AS tail FROM x GROUP BY 1),
+    extended AS (SELECT user_id, i AS p, x FROM x UNION ALL SELECT user_id, -i, 2 * head - x FROM x JOIN ends USING (user_id) WHERE i BETWEEN 1 AND edge
+        UNION ALL SELECT user_id, 2 * (n - 1) - i, 2 * tail - x FROM x JOIN ends USING (user_id) WHERE i BETWEEN n - 1 - edge AND n - 2),
+    q1 AS MATERIALIZED (SELECT user_id, p, row_number() OVER (PARTITION BY user_id ORDER BY p) AS t, x FROM extended), {_recursion("f1", "q1")},
+    q2 AS MATERIALIZED (SELECT f1.user_id, q1.p, row_number() OVER (PARTITION BY f1.user_id ORDER BY f1.t DESC) AS t, f1.y3 AS x FROM f1 JOIN q1 USING (user_id, t)), {_recursion("f2", "q2")},
+    y AS (SELECT f2.user_id, q2.p AS i, f2.y3 AS x FROM f2 JOIN q2 USING (user_id, t) JOIN x ON x.user_id = f2.user_id AND x.i = q2.p)"""
+_AREA = "coalesce(sum(p) FILTER (hz >= {0} AND hz < {1}) - (arg_min(p, hz) FILTER (hz >= {0} AND hz < {1}) + arg_max(p, hz) FILTER (hz >= {0} AND hz < {1})) / 2, 0)"
+
+
+def _fir(down: int, taps: list[float]) -> str:
+    half = (len(taps) - 1) // 2
+    return f"""{_S}, taps AS (SELECT unnest(range({len(taps)})) AS m, unnest({taps!r}) AS h)
+        SELECT user_id, ((i + m - {half}) // {down})::INT AS i, round(sum(v * h), 5) AS x FROM x, taps WHERE (i + m - {half}) % {down} = 0 AND i + m >= {half} AND i + m - {half} < n GROUP BY 1, 2"""
+
+
+ORACLES = {
+    "sos_bandpass": f"{_SLOW} SELECT user_id, i::INT AS i, round(x, 4) AS x FROM y",
+    "peaks_kernel": f"""{_SLOW}, z AS (SELECT user_id, i, -(x - avg(x) OVER (PARTITION BY user_id)) / (stddev_pop(x) OVER (PARTITION BY user_id) + 1e-12) AS z FROM y),
+        tops AS (SELECT user_id, list({{'z': z, 'place': i}}) AS c FROM (SELECT *, lag(z) OVER w AS a, lead(z) OVER w AS b FROM z WINDOW w AS (PARTITION BY user_id ORDER BY i)) WHERE z > a AND z > b AND z >= 1 GROUP BY 1),
+        picked(user_id, top, c) AS (SELECT user_id, list_max(c), c FROM tops UNION ALL
+            SELECT user_id, list_max(rest), rest FROM (SELECT user_id, list_filter(c, lambda e: abs(e.place - top.place) >= 15) AS rest FROM picked) WHERE len(rest) > 0)
+        SELECT user_id, top.place::INT AS "at", round(top.z, 6) AS depth FROM picked""",
+    "welch_kernel": f"""{_S}, p AS (SELECT *, least({WELCH_HOURS}, n) AS size, least({WELCH_HOURS}, n) - least({WELCH_HOURS}, n) // 2 AS step FROM x),
+        cut AS (SELECT user_id, seg, size, i - seg * step AS place, x FROM (SELECT *, unnest(range(greatest(0, (i - size + step) // step), least(i // step, (n - size) // step) + 1)) AS seg FROM p)),
+        tapered AS (SELECT user_id, seg, size, place, (x - avg(x) OVER (PARTITION BY user_id, seg)) * (0.5 - 0.5 * cos(2 * pi() * place / size)) AS x, sum(pow(0.5 - 0.5 * cos(2 * pi() * place / size), 2)) OVER (PARTITION BY user_id, seg) AS mass FROM cut),
+        parts AS (SELECT user_id, seg, size, f, (pow(sum(x * cos(2 * pi() * ((f * place) % size) / size)), 2) + pow(sum(x * sin(2 * pi() * ((f * place) % size) / size)), 2)) / ({RATE} * any_value(mass)) * CASE WHEN f = 0 OR 2 * f = size THEN 1 ELSE 2 END AS p
+            FROM tapered, range(0, {WELCH_HOURS // 2 + 1}) fs(f) WHERE 2 * f <= size GROUP BY 1, 2, 3, 4),
+        powers AS (SELECT user_id, f * {RATE} / size AS hz, avg(p) AS p FROM parts GROUP BY 1, 2),
+        areas AS (SELECT user_id, {_AREA.format(*WELCH_WHOLE)} AS whole, {", ".join(f"{_AREA.format(*b)} AS {name}" for name, b in WELCH_BANDS.items())} FROM powers GROUP BY 1)
+        SELECT user_id, {", ".join(f"round({name} / whole, 6) AS {name}" for name in WELCH_BANDS)} FROM areas WHERE whole > 0""",
+    "resampled_signals": _fir(4, _taps(4)),
+    "decimated_signals": _fir(2, _decimating_taps(2)),
+}

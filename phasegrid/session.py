@@ -5,9 +5,10 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 PACKAGE = Path(__file__).resolve().parent
 _shipped: set[str] = set()
@@ -34,3 +35,20 @@ def ship_package(spark: SparkSession) -> None:
         folder = tempfile.mkdtemp(prefix="phasegrid-package-")
         spark.sparkContext.addPyFile(shutil.make_archive(f"{folder}/phasegrid_package", "zip", root, PACKAGE.name))
         _shipped.add(app)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder below the cluster's checkpoint folder, or a temporary one where none is set and all runs on one machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='phasegrid-scratch-')}"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to a folder of its own and read again, which cuts its lineage."""
+    folder = scratch(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)

@@ -9,8 +9,6 @@ whose files may be in any order of time.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -19,20 +17,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from phasegrid.operators import coupling
+from phasegrid.session import scratch
 
 LATE = "10 minutes"
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder below the cluster's checkpoint folder, or a temporary one where none is set and all runs on one machine."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
-        base = f"file://{tempfile.mkdtemp(prefix='phasegrid-stream-')}"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def read_blocks(spark: SparkSession, path: str, files_each: int = 4) -> DataFrame:
     """A file stream over a Parquet table, a few files a trigger."""
     schema = spark.read.parquet(path).schema
