@@ -7,7 +7,6 @@ finite, constant or too short give no row.
 
 from __future__ import annotations
 
-import math
 import zlib
 from collections.abc import Callable, Iterator, Sequence
 
@@ -222,45 +221,6 @@ def long_trace(df, keys, samples, sfreq: float, rate: float = 100.0, seconds: fl
     return map_signals(df, keys, samples, "samples array<double>", kernel)
 
 
-def bootstrap(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, draws: int = 2000) -> DataFrame:
-    """``*keys, mean, ci_lo, ci_hi, n``: percentile interval of the mean of each group's values, sorted by ``order``.
-
-    Meant for values of subjects, a few in each group: a group is resampled in one task.
-    """
-    names = list(keys)
-
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        x = rows.sort_values(list(order))[value].dropna().to_numpy()
-        low, high = stats.bootstrap_ci(x, draws=draws)
-        return pd.DataFrame([(*key, float(x.mean()) if len(x) else None, low, high, len(x))], columns=[*names, "mean", "ci_lo", "ci_hi", "n"])
-
-    schema = T.StructType([*(df.schema[k] for k in names), *T._parse_datatype_string("mean double, ci_lo double, ci_hi double, n long").fields])
-    return df.select(*names, *order, value).groupBy(*names).applyInPandas(run, schema)
-
-
-def paired_test(pairs: DataFrame, keys: Sequence[str], a: str, b: str) -> DataFrame:
-    """``*keys, n, w, p`` of the signed-rank test of b against a; groups are subjects of one kind."""
-    names = list(keys)
-
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        w, p = stats.wilcoxon(rows[b].to_numpy(), rows[a].to_numpy())
-        return pd.DataFrame([(*key, len(rows), w, p)], columns=[*names, "n", "w", "p"])
-
-    schema = T.StructType([*(pairs.schema[k] for k in names), *T._parse_datatype_string("n long, w double, p double").fields])
-    return pairs.select(*names, a, b).groupBy(*names).applyInPandas(run, schema)
-
-
 @F.pandas_udf(T.DoubleType())
 def spearman_p(rho: pd.Series, n: pd.Series) -> pd.Series:
     return pd.Series([stats.spearman_p(r, int(k)) if r == r and k >= 3 else float("nan") for r, k in zip(rho, n, strict=True)])
-
-
-@F.pandas_udf(T.DoubleType())
-def rank_sum_p(u: pd.Series, a: pd.Series, b: pd.Series, ties: pd.Series) -> pd.Series:
-    """Two-sided normal p of a rank sum, corrected for continuity and for ties (sum of t^3 - t); 1 where all values are equal."""
-    out = []
-    for x, m, n, tied in zip(u, a, b, ties, strict=True):
-        spread = (m * n / 12 * (m + n + 1 - tied / ((m + n) * (m + n - 1)))) ** 0.5 if m + n > 1 else 0.0
-        z = (max(x, m * n - x) - m * n / 2 - 0.5) / spread if spread > 0 else 0.0
-        out.append(min(1.0, math.erfc(z / math.sqrt(2))))
-    return pd.Series(out)

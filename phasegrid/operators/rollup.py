@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from phasegrid.session import written
+
 # Regions, patterns of the lower-case label, patterns of the code; in the order they are tried.
 ROI_RULES = [
     ("entorhinal", ["entorhinal"], []),
@@ -74,11 +76,53 @@ def with_running_counts(hist: DataFrame, keys: Sequence[str], value: str, counts
     return placed.select(*hist.columns, *running)
 
 
+#: Distinct values of a key that are put in order in one task.
+FIT = 100_000
+
+
+def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, shares: Sequence[float]) -> DataFrame:
+    """``*keys, percentiles, n``: exact percentiles, between two values on the line, as an array in the order of ``shares``.
+
+    Selection by counts: values are dealt to ranges, the ranges' totals tell where
+    the wanted ranks are, and only those ranges are kept and cut again, until what
+    is left of each fits a task. Nulls are left out; a key without a value gives no row.
+    """
+    names = list(keys)
+    hist = df.where(F.col(value).isNotNull()).groupBy(*names, F.col(value).alias("__v")).agg(F.count("*").alias("__c"))
+    totals = hist.groupBy(*names).agg(F.sum("__c").alias("n"))
+    place = F.array(*[F.struct(F.lit(k).alias("share"), (F.lit(float(q)) * (F.col("n") - 1)).alias("at")) for k, q in enumerate(shares)])
+    wanted = totals.select(*names, F.explode(place).alias("p"))
+    ends = F.explode(F.array(F.struct(F.lit(0).alias("end"), F.floor("p.at").alias("rank")), F.struct(F.lit(1).alias("end"), F.ceil("p.at").alias("rank"))))
+    wanted = wanted.select(*names, F.lit(0).cast("long").alias("__cell"), F.col("p.share").alias("share"), (F.col("p.at") - F.floor("p.at")).alias("part"), ends.alias("e"))
+    wanted = wanted.select(*names, "__cell", "share", "part", "e.end", "e.rank")
+    left, cell = hist.withColumn("__cell", F.lit(0).cast("long")), [*names, "__cell"]
+    cuts_at = F.array(*[F.lit(k / RANGES) for k in range(1, RANGES)])
+    while (left.groupBy(*cell).count().agg(F.max("count")).first()[0] or 0) > FIT:
+        cuts = left.groupBy(*cell).agg(F.percentile_approx("__v", cuts_at, F.lit(20 * RANGES)).alias("__cuts"))
+        dealt = left.join(cuts, cell).withColumn("__range", F.size(F.filter("__cuts", lambda c: c <= F.col("__v")))).drop("__cuts")
+        sums = dealt.groupBy(*cell, "__range").agg(F.sum("__c").alias("__t"))
+        start = F.coalesce(F.sum("__t").over(Window.partitionBy(*cell).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
+        found = wanted.join(sums.withColumn("__start", start), cell).where("rank >= `__start` and rank < `__start` + `__t`")
+        inner = F.col("__cell") * RANGES + F.col("__range")
+        wanted = written(found.select(*names, inner.alias("__cell"), "share", "part", "end", (F.col("rank") - F.col("__start")).alias("rank")), "ranks")
+        left = written(dealt.withColumn("__cell", inner).drop("__range").join(wanted.select(*cell).distinct(), cell, "left_semi"), "ranges")
+    below = F.coalesce(F.sum("__c").over(Window.partitionBy(*cell).orderBy("__v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
+    met = wanted.join(left.withColumn("__below", below), cell).where("rank >= `__below` and rank < `__below` + `__c`")
+    both = met.groupBy(*names, "share").agg(F.max(F.when(F.col("end") == 0, F.col("__v"))).alias("lo"), F.max(F.when(F.col("end") == 1, F.col("__v"))).alias("hi"), F.first("part").alias("part"))
+    each = both.withColumn("v", F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("part"))
+    listed = each.groupBy(*names).agg(F.transform(F.sort_array(F.collect_list(F.struct("share", "v"))), lambda x: x["v"]).alias("percentiles"))
+    return listed.join(totals, names) if names else listed.crossJoin(F.broadcast(totals))
+
+
 def signed_rank(df: DataFrame, keys: Sequence[str], difference: str) -> DataFrame:
-    """``*keys, n, w_plus, w_minus`` of the signed-rank statistic; null and zero differences are dropped, ties share their average rank."""
+    """``*keys, n, w_plus, w_minus, ties`` of the signed-rank statistic; null and zero differences are dropped, ties share their average rank.
+
+    ``ties`` is the sum of t^3 - t over the tied sizes.
+    """
     own = df.where(F.col(difference) != 0).groupBy(*keys, F.abs(difference).alias("__a")).agg(F.count("*").alias("c"), F.count_if(F.col(difference) > 0).alias("up"))
     ranked = with_running_counts(own, keys, "__a", ["c"]).withColumn("r", F.col("below_c") + (F.col("c") + 1) / 2)
-    return ranked.groupBy(*keys).agg(F.sum("c").alias("n"), F.sum(F.col("up") * F.col("r")).alias("w_plus"), F.sum((F.col("c") - F.col("up")) * F.col("r")).alias("w_minus"))
+    t = F.col("c").cast("double")
+    return ranked.groupBy(*keys).agg(F.sum("c").alias("n"), F.sum(F.col("up") * F.col("r")).alias("w_plus"), F.sum((F.col("c") - F.col("up")) * F.col("r")).alias("w_minus"), F.sum(t * t * t - t).alias("ties"))
 
 
 def rank_sum(df: DataFrame, keys: Sequence[str], group: str, value: str) -> DataFrame:

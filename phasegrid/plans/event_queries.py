@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from phasegrid.operators import events as ev
-from phasegrid.operators import rollup
+from phasegrid.operators import inference, rollup
+from phasegrid.plans import sql
 
 HOUR = 3600.0
 
@@ -80,21 +81,28 @@ def split_half_reliability(spark, d):
     return rollup.spearman(_halves(spark, d), [], "a", "b").select(F.round("rho", 9).alias("rho"), "n")
 
 
+#: Purchases drawn for the correlation, of a user and of all.
+EVENTS_EACH, EVENTS_POOLED = 400, 3000
+
+
 def validation_summary(spark, d):
-    """Users and events, the mean over users, how the halves agree, and how the mean after a purchase goes with the purchase's own value."""
-    each = _after_purchase(spark, d).withColumn("up", F.round("up", 9))
+    """Users and events, the mean over users with its interval, how the halves agree, and how the mean after a purchase goes with the purchase's own value, over a drawn sample of purchases."""
+    each = _after_purchase(spark, d).withColumn("up", F.round("up", 9)).withColumn("drawn", F.md5(F.concat_ws("|", F.lit("9"), F.col("user_id").cast("string"), F.col("event_id").cast("string"))))
+    each = ev.first_n(each, ["user_id"], ["drawn"], EVENTS_EACH).orderBy("drawn").limit(EVENTS_POOLED)
     halves = _halves(spark, d)
-    one = halves.agg(F.count("*").alias("n_users"), F.sum("n").alias("n_events"), F.round(F.avg("up"), 7).alias("mean_up")).withColumn("all", F.lit(0))
+    interval = inference.bootstrap(halves, [], ["user_id"], "up").select(F.round("ci_lo", 7).alias("ci_lo"), F.round("ci_hi", 7).alias("ci_hi"), F.lit(0).alias("all"))
+    one = halves.agg(F.count("*").alias("n_users"), F.sum("n").alias("n_events"), F.round(F.avg("up"), 7).alias("mean_up")).withColumn("all", F.lit(0)).join(interval, "all")
     split = rollup.spearman(halves, [], "a", "b").select(F.lit(0).alias("all"), F.round("rho", 9).alias("split_r"))
     depth = rollup.spearman(each, [], "depth", "up").select(F.lit(0).alias("all"), F.round("rho", 9).alias("depth_r"))
     return one.join(split, "all").join(depth, "all").drop("all")
 
 
 def validation_by_cohort(spark, d):
-    """The same for three cohorts of users: number, mean, standard error, and the halves' rank correlation."""
+    """The same for three cohorts of users: number, mean, standard error, interval, and the halves' rank correlation."""
     halves = _halves(spark, d).withColumn("cohort", F.col("user_id") % 3)
     means = halves.groupBy("cohort").agg(F.count("*").alias("n_subj"), F.round(F.avg("up"), 7).alias("mean_up"), F.round(F.stddev_pop("up") / F.sqrt(F.count("*")), 7).alias("sem"))
-    return means.join(rollup.spearman(halves, ["cohort"], "a", "b").select("cohort", F.round("rho", 9).alias("split_r")), "cohort")
+    interval = inference.bootstrap(halves, ["cohort"], ["user_id"], "up").select("cohort", F.round("ci_lo", 7).alias("ci_lo"), F.round("ci_hi", 7).alias("ci_hi"))
+    return means.join(interval, "cohort").join(rollup.spearman(halves, ["cohort"], "a", "b").select("cohort", F.round("rho", 9).alias("split_r")), "cohort")
 
 
 def event_phase_rayleigh(spark, d):
@@ -141,8 +149,8 @@ def percentile_stage(spark, d):
 
 def value_percentiles(spark, d):
     """Exact percentiles with linear interpolation, median and count of each event type."""
-    got = table(spark, d).groupBy("event_type").agg(F.percentile("value", F.array(*map(F.lit, (0.025, 0.975, 0.95, 0.98)))).alias("p"), F.median("value").alias("median"), F.count("value").alias("n"))
-    return got.select("event_type", *[F.round(F.col("p")[k], 7).alias(n) for k, n in enumerate(("p025", "p975", "p95", "p98"))], F.round("median", 7).alias("median"), "n")
+    got = rollup.exact_percentiles(table(spark, d), ["event_type"], "value", (0.025, 0.975, 0.95, 0.98, 0.5))
+    return got.select("event_type", *[F.round(F.col("percentiles")[k], 7).alias(n) for k, n in enumerate(("p025", "p975", "p95", "p98", "median"))], "n")
 
 
 def tumbling_epochs(spark, d):
@@ -240,10 +248,12 @@ _ABC = f"{_RANK.format(p='PARTITION BY cohort', k='cohort, ', v='a')} AS ra, {_R
 
 ORACLES = {
     "split_half_reliability": f"WITH {_UP} SELECT round(corr(ra, rb), 9) AS rho, count(*) AS n FROM (SELECT {_AB} FROM h)",
-    "validation_summary": f"""WITH {_UP}, s AS (SELECT round(corr(ra, rb), 9) AS split_r FROM (SELECT {_AB} FROM h)),
-        d AS (SELECT depth AS a, round(up, 9) AS b FROM u), r AS (SELECT round(corr(ra, rb), 9) AS depth_r FROM (SELECT {_AB} FROM d))
-        SELECT n_users, n_events, mean_up, split_r, depth_r FROM (SELECT count(*) AS n_users, sum(n)::BIGINT AS n_events, round(avg(up), 7) AS mean_up FROM h), s, r""",
-    "validation_by_cohort": f"WITH {_UP} SELECT cohort, count(*) AS n_subj, round(avg(up), 7) AS mean_up, round(stddev_pop(up) / sqrt(count(*)), 7) AS sem, round(corr(ra, rb), 9) AS split_r FROM (SELECT *, {_ABC} FROM h) GROUP BY 1",
+    "validation_summary": f"""WITH {_UP}, s AS (SELECT round(corr(ra, rb), 9) AS split_r FROM (SELECT {_AB} FROM h)), {sql.bootstrap("h", [], ["user_id"], "up")},
+        drawn AS (SELECT *, md5('9|' || user_id || '|' || event_id) AS draw FROM u QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY draw) <= {EVENTS_EACH}),
+        d AS (SELECT depth AS a, round(up, 9) AS b FROM drawn ORDER BY draw LIMIT {EVENTS_POOLED}), r AS (SELECT round(corr(ra, rb), 9) AS depth_r FROM (SELECT {_AB} FROM d))
+        SELECT n_users, n_events, mean_up, round(ci_lo, 7) AS ci_lo, round(ci_hi, 7) AS ci_hi, split_r, depth_r FROM (SELECT count(*) AS n_users, sum(n)::BIGINT AS n_events, round(avg(up), 7) AS mean_up FROM h), s, r, ci""",
+    "validation_by_cohort": f"""WITH {_UP}, {sql.bootstrap("h", ["cohort"], ["user_id"], "up")}
+        SELECT h.cohort, count(*) AS n_subj, round(avg(up), 7) AS mean_up, round(stddev_pop(up) / sqrt(count(*)), 7) AS sem, round(any_value(ci_lo), 7) AS ci_lo, round(any_value(ci_hi), 7) AS ci_hi, round(corr(ra, rb), 9) AS split_r FROM (SELECT *, {_ABC} FROM h) h JOIN ci USING (cohort) GROUP BY 1""",
     "ied_mask_antijoin": _ANTI.format(low=">="),
     "ied_mask_open": _ANTI.format(low=">"),
     "triggered_average": f"WITH {_I}, b AS (SELECT user_id, floor(t / 3600)::BIGINT AS k0 FROM e WHERE event_type = 'purchase') SELECT (i.k - b.k0)::INT AS \"offset\", round(avg(filled), 7) AS mean_v, count(*) AS n FROM b JOIN i ON i.user_id = b.user_id AND i.k >= b.k0 - 4 AND i.k < b.k0 + 4 GROUP BY 1",

@@ -12,9 +12,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from phasegrid.functions import dsp
-from phasegrid.operators import blocks, kernels, rollup, samples
+from phasegrid.operators import blocks, inference, kernels, rollup, samples
 from phasegrid.operators import events as ev
-from phasegrid.plans import event_queries, relational_queries
+from phasegrid.plans import event_queries, relational_queries, sql
 
 RATE = 24.0
 SLOW, SPINDLE, RIPPLE = (0.5, 1.25), (2.0, 4.0), (6.0, 11.0)
@@ -145,14 +145,21 @@ def long_traces(spark, d):
 def bootstrap_ci(spark, d):
     """Mean of the nations' means and its interval, by region and state."""
     o = relational_queries._orders(spark, d).groupBy("r_name", "o_orderstatus", "n_name").agg(F.avg("o_totalprice").alias("v"))
-    return _rounded(kernels.bootstrap(o, ["r_name", "o_orderstatus"], ["n_name"], "v"), 4)
+    return _rounded(inference.bootstrap(o, ["r_name", "o_orderstatus"], ["n_name"], "v"), 4)
 
 
 def wilcoxon_p(spark, d):
     """Signed-rank test of the nations' means between two states, by region."""
     o = relational_queries._orders(spark, d)
     pairs = rollup.paired_states(o, ["r_name", "n_name"], "o_orderstatus", "o_totalprice", ["O", "F"])
-    return _rounded(kernels.paired_test(pairs, ["r_name"], "O", "F"), 9)
+    return _rounded(inference.signed_rank_test(pairs.withColumn("difference", F.round(F.col("O") - F.col("F"), 6)), ["r_name"], "difference"), 9)
+
+
+def one_sample_wilcoxon(spark, d):
+    """Whether the nations' mean totals lie around that of all nations, by state."""
+    o = relational_queries._orders(spark, d).groupBy("o_orderstatus", "n_name").agg(F.avg("o_totalprice").alias("v"))
+    middle = o.groupBy("o_orderstatus").agg(F.median("v").alias("m"))
+    return _rounded(inference.signed_rank_test(o.join(middle, "o_orderstatus").withColumn("difference", F.round(F.col("v") - F.col("m") - 1, 6)), ["o_orderstatus"], "difference"), 9)
 
 
 def spearman_p(spark, d):
@@ -164,12 +171,12 @@ def region_profile(spark, d):
     """Rank-sum tests of each pair of regions on the customers' mean totals."""
     v = relational_queries._orders(spark, d).groupBy("r_name", "o_custkey").agg(F.avg("o_totalprice").alias("v"))
     u = rollup.rank_sum(v, [], "r_name", "v")
-    return _rounded(u.withColumn("p", kernels.rank_sum_p(F.col("u").cast("double"), "n_a", "n_b", "ties")).withColumn("u", F.col("u").cast("double")).drop("ties"), 9)
+    return _rounded(u.withColumn("p", inference.rank_sum_p(F.col("u").cast("double"), F.col("n_a"), F.col("n_b"), F.col("ties"))).withColumn("u", F.col("u").cast("double")).drop("ties"), 9)
 
 
 QUERIES = {f.__name__: f for f in (
     pac_surrogate_z, pac_masked, sos_bandpass, hilbert_kernel, welch_kernel, peaks_kernel, nesting_timecourse, nesting_by_subject, ripple_triggered_z, event_hierarchy, time_frequency_map, resampled_signals, decimated_signals,
-    long_traces, bootstrap_ci, wilcoxon_p, spearman_p, region_profile,
+    long_traces, bootstrap_ci, wilcoxon_p, one_sample_wilcoxon, spearman_p, region_profile,
 )}
 
 
@@ -218,6 +225,16 @@ ORACLES = {
         powers AS (SELECT user_id, f * {RATE} / size AS hz, avg(p) AS p FROM parts GROUP BY 1, 2),
         areas AS (SELECT user_id, {_AREA.format(*WELCH_WHOLE)} AS whole, {", ".join(f"{_AREA.format(*b)} AS {name}" for name, b in WELCH_BANDS.items())} FROM powers GROUP BY 1)
         SELECT user_id, {", ".join(f"round({name} / whole, 6) AS {name}" for name in WELCH_BANDS)} FROM areas WHERE whole > 0""",
+    "bootstrap_ci": f"""WITH {relational_queries._O}, means AS (SELECT r_name, o_orderstatus, n_name, avg(o_totalprice) AS v FROM o GROUP BY 1, 2, 3), {sql.bootstrap("means", ["r_name", "o_orderstatus"], ["n_name"], "v")}
+        SELECT r_name, o_orderstatus, round(mean, 4) AS mean, round(ci_lo, 4) AS ci_lo, round(ci_hi, 4) AS ci_hi, n FROM ci""",
+    "wilcoxon_p": f"""WITH RECURSIVE {relational_queries._O}, pairs AS (SELECT r_name, n_name, round(avg(o_totalprice) FILTER (o_orderstatus = 'O') - avg(o_totalprice) FILTER (o_orderstatus = 'F'), 6) AS d FROM o GROUP BY 1, 2), {sql.signed_rank("pairs", "r_name", "d")}""",
+    "one_sample_wilcoxon": f"""WITH RECURSIVE {relational_queries._O}, means AS (SELECT o_orderstatus, n_name, avg(o_totalprice) AS v FROM o GROUP BY 1, 2), away AS (SELECT o_orderstatus, round(v - median(v) OVER (PARTITION BY o_orderstatus) - 1, 6) AS d FROM means), {sql.signed_rank("away", "o_orderstatus", "d")}""",
+    "region_profile": f"""WITH {relational_queries._O}, v AS (SELECT r_name, o_custkey, avg(o_totalprice) AS v FROM o GROUP BY 1, 2),
+        names AS (SELECT DISTINCT r_name FROM v), pairs AS (SELECT x.r_name AS a, y.r_name AS b, v.r_name, v.v FROM names x JOIN names y ON x.r_name < y.r_name JOIN v ON v.r_name IN (x.r_name, y.r_name)),
+        ranked AS (SELECT *, rank() OVER w + (count(*) OVER (PARTITION BY a, b, v) - 1) / 2.0 AS r, count(*) OVER (PARTITION BY a, b, v) AS t FROM pairs WINDOW w AS (PARTITION BY a, b ORDER BY v)),
+        sums AS (SELECT a, b, count(*) FILTER (r_name = a) AS n_a, count(*) FILTER (r_name = b) AS n_b, sum(r) FILTER (r_name = a) - count(*) FILTER (r_name = a) * (count(*) FILTER (r_name = a) + 1) / 2.0 AS u, sum(pow(t, 2) - 1) AS ties FROM ranked GROUP BY 1, 2),
+        z AS (SELECT *, (greatest(u, n_a * n_b - u) - n_a * n_b / 2 - 0.5) / sqrt(n_a * n_b / 12 * (n_a + n_b + 1 - ties / ((n_a + n_b) * (n_a + n_b - 1.0)))) / sqrt(2) AS z FROM sums)
+        SELECT a, b, n_a, n_b, u::DOUBLE AS u, round(CASE WHEN z > 0 THEN {sql.erfc("z")} ELSE 1 END, 9) AS p FROM z""",
     "resampled_signals": _fir(4, _taps(4)),
     "decimated_signals": _fir(2, _decimating_taps(2)),
 }

@@ -11,7 +11,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phasegrid.operators import coupling, kernels, rollup
+from phasegrid.operators import coupling, inference, kernels, rollup
 from phasegrid.operators import events as ev
 from phasegrid.operators import signals as signal_ops
 
@@ -41,14 +41,15 @@ def slow_power_by_state(signals: DataFrame, sfreq: float) -> tuple[DataFrame, Da
     power = kernels.band_powers(signals, ["subject", "channel", "region", "state", "segment"], "samples", BANDS, WHOLE, sfreq)
     channel = power.groupBy("subject", "channel", "region", "state").agg(*[F.avg(b).alias(b) for b in BANDS], F.count("*").alias("n_clips"))
     subject = channel.groupBy("region", "state", "subject").agg(F.avg("slow").alias("slow"))
-    return channel, kernels.bootstrap(subject, ["region", "state"], ["subject"], "slow")
+    return channel, inference.bootstrap(subject, ["region", "state"], ["subject"], "slow")
 
 
 def state_test(channel: DataFrame, value: str, regions: Sequence[str], states: Sequence[str] = ("W", "N3")) -> DataFrame:
     """Signed-rank test between two states over subjects, all channels of the regions together."""
     subject = channel.where(F.col("region").isin(list(regions))).groupBy("subject", "state").agg(F.avg(value).alias("v"))
-    pairs = rollup.paired_states(subject, ["subject"], "state", "v", list(states)).withColumn("measure", F.lit(value))
-    return kernels.paired_test(pairs, ["measure"], states[0], states[1])
+    pairs = rollup.paired_states(subject, ["subject"], "state", "v", list(states))
+    differences = pairs.select(F.lit(value).alias("measure"), (F.col(states[1]) - F.col(states[0])).alias("difference"))
+    return inference.signed_rank_test(differences, ["measure"], "difference")
 
 
 def coupling_by_state(signals: DataFrame, sfreq: float, phase=SLOW, amplitude=SPINDLE, surrogates: int = 120) -> DataFrame:
@@ -113,7 +114,7 @@ def aligned_coupling(signals: DataFrame, sfreq: float, legs: dict[str, tuple[tup
 
 def cohort_summary(centres: DataFrame, by: Sequence[str], key: str = "subject") -> DataFrame:
     """Mean, interval, and positives of all as a string, e.g. over the channels of a night."""
-    got = kernels.bootstrap(centres, list(by), [key], "centre")
+    got = inference.bootstrap(centres, list(by), [key], "centre")
     positive = centres.groupBy(*by).agg(F.count_if(F.col("centre") > 0).alias("k"), F.count("*").alias("all"))
     return got.join(positive, list(by)).withColumn("positive", F.concat(F.col("k").cast("string"), F.lit("/"), F.col("all").cast("string"))).drop("k", "all")
 

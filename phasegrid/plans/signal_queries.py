@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from phasegrid.operators import coupling, signals
+from phasegrid.operators import coupling, inference, signals
+from phasegrid.plans import sql
 
 PHASE, AMP = (2, 4), (12, 18)
 LEGS = [("so_sp", (1, 2), (5, 8)), ("sp_rp", (5, 8), (16, 24)), ("so_rp", (1, 2), (16, 24))]
@@ -51,6 +52,13 @@ def hierarchy_legs(spark, d):
     return coupling.aligned(sums, ["label", "leg"]).where("pos = 9").select("label", "leg", F.round("value", 9).alias("centre"))
 
 
+def hierarchy_interval(spark, d):
+    """Each leg's mean centre over the channels (labels), and its bootstrap interval."""
+    sums = coupling.phase_amplitude_sums(table(spark, d), ["label"], LEGS, "embedding", block=8)
+    got = inference.bootstrap(coupling.aligned(sums, ["label", "leg"]).where("pos = 9"), ["leg"], ["label"], "value")
+    return got.select("leg", *[F.round(c, 8).alias(c) for c in ("mean", "ci_lo", "ci_hi")], "n")
+
+
 def night_coupling(spark, d):
     """Coupling across the night: the centre of each channel's (label's) aligned curve in six equal stretches of the recording, mean and standard error over channels."""
     own = table(spark, d)
@@ -62,8 +70,12 @@ def night_coupling(spark, d):
     return got.select("tbin", F.round("m", 8).alias("centre"), F.round("sem", 8).alias("sem"), "n")
 
 
+#: Eight phase bands by twelve amplitude bands, as harmonics of a signal's 64 samples.
+GRID_PHASES, GRID_AMPLITUDES = [(k, k + 1) for k in range(1, 9)], [(k, k + 1) for k in range(8, 32, 2)]
+
+
 def comodulogram_grid(spark, d):
-    grid = coupling.comodulogram(table(spark, d), ["label"], [(1, 2), (3, 4)], [(k, k + 3) for k in range(8, 24, 4)], "embedding")
+    grid = coupling.comodulogram(table(spark, d), ["label"], GRID_PHASES, GRID_AMPLITUDES, "embedding")
     return grid.withColumn("mi", F.round("mi", 9))
 
 
@@ -134,7 +146,7 @@ def peak_to_peak(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    night_coupling, tort_mi_by_label, phase_amp_curve, preferred_phase, aligned_curve_xval, aligned_centre_by_signal, hierarchy_legs, comodulogram_grid, rel_band_power, detrend_residual_std,
+    night_coupling, tort_mi_by_label, phase_amp_curve, preferred_phase, aligned_curve_xval, aligned_centre_by_signal, hierarchy_legs, hierarchy_interval, comodulogram_grid, rel_band_power, detrend_residual_std,
     zscore_signal, robust_z, signal_validity, bipolar_pairs, block_parity_means, circular_shift, local_maxima, peak_order, epoch_average, recording_totals, peak_to_peak,
 )}
 
@@ -168,11 +180,12 @@ def _aligned(legs, key: str) -> str:
 
 _MI = "(ln(18.0) + sum(greatest(mean_amp / tot, 1e-12) * ln(greatest(mean_amp / tot, 1e-12)))) / ln(18.0)"
 _ONE = [("leg", PHASE, AMP)]
-_GRID = [(f"{p[0]}|{a[0]}", p, a) for p in [(1, 2), (3, 4)] for a in [(k, k + 3) for k in range(8, 24, 4)]]
+_GRID = [(f"{p[0]}|{a[0]}", p, a) for p in GRID_PHASES for a in GRID_AMPLITUDES]
 
 _NIGHT = "r AS (SELECT min(vec_id) AS lo, greatest(1, max(vec_id) - min(vec_id)) AS span FROM embeddings), binned AS (SELECT vec_id, label * 10 + least(5, floor((vec_id - lo) * 6 / span))::INT AS label, embedding FROM embeddings, r)"
 
 ORACLES = {
+    "hierarchy_interval": f"WITH {_aligned(LEGS, 'label')}, centres AS (SELECT label, leg, value FROM al WHERE pos = 9), {sql.bootstrap('centres', ['leg'], ['label'], 'value')} SELECT leg, round(mean, 8) AS mean, round(ci_lo, 8) AS ci_lo, round(ci_hi, 8) AS ci_hi, n FROM ci",
     "night_coupling": f"WITH {_NIGHT}, {_aligned(_ONE, 'label').replace('FROM embeddings', 'FROM binned')} SELECT (label % 10)::INT AS tbin, round(avg(value), 8) AS centre, round(stddev_pop(value) / sqrt(count(*)), 8) AS sem, count(*) AS n FROM al WHERE pos = 9 GROUP BY 1",
     "tort_mi_by_label": f"WITH {_dft(_ONE, 'label')} SELECT label, round({_MI}, 9) AS mi FROM (SELECT *, sum(mean_amp) OVER (PARTITION BY label) AS tot FROM curve) GROUP BY label",
     "phase_amp_curve": f"WITH {_dft(_ONE, 'label')} SELECT label, bin, round(mean_amp, 9) AS mean_amp FROM curve",
