@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 
@@ -276,12 +278,28 @@ def modulation_index(curve: np.ndarray) -> float:
     return float((np.log(len(p)) + (p * np.log(p)).sum()) / np.log(len(p)))
 
 
-def modulation_z(bins_of: np.ndarray, amplitude: np.ndarray, rng: np.random.Generator, surrogates: int = 120) -> tuple[float, float, int]:
-    """(index, its z among circular shifts of the amplitude by 10 to 90 % of the length, preferred bin)."""
+def hashed_shifts(name: str, n: int, count: int) -> np.ndarray:
+    """``count`` shifts of 10 to 90 % of ``n``, drawn from a digest of the name and the shift's number."""
+    low = int(0.1 * n)
+    high = max(int(0.9 * n), low + 1)
+    u = np.array([int(hashlib.md5(f"{name}|{k}".encode(), usedforsecurity=False).hexdigest()[:8], 16) for k in range(count)])
+    return low + np.floor((u + 0.5) / 2**32 * (high - low)).astype(np.int64)
+
+
+def shifted_curves(bins_of: np.ndarray, amplitude: np.ndarray, shifts: np.ndarray, bins: int = BINS) -> np.ndarray:
+    """``phase_curve`` for each circular shift of the amplitude: all shifts at once, by the correlation of each bin's places with it."""
+    n = len(amplitude)
+    places = np.zeros((bins, n))
+    places[bins_of, np.arange(n)] = 1.0
+    sums = np.fft.irfft(np.fft.rfft(places, axis=1) * np.fft.rfft(amplitude).conj(), n, axis=1)
+    return sums[:, shifts % n].T / np.maximum(places.sum(axis=1), 1)
+
+
+def modulation_z(bins_of: np.ndarray, amplitude: np.ndarray, shifts: np.ndarray) -> tuple[float, float, int]:
+    """(index, its z among circular shifts of the amplitude, preferred bin)."""
     curve = phase_curve(bins_of, amplitude)
-    value, n = modulation_index(curve), len(amplitude)
-    shifts = rng.integers(int(0.1 * n), max(int(0.9 * n), int(0.1 * n) + 1), surrogates)
-    null = np.array([modulation_index(phase_curve(bins_of, np.roll(amplitude, s))) for s in shifts])
+    value = modulation_index(curve)
+    null = np.array([modulation_index(c) for c in shifted_curves(bins_of, amplitude, shifts)])
     return value, float((value - null.mean()) / (null.std() + 1e-12)), int(curve.argmax())
 
 

@@ -96,7 +96,7 @@ def coupling_z(df, keys, samples, phase: tuple[float, float], amplitude: tuple[f
         for k in range(len(x)):
             use = np.ones(x.shape[1], dtype=bool) if mask is None else mask(own[k], x.shape[1])
             if use.sum() >= least * sfreq:
-                mi, z, best = dsp.modulation_z(dsp.phase_bins(ph[k][use]), am[k][use], np.random.default_rng(seed_of(*own[k])), surrogates)
+                mi, z, best = dsp.modulation_z(dsp.phase_bins(ph[k][use]), am[k][use], dsp.hashed_shifts("|".join(map(str, own[k])), int(use.sum()), surrogates))
                 yield k, mi, z, float(-np.pi + (best + 0.5) * 2 * np.pi / dsp.BINS)
 
     return map_signals(df, keys, samples, "mi double, mi_z double, pref_phase double", kernel)

@@ -7,6 +7,8 @@ kernels that take whole signals have no SQL form.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -63,7 +65,7 @@ def sos_bandpass(spark, d):
 
 def hilbert_kernel(spark, d):
     got = kernels.analytic(recordings(spark, d), ["user_id"], "samples", *SLOW, RATE)
-    return _rounded(got.select("user_id", F.posexplode(F.arrays_zip("phase", "envelope")).alias("i", "z")).select("user_id", "i", "z.phase", "z.envelope"))
+    return _rounded(got.select("user_id", F.posexplode(F.arrays_zip("phase", "envelope")).alias("i", "z")).select("user_id", "i", "z.phase", "z.envelope"), 4)
 
 
 WELCH_BANDS, WELCH_WHOLE, WELCH_HOURS = {"slow": (0.5, 1.25), "delta": (0.5, 2.0), "spindle": (2.0, 4.0), "gamma": (6.0, 12.0)}, (0.5, 10.0), 192
@@ -180,10 +182,10 @@ QUERIES = {f.__name__: f for f in (
 )}
 
 
-def _recursion(name: str, source: str) -> str:
-    """A recursive CTE that runs the slow band's three sections over ``source`` (user_id, t, x), from the steady state of its first sample."""
+def _recursion(name: str, source: str, band: tuple[float, float]) -> str:
+    """A recursive CTE that runs a band's three sections over ``source`` (user_id, t, x), from the steady state of its first sample."""
     first, step, x, scale = [], [], "q.x", 1.0
-    for k, (b0, b1, b2, _, a1, a2) in enumerate(dsp.butter_bandpass(*SLOW, RATE).tolist(), 1):
+    for k, (b0, b1, b2, _, a1, a2) in enumerate(dsp.butter_bandpass(*band, RATE).tolist(), 1):
         level = (b0 + b1 + b2) / (1 + a1 + a2)
         first += ["0.0::DOUBLE", f"{(level - b0) * scale!r}::DOUBLE * x", f"{(b2 - a2 * level) * scale!r}::DOUBLE * x"]
         step += [f"{b0!r}::DOUBLE * {x} + f.z{k}1 AS o{k}", f"{b1!r}::DOUBLE * {x} - {a1!r}::DOUBLE * o{k} + f.z{k}2", f"{b2!r}::DOUBLE * {x} - {a2!r}::DOUBLE * o{k}"]
@@ -195,12 +197,45 @@ def _recursion(name: str, source: str) -> str:
 _S = f"""WITH RECURSIVE {event_queries._I}, s AS (SELECT user_id, k - min(k) OVER (PARTITION BY user_id) AS i, filled AS v, count(*) OVER (PARTITION BY user_id) AS n FROM i),
     line AS (SELECT user_id, regr_slope(v, i) AS b, regr_intercept(v, i) AS a FROM s WHERE n >= 8 GROUP BY 1 HAVING min(v) < max(v)),
     x AS (SELECT user_id, i, n, v, v - a - b * i AS x, least(21, n - 1) AS edge FROM s JOIN line USING (user_id))"""
-_SLOW = f"""{_S}, ends AS (SELECT user_id, min_by(x, i) AS head, max_by(x, i) AS tail FROM x GROUP BY 1),
+_EXTENDED = f"""{_S}, ends AS (SELECT user_id, min_by(x, i) AS head, max_by(x, i) AS tail FROM x GROUP BY 1),
     extended AS (SELECT user_id, i AS p, x FROM x UNION ALL SELECT user_id, -i, 2 * head - x FROM x JOIN ends USING (user_id) WHERE i BETWEEN 1 AND edge
         UNION ALL SELECT user_id, 2 * (n - 1) - i, 2 * tail - x FROM x JOIN ends USING (user_id) WHERE i BETWEEN n - 1 - edge AND n - 2),
-    q1 AS MATERIALIZED (SELECT user_id, p, row_number() OVER (PARTITION BY user_id ORDER BY p) AS t, x FROM extended), {_recursion("f1", "q1")},
-    q2 AS MATERIALIZED (SELECT f1.user_id, q1.p, row_number() OVER (PARTITION BY f1.user_id ORDER BY f1.t DESC) AS t, f1.y3 AS x FROM f1 JOIN q1 USING (user_id, t)), {_recursion("f2", "q2")},
-    y AS (SELECT f2.user_id, q2.p AS i, f2.y3 AS x FROM f2 JOIN q2 USING (user_id, t) JOIN x ON x.user_id = f2.user_id AND x.i = q2.p)"""
+    q1 AS MATERIALIZED (SELECT user_id, p, row_number() OVER (PARTITION BY user_id ORDER BY p) AS t, x FROM extended)"""
+
+
+def _band(tag: str, band: tuple[float, float]) -> str:
+    """CTEs behind ``_EXTENDED``; the last, ``tag``, has user_id, i, n, x of the filtered band."""
+    return f"""{_recursion(f"{tag}_f1", "q1", band)}, {tag}_q2 AS MATERIALIZED (SELECT f.user_id, q1.p, row_number() OVER (PARTITION BY f.user_id ORDER BY f.t DESC) AS t, f.y3 AS x FROM {tag}_f1 f JOIN q1 USING (user_id, t)),
+        {_recursion(f"{tag}_f2", f"{tag}_q2", band)}, {tag} AS (SELECT x.user_id, x.i, x.n, f.y3 AS x FROM {tag}_f2 f JOIN {tag}_q2 q USING (user_id, t) JOIN x ON x.user_id = f.user_id AND x.i = q.p)"""
+
+
+def _analytic(tag: str, source: str) -> str:
+    """CTEs; ``tag`` has user_id, i, phase, envelope of ``source``'s analytic signal, by the discrete Fourier transform."""
+    return f"""{tag}_c AS MATERIALIZED (SELECT user_id, n, k, sum(x * cos(2 * pi() * ((k * i) % n) / n)) AS re, -sum(x * sin(2 * pi() * ((k * i) % n) / n)) AS im
+            FROM (SELECT *, unnest(range(1, (n + 1) // 2)) AS k FROM {source}) GROUP BY 1, 2, 3),
+        {tag}_h AS (SELECT c.user_id, t.i, sum(c.re * sin(2 * pi() * ((k * t.i) % c.n) / c.n) + c.im * cos(2 * pi() * ((k * t.i) % c.n) / c.n)) * 2 / any_value(c.n) AS h
+            FROM {tag}_c c JOIN {source} t USING (user_id) GROUP BY 1, 2),
+        {tag} AS MATERIALIZED (SELECT user_id, i, atan2(h, x) AS phase, sqrt(x * x + h * h) AS envelope FROM {tag}_h JOIN {source} USING (user_id, i))"""
+
+
+def _coupling(mask: str) -> str:
+    """Modulation index, its z among 120 hashed shifts and the preferred phase, over hours that ``mask`` lets through."""
+    mi = f"({math.log(dsp.BINS)!r} + sum(greatest(m / tot, 1e-12) * ln(greatest(m / tot, 1e-12)))) / {math.log(dsp.BINS)!r}"
+    width = 2 * math.pi / dsp.BINS
+    return f"""{_EXTENDED}, {_band("slow", SLOW)}, {_band("fast", SPINDLE)}, {_analytic("pa", "slow")}, {_analytic("aa", "fast")},
+        used AS (SELECT user_id, least({dsp.BINS - 1}, floor((pa.phase + pi()) / {width!r}))::INT AS bin, aa.envelope AS a, row_number() OVER (PARTITION BY user_id ORDER BY i) - 1 AS p, count(*) OVER (PARTITION BY user_id) AS m FROM pa JOIN aa USING (user_id, i) WHERE {mask}),
+        lists AS MATERIALIZED (SELECT user_id, m, list(a ORDER BY p) AS amps, list(bin ORDER BY p) AS bins FROM used GROUP BY 1, 2 HAVING m >= {5 * RATE}),
+        drawn AS (SELECT *, CASE WHEN j < 0 THEN 0 ELSE lo + floor((('0x' || substr(md5(user_id || '|' || j), 1, 8))::BIGINT + 0.5) / 4294967296.0 * (greatest(floor(0.9 * m)::BIGINT, lo + 1) - lo))::BIGINT END AS shift
+            FROM (SELECT *, floor(0.1 * m)::BIGINT AS lo, unnest(range(-1, 120)) AS j FROM lists)),
+        turned AS (SELECT user_id, j, bins[p + 1] AS bin, amps[(p - shift + m) % m + 1] AS a FROM (SELECT *, unnest(range(0, m)) AS p FROM drawn)),
+        sums AS (SELECT user_id, j, bin, avg(a) AS m FROM turned GROUP BY 1, 2, 3),
+        whole AS (SELECT u.user_id, u.j, b.bin, coalesce(s.m, 0) AS m FROM (SELECT DISTINCT user_id, j FROM sums) u CROSS JOIN (SELECT unnest(range({dsp.BINS})) AS bin) b LEFT JOIN sums s USING (user_id, j, bin)),
+        mis AS (SELECT user_id, j, {mi} AS mi, arg_max(bin, (m, -bin)) AS best FROM (SELECT *, sum(m) OVER (PARTITION BY user_id, j) AS tot FROM whole) GROUP BY 1, 2),
+        z AS (SELECT user_id, avg(mi) FILTER (j >= 0) AS mean, stddev_pop(mi) FILTER (j >= 0) AS sd FROM mis GROUP BY 1)
+        SELECT user_id, round(mi, 6) AS mi, round((mi - mean) / (sd + 1e-12), 6) AS mi_z, round(-pi() + (best + 0.5) * {width!r}, 6) AS pref_phase FROM mis JOIN z USING (user_id) WHERE j = -1"""
+
+
+_SLOW = f"{_EXTENDED}, {_band('y', SLOW)}"
 _AREA = "coalesce(sum(p) FILTER (hz >= {0} AND hz < {1}) - (arg_min(p, hz) FILTER (hz >= {0} AND hz < {1}) + arg_max(p, hz) FILTER (hz >= {0} AND hz < {1})) / 2, 0)"
 
 
@@ -211,6 +246,9 @@ def _fir(down: int, taps: list[float]) -> str:
 
 
 ORACLES = {
+    "pac_surrogate_z": _coupling("true"),
+    "pac_masked": _coupling("i % 24 < 20"),
+    "hilbert_kernel": f"{_SLOW}, {_analytic('a', 'y')} SELECT user_id, i::INT AS i, round(phase, 4) AS phase, round(envelope, 4) AS envelope FROM a",
     "sos_bandpass": f"{_SLOW} SELECT user_id, i::INT AS i, round(x, 4) AS x FROM y",
     "peaks_kernel": f"""{_SLOW}, z AS (SELECT user_id, i, -(x - avg(x) OVER (PARTITION BY user_id)) / (stddev_pop(x) OVER (PARTITION BY user_id) + 1e-12) AS z FROM y),
         tops AS (SELECT user_id, list({{'z': z, 'place': i}}) AS c FROM (SELECT *, lag(z) OVER w AS a, lead(z) OVER w AS b FROM z WINDOW w AS (PARTITION BY user_id ORDER BY i)) WHERE z > a AND z > b AND z >= 1 GROUP BY 1),
