@@ -286,6 +286,12 @@ def hashed_shifts(name: str, n: int, count: int) -> np.ndarray:
     return low + np.floor((u + 0.5) / 2**32 * (high - low)).astype(np.int64)
 
 
+def hashed_numbers(name: str, count: int) -> np.ndarray:
+    """``count`` numbers from 0 to 1, four from each digest of the name and a number."""
+    digests = "".join(hashlib.md5(f"{name}|{k}".encode(), usedforsecurity=False).hexdigest() for k in range(-(-count // 4)))
+    return (np.frombuffer(bytes.fromhex(digests), dtype=">u4")[:count] + 0.5) / 2**32
+
+
 def shifted_curves(bins_of: np.ndarray, amplitude: np.ndarray, shifts: np.ndarray, bins: int = BINS) -> np.ndarray:
     """``phase_curve`` for each circular shift of the amplitude: all shifts at once, by the correlation of each bin's places with it."""
     n = len(amplitude)

@@ -1,13 +1,12 @@
 """Signal kernels over array rows: Arrow batches in, numpy arrays of equal length inside, rows out.
 
-Random draws are seeded by a hash of the row's key, so a result depends neither
+Random draws are made from a hash of the row's key, so a result depends neither
 on partitioning nor on the order of rows. Signals that are null, empty, not
 finite, constant or too short give no row.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -23,10 +22,6 @@ from phasegrid.operators.coupling import _stacked, by_length
 Row = tuple
 
 
-def seed_of(*key) -> int:
-    return zlib.crc32("|".join(map(str, key)).encode())
-
-
 def map_signals(df: DataFrame, keys: Sequence[str], samples: str, out: str, kernel: Callable[[list[Row], np.ndarray], Iterator[Row]], least: int = 8) -> DataFrame:
     """``*keys`` and the columns of ``out``: ``kernel(keys of the rows, [row, time])`` yields (row number, *values)."""
     names = list(keys)
@@ -147,8 +142,9 @@ def triggered_z(df, keys, samples, events: str, low, high, sfreq, half: int, sur
             cut = dsp.epochs(x[k], at, half, strict=False) if len(at) >= least else at[:0]
             if len(cut) < least:
                 continue
-            rng = np.random.default_rng(seed_of(*own[k][:-1]))
-            null = np.array([np.ptp(dsp.epochs(x[k], rng.integers(half, x.shape[1] - half, len(cut)), half, strict=False).mean(axis=0)) for _ in range(surrogates)])
+            u = dsp.hashed_numbers("|".join(map(str, own[k][:-1])), surrogates * len(cut))
+            onsets = half + np.floor(u * (x.shape[1] - 2 * half)).astype(np.int64)
+            null = np.array([np.ptp(dsp.epochs(x[k], own_onsets, half, strict=False).mean(axis=0)) for own_onsets in onsets.reshape(surrogates, -1)])
             yield k, float((np.ptp(cut.mean(axis=0)) - null.mean()) / (null.std() + 1e-12)), len(cut)
 
     return map_signals(_with_events(df, events), [*keys, events], samples, "z double, n_events int", kernel, 2 * half + 3).drop(events)

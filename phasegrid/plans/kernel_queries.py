@@ -107,8 +107,12 @@ def event_hierarchy(spark, d):
     return _rounded(ev.rayleigh(got, ["user_id", "leg"]))
 
 
+#: Forty frequencies, on a logarithmic scale from one cycle a day to below half the rate.
+FREQUENCIES = [float(f) for f in np.round(np.geomspace(1, 11, 40), 4)]
+
+
 def time_frequency_map(spark, d):
-    got = kernels.time_frequency(recordings(spark, d), ["user_id"], "samples", "marks", [float(f) for f in np.round(np.geomspace(1, 9, 6), 4)], RATE, 12)
+    got = kernels.time_frequency(recordings(spark, d), ["user_id"], "samples", "marks", FREQUENCIES, RATE, 12)
     mean = got.groupBy("freq", "offset").agg((F.sum("total") / F.sum("n")).alias("m"), F.sum("n").alias("n"))
     w = Window.partitionBy("freq")
     return mean.select("freq", "offset", F.round((F.col("m") - F.avg("m").over(w)) / (F.stddev_pop("m").over(w) + 1e-12), 6).alias("z"), "n")
@@ -235,6 +239,46 @@ def _coupling(mask: str) -> str:
         SELECT user_id, round(mi, 6) AS mi, round((mi - mean) / (sd + 1e-12), 6) AS mi_z, round(-pi() + (best + 0.5) * {width!r}, 6) AS pref_phase FROM mis JOIN z USING (user_id) WHERE j = -1"""
 
 
+def _z(tag: str, source: str, value: str, sign: str = "") -> str:
+    """A CTE ``tag``: user_id, i, z of a value's score in its signal."""
+    return f"{tag} AS MATERIALIZED (SELECT user_id, i, {sign}({value} - avg({value}) OVER (PARTITION BY user_id)) / (stddev_pop({value}) OVER (PARTITION BY user_id) + 1e-12) AS z FROM {source})"
+
+
+def _peaks(tag: str, source: str, height: float, gap: int) -> str:
+    """CTEs; ``tag`` has user_id, i, z of the peaks of ``source`` that stay ``gap`` apart, the highest first."""
+    return f"""{tag}_t AS (SELECT user_id, list({{'z': z, 'place': i}}) AS c FROM (SELECT *, lag(z) OVER w AS a, lead(z) OVER w AS b FROM {source} WINDOW w AS (PARTITION BY user_id ORDER BY i)) WHERE z > a AND z > b AND z >= {height} GROUP BY 1),
+        {tag}_p(user_id, top, c) AS (SELECT user_id, list_max(c), c FROM {tag}_t UNION ALL
+            SELECT user_id, list_max(rest), rest FROM (SELECT user_id, list_filter(c, lambda e: abs(e.place - top.place) >= {gap}) AS rest FROM {tag}_p) WHERE len(rest) > 0),
+        {tag} AS MATERIALIZED (SELECT user_id, top.place AS i, top.z AS z FROM {tag}_p)"""
+
+
+#: Slow troughs, the windows of 24 hours to both sides that lie inside, and the score of a band's envelope in them.
+_TROUGHS = f"{_EXTENDED}, {_band('y', SLOW)}, {_z('yz', 'y', 'x', '-')}, {_peaks('troughs', 'yz', 1.0, 15)}, sizes AS (SELECT DISTINCT user_id, n FROM x), inside AS (SELECT user_id, i AS e FROM troughs JOIN sizes USING (user_id) WHERE i > 24 AND i < n - 24)"
+
+
+def _envelope(tag: str, band: tuple[float, float]) -> str:
+    return f"{_band(f'{tag}_b', band)}, {_analytic(f'{tag}_a', f'{tag}_b')}, {_z(tag, f'{tag}_a', 'envelope')}"
+
+
+def _locked(tag: str) -> str:
+    return f"SELECT user_id, '{tag}' AS band, ({tag}.i - e)::INT AS \"offset\", z FROM inside JOIN {tag} USING (user_id) WHERE {tag}.i - e BETWEEN -24 AND 23"
+
+
+_HALF, _LEAST, _SURROGATES = 12, 5, 200
+_TRIGGERED = f"""{_EXTENDED}, {_band("w", (0.5, 4.0))}, marks AS (SELECT user_id, floor(t / 3600)::BIGINT - k0 AS mark FROM e JOIN (SELECT user_id, min(k) AS k0 FROM i GROUP BY 1) USING (user_id) WHERE event_type = 'purchase'),
+        enough AS (SELECT user_id FROM marks GROUP BY 1 HAVING count(*) >= {_LEAST}), sizes AS (SELECT DISTINCT user_id, n FROM x),
+        valid AS (SELECT user_id, mark, n FROM marks JOIN enough USING (user_id) JOIN sizes USING (user_id) WHERE mark >= {_HALF} AND mark < n - {_HALF}),
+        counts AS (SELECT user_id, any_value(n) AS n, count(*) AS m FROM valid GROUP BY 1 HAVING count(*) >= {_LEAST}),
+        ids AS (SELECT user_id, n, m, unnest(range({_SURROGATES} * m)) AS id FROM counts),
+        drawn AS (SELECT user_id, id // m AS s, {_HALF} + floor((('0x' || substr(md5(user_id || '|' || (id // 4)), 1 + 8 * (id % 4), 8))::BIGINT + 0.5) / 4294967296.0 * (n - 2 * {_HALF}))::BIGINT AS mark FROM ids),
+        picked AS (SELECT user_id, -1 AS s, mark FROM valid JOIN counts USING (user_id) UNION ALL SELECT * FROM drawn),
+        cut AS (SELECT p.user_id, s, o, avg(w.x) AS m FROM picked p, range(-{_HALF}, {_HALF}) r(o), w WHERE w.user_id = p.user_id AND w.i = p.mark + o GROUP BY 1, 2, 3),
+        heights AS (SELECT user_id, s, max(m) - min(m) AS h FROM cut GROUP BY 1, 2)
+        SELECT user_id, round((any_value(h) FILTER (s < 0) - avg(h) FILTER (s >= 0)) / (stddev_pop(h) FILTER (s >= 0) + 1e-12), 6) AS z, any_value(m)::INT AS n_events FROM heights JOIN counts USING (user_id) GROUP BY 1"""
+_HIERARCHY = f"""{_EXTENDED}, {_band("y", SLOW)}, {_analytic("slow", "y")}, {_envelope("spindle", SPINDLE)}, {_envelope("ripple", RIPPLE)}, {_peaks("sp", "spindle", 1.5, 8)}, {_peaks("rp", "ripple", 2.0, 1)},
+        phases AS (SELECT user_id, 'slow_spindle' AS leg, phase FROM sp JOIN slow USING (user_id, i) UNION ALL SELECT rp.user_id, 'spindle_ripple', phase FROM rp JOIN spindle s ON s.user_id = rp.user_id AND s.i = rp.i AND s.z > 1 JOIN spindle_a a ON a.user_id = rp.user_id AND a.i = rp.i),
+        sums AS (SELECT user_id, leg, count(*) AS n, sqrt(pow(sum(cos(phase)), 2) + pow(sum(sin(phase)), 2)) / count(*) AS mrl, atan2(sum(sin(phase)), sum(cos(phase))) AS pref FROM phases GROUP BY 1, 2 HAVING count(*) >= 5)
+        SELECT user_id, leg, n, round(mrl, 6) AS mrl, round(pref, 6) AS pref_phase, round(greatest(0.0, least(1.0, exp(-n * mrl * mrl) * (1 + (2 * n * mrl * mrl - pow(n * mrl * mrl, 2)) / (4 * n)))), 6) AS rayleigh_p FROM sums"""
 _SLOW = f"{_EXTENDED}, {_band('y', SLOW)}"
 _AREA = "coalesce(sum(p) FILTER (hz >= {0} AND hz < {1}) - (arg_min(p, hz) FILTER (hz >= {0} AND hz < {1}) + arg_max(p, hz) FILTER (hz >= {0} AND hz < {1})) / 2, 0)"
 
@@ -250,11 +294,21 @@ ORACLES = {
     "pac_masked": _coupling("i % 24 < 20"),
     "hilbert_kernel": f"{_SLOW}, {_analytic('a', 'y')} SELECT user_id, i::INT AS i, round(phase, 4) AS phase, round(envelope, 4) AS envelope FROM a",
     "sos_bandpass": f"{_SLOW} SELECT user_id, i::INT AS i, round(x, 4) AS x FROM y",
-    "peaks_kernel": f"""{_SLOW}, z AS (SELECT user_id, i, -(x - avg(x) OVER (PARTITION BY user_id)) / (stddev_pop(x) OVER (PARTITION BY user_id) + 1e-12) AS z FROM y),
-        tops AS (SELECT user_id, list({{'z': z, 'place': i}}) AS c FROM (SELECT *, lag(z) OVER w AS a, lead(z) OVER w AS b FROM z WINDOW w AS (PARTITION BY user_id ORDER BY i)) WHERE z > a AND z > b AND z >= 1 GROUP BY 1),
-        picked(user_id, top, c) AS (SELECT user_id, list_max(c), c FROM tops UNION ALL
-            SELECT user_id, list_max(rest), rest FROM (SELECT user_id, list_filter(c, lambda e: abs(e.place - top.place) >= 15) AS rest FROM picked) WHERE len(rest) > 0)
-        SELECT user_id, top.place::INT AS "at", round(top.z, 6) AS depth FROM picked""",
+    "peaks_kernel": f"""{_SLOW}, {_z("yz", "y", "x", "-")}, {_peaks("troughs", "yz", 1.0, 15)} SELECT user_id, i::INT AS "at", round(z, 6) AS depth FROM troughs""",
+    "nesting_timecourse": f"""{_TROUGHS}, {_envelope("spindle", SPINDLE)}, {_envelope("ripple", RIPPLE)}, each AS ({_locked("spindle")} UNION ALL {_locked("ripple")}) SELECT band, "offset", round(avg(z), 6) AS mean_z, count(*) AS n FROM each GROUP BY 1, 2""",
+    "nesting_by_subject": f"""{_TROUGHS}, {_envelope("spindle", SPINDLE)}, each AS ({_locked("spindle")}) SELECT user_id, round(avg(z) FILTER ("offset" BETWEEN 0 AND 12), 6) AS up_z, count(*) // 48 AS n_events FROM each GROUP BY 1 HAVING count(*) // 48 >= 5""",
+    # the tail of the t distribution as a ratio of two integrals of a power of the cosine, by Simpson's rule
+    "spearman_p": """WITH r AS (SELECT c_mktsegment, rank() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal) + (count(*) OVER (PARTITION BY c_mktsegment, c_acctbal) - 1) / 2 AS ra,
+            rank() OVER (PARTITION BY c_mktsegment ORDER BY c_nationkey) + (count(*) OVER (PARTITION BY c_mktsegment, c_nationkey) - 1) / 2 AS rb FROM customer),
+        c AS (SELECT c_mktsegment, corr(ra, rb) AS rho, count(*) AS n FROM r GROUP BY 1),
+        w AS (SELECT k, CASE WHEN k IN (0, 4000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END AS w FROM range(0, 4001) t(k)),
+        areas AS (SELECT c_mktsegment, rho, n, sum(w * pow(cos(asin(abs(rho)) + k * (pi() / 2 - asin(abs(rho))) / 4000), n - 3)) * (pi() / 2 - asin(abs(rho))) AS tail, sum(w * pow(cos(k * pi() / 2 / 4000), n - 3)) * pi() / 2 AS whole FROM c, w GROUP BY 1, 2, 3)
+        SELECT c_mktsegment, round(rho, 8) AS rho, n, round(tail / whole, 8) AS p FROM areas""",
+    "ripple_triggered_z": _TRIGGERED,
+    "event_hierarchy": _HIERARCHY,
+    "long_traces": f"""{_S}, asked AS (SELECT user_id, n, unnest(range(0, ceil(least(n / {RATE}, 20.0) * 12)::BIGINT)) AS j FROM x WHERE i = 0),
+        placed AS (SELECT user_id, j, least(j * {RATE} / 12, n - 1) AS p FROM asked)
+        SELECT user_id, j::INT AS i, round(a.x + (b.x - a.x) * (p - floor(p)), 6) AS x FROM placed JOIN x a USING (user_id) JOIN x b USING (user_id) WHERE a.i = floor(p) AND b.i = ceil(p)""",
     "welch_kernel": f"""{_S}, p AS (SELECT *, least({WELCH_HOURS}, n) AS size, least({WELCH_HOURS}, n) - least({WELCH_HOURS}, n) // 2 AS step FROM x),
         cut AS (SELECT user_id, seg, size, i - seg * step AS place, x FROM (SELECT *, unnest(range(greatest(0, (i - size + step) // step), least(i // step, (n - size) // step) + 1)) AS seg FROM p)),
         tapered AS (SELECT user_id, seg, size, place, (x - avg(x) OVER (PARTITION BY user_id, seg)) * (0.5 - 0.5 * cos(2 * pi() * place / size)) AS x, sum(pow(0.5 - 0.5 * cos(2 * pi() * place / size), 2)) OVER (PARTITION BY user_id, seg) AS mass FROM cut),

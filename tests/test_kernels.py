@@ -103,7 +103,7 @@ def test_planted_coupling_is_found():
         x = planted(modulated)[None]
         ph = np.angle(dsp.analytic(dsp.bandpass(x, 0.5, 1.25, FS)))[0]
         am = np.abs(dsp.analytic(dsp.bandpass(x, 11, 16, FS)))[0]
-        mi, z, best = dsp.modulation_z(dsp.phase_bins(ph), am, np.random.default_rng(0))
+        mi, z, best = dsp.modulation_z(dsp.phase_bins(ph), am, dsp.hashed_shifts("s1", len(am), 120))
         if modulated:
             assert z > 5 and abs(-np.pi + (best + 0.5) * 2 * np.pi / 18 - np.pi / 2) < 0.5
             half = (np.arange(len(am)) // 1000) % 2
@@ -181,3 +181,15 @@ def test_recordings_keep_every_hour(spark, tmp_path):
     assert all(r.samples == [float(h * h % 7) for h in range(hours[u])] and r.marks == [hours[u] - 1] for u, r in got.items())
     counts = {r.user_id: r["count"] for r in kernel_queries.sos_bandpass(spark, str(tmp_path)).groupBy("user_id").count().collect()}
     assert counts == hours
+
+
+def test_all_shifts_at_once_equal_a_loop():
+    r = np.random.default_rng(6)
+    for n in (20, 301):
+        bins_of, am = r.integers(0, dsp.BINS, n), r.random(n)
+        shifts = dsp.hashed_shifts("key", n, 50)
+        assert shifts.min() >= int(0.1 * n) and shifts.max() < max(int(0.9 * n), int(0.1 * n) + 1) and len(set(shifts)) > 5
+        want = [dsp.phase_curve(bins_of, np.roll(am, s)) for s in shifts]
+        assert np.allclose(dsp.shifted_curves(bins_of, am, shifts), want, atol=1e-12)
+    u = dsp.hashed_numbers("key", 4001)
+    assert len(u) == 4001 and 0 < u.min() < u.max() < 1 and abs(u.mean() - 0.5) < 0.02 and np.array_equal(u[:9], dsp.hashed_numbers("key", 9))
