@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from phasegrid.operators import coupling
 from phasegrid.plans import event_queries, signal_queries
+from phasegrid.session import scratch
 from phasegrid.streaming import blocks
 
 
@@ -34,11 +35,24 @@ def stream_sessions(spark, d):
     return got.select("user_id", F.date_format("session_window.start", "yyyy-MM-dd HH:mm:ss").alias("begin"), "n", F.round("total", 6).alias("total"))
 
 
-QUERIES = {f.__name__: f for f in (stream_accumulators, stream_epochs, stream_sliding, stream_sessions)}
+def stream_capped_runs(spark, d):
+    """A user's runs of hours with an event, three hours at most, from files in random order; a last file with an event far ahead closes what is open."""
+    folder = scratch(spark, "shuffled")
+    own = spark.read.parquet(f"{d}/events.parquet").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    own.repartition(8, F.xxhash64("ts", "user_id")).write.parquet(folder)
+    span = own.agg((F.unix_seconds(F.max("ts")) - F.unix_seconds(F.min("ts"))).alias("s"), F.max("ts").alias("end")).first()
+    late = (span.s or 0) + 3600
+    ahead = own.limit(0).unionByName(spark.range(1).select(F.lit(None).cast("long").alias("user_id"), F.timestamp_seconds(F.unix_seconds(F.lit(span.end)) + 2 * late + 3 * 3600).alias("ts")))
+    ahead.coalesce(1).write.mode("append").parquet(folder)
+    return blocks.drained(blocks.capped_runs(blocks.read_blocks(spark, folder), "user_id", "ts", 3600, 3, f"{late} seconds"), "append", "runs")
+
+
+QUERIES = {f.__name__: f for f in (stream_accumulators, stream_epochs, stream_sliding, stream_sessions, stream_capped_runs)}
 
 ORACLES = {
     "stream_accumulators": signal_queries.ORACLES["aligned_curve_xval"],
     "stream_epochs": event_queries.ORACLES["tumbling_epochs"],
     "stream_sliding": event_queries.ORACLES["sliding_epochs"],
+    "stream_capped_runs": event_queries.ORACLES["gaps_islands_capped"],
     "stream_sessions": event_queries.ORACLES["session_runs"],
 }

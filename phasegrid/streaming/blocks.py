@@ -64,33 +64,49 @@ def sessions(events: DataFrame, ts: str, gap: str, by: Sequence[str], late: str
     return seen.groupBy(*by, F.session_window(ts, gap)).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
 
-def capped_runs(steps: DataFrame, key: str, cap: int) -> DataFrame:
-    """``key, first_k, last_k, n``: runs of consecutive steps ``k``, closed by a gap or after ``cap`` steps; needs steps of a key in order.
-
-    State of a key is its open run. The open run at the end is emitted when the key times out.
+def capped_runs(events: DataFrame, key: str, ts: str, step_s: int, cap: int, late: str) -> DataFrame:
+    """``key, first_k, last_k, n``: runs of consecutive steps of ``step_s`` seconds that have an event, cut after ``cap`` steps.
+
+    Events may come in any order, no more than ``late`` behind the newest. State of a
+    key is the first and last step of its runs that may still grow; a timer at the
+    time from which a run can't wakes the key, so it is emitted whether or not the
+    key has more events. Whole pieces of a long run are emitted as soon as no event
+    can come before their end. Null keys and times give no run.
     """
-    schema = T.StructType([steps.schema[key], *T._parse_datatype_string("first_k long, last_k long, n long").fields])
-    state = "first_k long, last_k long"
+    schema = T.StructType([events.schema[key], *T._parse_datatype_string("first_k long, last_k long, n long").fields])
+    step_ms = 1000 * step_s
 
     def run(group: tuple, frames: Iterator[pd.DataFrame], kept) -> Iterator[pd.DataFrame]:
-        if kept.hasTimedOut:
-            first, last = kept.get
+        held = kept.get[0] if kept.exists else []
+        runs = list(zip(held[::2], held[1::2], strict=True))
+        for frame in frames if not kept.hasTimedOut else ():
+            runs += [(k, k) for k in set(frame["k"].dropna().astype(int).tolist())]
+        settled = kept.getCurrentWatermarkMs() // step_ms  # steps before this one have had all their events
+        merged: list[list[int]] = []
+        for first, last in sorted(runs):
+            if merged and first <= merged[-1][1] + 1:
+                merged[-1][1] = max(merged[-1][1], last)
+            else:
+                merged.append([first, last])
+        out, left = [], []
+        for first, last in merged:
+            over = last + 1 < settled
+            while first <= last and (over or (last - first + 1 >= cap and first + cap <= settled)):
+                end = min(first + cap - 1, last)
+                out.append((group[0], first, end, end - first + 1))
+                first = end + 1
+            if first <= last:
+                left.append((first, last))
+        if left:
+            kept.update(([k for r in left for k in r],))
+            kept.setTimeoutTimestamp(max(kept.getCurrentWatermarkMs() + 1, min((last + 2) * step_ms for _, last in left)))
+        elif kept.exists:
             kept.remove()
-            yield pd.DataFrame([(group[0], first, last, last - first + 1)], columns=schema.names)
-            return
-        first, last = kept.get if kept.exists else (None, None)
-        closed = []
-        for k in sorted(set(pd.concat([f["k"] for f in frames]).tolist())):
-            if first is not None and (k > last + 1 or last - first + 1 >= cap):
-                closed.append((group[0], first, last, last - first + 1))
-                first = None
-            first, last = (k if first is None else first), k
-        kept.update((first, last))
-        kept.setTimeoutDuration(1)
-        if closed:
-            yield pd.DataFrame(closed, columns=schema.names)
-
-    return steps.groupBy(key).applyInPandasWithState(run, schema, state, "append", "ProcessingTimeTimeout")
+        if out and group[0] is not None:
+            yield pd.DataFrame(out, columns=schema.names)
+
+    seen = events.withWatermark(ts, late).select(key, ts, F.floor(F.unix_micros(ts) / (1_000_000 * step_s)).alias("k"))
+    return seen.groupBy(key).applyInPandasWithState(run, schema, "runs array<long>", "append", "EventTimeTimeout")
 
 
 def each_batch(stream: DataFrame, act: Callable[[DataFrame, int], None], name: str) -> None:

@@ -111,25 +111,32 @@ def test_mask_boundaries(spark):
     assert ev.outside_marks(e, m, ["u"], "t", "m", 1.0).where("u = 'b' or u is null").count() == 2
 
 
-def test_stream_of_runs_equals_batch(spark, tmp_path):
-    steps = [("a", k) for k in (1, 2, 3, 4, 5, 8, 9)] + [("b", 1), ("b", 3)]
-    df = spark.createDataFrame(steps, "key string, k long").withColumn("on", F.lit(True))
-    batch = sorted(map(tuple, ev.capped_runs(df, ["key"], "on", 3).collect()))
-    assert batch == [("a", 1, 3, 3), ("a", 4, 5, 2), ("a", 8, 9, 2), ("b", 1, 1, 1), ("b", 3, 3, 1)]
-    df.select("key", "k").where("k <= 4").coalesce(1).write.parquet(str(tmp_path / "in"))
-    df.select("key", "k").where("k > 4").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    out = str(tmp_path / "out")
-    stream = blocks.capped_runs(spark.readStream.schema("key string, k long").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")), "key", 3)
-    q = stream.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "ck")).trigger(processingTime="1 second").start()
-    import time
-
-    end = time.time() + 90
-    while time.time() < end:
-        time.sleep(3)
-        if q.lastProgress and sorted(map(tuple, spark.read.schema(stream.schema).parquet(out).collect())) == batch:
-            break
-    q.stop()
-    assert sorted(map(tuple, spark.read.schema(stream.schema).parquet(out).collect())) == batch
+def minutes(spark, steps):
+    return spark.createDataFrame(steps, "key string, k long").select("key", "k", F.timestamp_seconds(F.col("k") * 60 + 7).alias("ts"))
+
+
+@pytest.mark.parametrize(("late", "shuffled"), [("3 minutes", False), ("2 hours", True)])
+def test_stream_of_runs_equals_batch(spark, tmp_path, late, shuffled):
+    """Files in order with a short delay, where runs come out as time goes on, and files in random order with a long one."""
+    r = np.random.default_rng(3)
+    steps = sorted({(str(u), int(k)) for u in "abc" for k in r.integers(0, 90, 60)} | {("long", k) for k in range(20)} | {("one", 4)}, key=lambda s: (s[1], s[0]))
+    batch = sorted(map(tuple, ev.capped_runs(minutes(spark, steps).withColumn("on", F.lit(True)), ["key"], "on", 5).collect()))
+    parts = [steps[k::6] for k in range(6)] if shuffled else [steps[k * len(steps) // 6 : (k + 1) * len(steps) // 6] for k in range(6)]
+    folder, out = str(tmp_path / "in"), []
+    for part in [*parts, [(None, 1000)]]:
+        minutes(spark, [*part, *part[:3]]).coalesce(1).write.mode("append").parquet(folder)
+    stream = blocks.capped_runs(blocks.read_blocks(spark, folder, 1), "key", "ts", 60, 5, late)
+    blocks.each_batch(stream, lambda df, epoch: out.append(sorted(map(tuple, df.collect()))), "runs")
+    assert sorted(x for rows in out for x in rows) == batch
+    assert shuffled or sum(bool(rows) for rows in out) > 3
+
+
+def test_each_batch_hands_on_every_trigger(spark, tmp_path):
+    for k in range(3):
+        minutes(spark, [("a", k)]).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    seen = []
+    blocks.each_batch(blocks.read_blocks(spark, str(tmp_path / "in"), 1), lambda df, epoch: seen.append((epoch, [r.k for r in df.collect()])), "each")
+    assert seen == [(0, [0]), (1, [1]), (2, [2])]
 
 
 @pytest.mark.parametrize("stream, batch", [("stream_sessions", "session_runs"), ("stream_epochs", "tumbling_epochs"), ("stream_sliding", "sliding_epochs")])
