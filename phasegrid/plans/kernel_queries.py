@@ -68,6 +68,41 @@ def hilbert_kernel(spark, d):
     return _rounded(got.select("user_id", F.posexplode(F.arrays_zip("phase", "envelope")).alias("i", "z")).select("user_id", "i", "z.phase", "z.envelope"), 4)
 
 
+#: The line and its multiples that are taken out.
+LINE = 5.0
+
+
+def notched_signals(spark, d):
+    """Signals without their line and without a comb of notches at ``LINE`` cycles a day, one after the other, zero phase."""
+    own = blocks.blocks_of_samples(hours(spark, d), ["user_id"], size=HOURS)
+    for k, f in enumerate(np.arange(LINE, RATE / 2, LINE)):
+        own = blocks.filtered_blocks(own, ["user_id"], dsp.notch(f, RATE), detrend=k == 0)
+    return blocks.samples_of_blocks(own, ["user_id"]).select("user_id", F.col("i").cast("int").alias("i"), F.round("x", 4).alias("x"))
+
+
+#: Hours of an epoch, the least share of them with a value, the slow band and the whole of its ratio, and the share of epochs that count as awake.
+EPOCH_HOURS, OBSERVED, DELTA, DELTA_WHOLE, AWAKE = 48, 0.05, (0.5, 4.0), (0.5, 10.0), 0.55
+
+
+def night_blocks(spark, d):
+    """What a night is pulled in: epochs whose delta ratio is in the user's upper part, in runs of three at most.
+
+    Gaps of an epoch are filled before its spectrum is taken; one with too few
+    values has no ratio.
+    """
+    grid = ev.interpolated(event_queries._grid(spark, d), ["user_id"])
+    epoch = F.floor((F.col("k") - F.min("k").over(Window.partitionBy("user_id"))) / EPOCH_HOURS)
+    cut = grid.withColumn("epoch", epoch)
+    enough = cut.groupBy("user_id", "epoch").agg(F.count("*").alias("n"), F.avg(F.col("v").isNotNull().cast("double")).alias("share")).where(f"n = {EPOCH_HOURS} and share >= {OBSERVED}")
+    rows = cut.join(enough.select("user_id", "epoch"), ["user_id", "epoch"]).select("user_id", "epoch", "k", F.col("filled").alias("v"))
+    powers = samples.welch(samples.numbered(rows, ["user_id", "epoch"]), ["user_id", "epoch"], 24, RATE)
+    ratio = samples.band_shares(powers, ["user_id", "epoch"], {"ratio": DELTA}, DELTA_WHOLE)
+    limit = ratio.groupBy("user_id").agg(F.percentile("ratio", F.lit(AWAKE)).alias("limit"))
+    staged = ratio.join(limit, "user_id").select("user_id", F.col("epoch").alias("k"), (F.col("ratio") >= F.col("limit")).alias("nrem"))
+    runs = ev.capped_runs(staged, ["user_id"], "nrem", 3)
+    return runs.select("user_id", (F.col("first_k") * EPOCH_HOURS).alias("start_h"), (F.col("n") * EPOCH_HOURS).alias("dur_h"))
+
+
 WELCH_BANDS, WELCH_WHOLE, WELCH_HOURS = {"slow": (0.5, 1.25), "delta": (0.5, 2.0), "spindle": (2.0, 4.0), "gamma": (6.0, 12.0)}, (0.5, 10.0), 192
 
 
@@ -181,38 +216,42 @@ def region_profile(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    pac_surrogate_z, pac_masked, sos_bandpass, hilbert_kernel, welch_kernel, peaks_kernel, nesting_timecourse, nesting_by_subject, ripple_triggered_z, event_hierarchy, time_frequency_map, resampled_signals, decimated_signals,
+    notched_signals, night_blocks, pac_surrogate_z, pac_masked, sos_bandpass, hilbert_kernel, welch_kernel, peaks_kernel, nesting_timecourse, nesting_by_subject, ripple_triggered_z, event_hierarchy, time_frequency_map, resampled_signals, decimated_signals,
     long_traces, bootstrap_ci, wilcoxon_p, one_sample_wilcoxon, spearman_p, region_profile,
 )}
 
 
-def _recursion(name: str, source: str, band: tuple[float, float]) -> str:
-    """A recursive CTE that runs a band's three sections over ``source`` (user_id, t, x), from the steady state of its first sample."""
-    first, step, x, scale = [], [], "q.x", 1.0
-    for k, (b0, b1, b2, _, a1, a2) in enumerate(dsp.butter_bandpass(*band, RATE).tolist(), 1):
+def _recursion(name: str, source: str, sections: np.ndarray) -> str:
+    """A recursive CTE that runs second-order sections over ``source`` (user_id, t, x), from the steady state of its first sample."""
+    first, step, columns, x, scale = [], [], [], "q.x", 1.0
+    for k, (b0, b1, b2, _, a1, a2) in enumerate(sections.tolist(), 1):
         level = (b0 + b1 + b2) / (1 + a1 + a2)
         first += ["0.0::DOUBLE", f"{(level - b0) * scale!r}::DOUBLE * x", f"{(b2 - a2 * level) * scale!r}::DOUBLE * x"]
         step += [f"{b0!r}::DOUBLE * {x} + f.z{k}1 AS o{k}", f"{b1!r}::DOUBLE * {x} - {a1!r}::DOUBLE * o{k} + f.z{k}2", f"{b2!r}::DOUBLE * {x} - {a2!r}::DOUBLE * o{k}"]
+        columns += [f"y{k}", f"z{k}1", f"z{k}2"]
         x, scale = f"o{k}", scale * level
-    return f"""{name}(user_id, t, y1, z11, z12, y2, z21, z22, y3, z31, z32) AS (SELECT user_id, 0::BIGINT, {", ".join(first)} FROM {source} WHERE t = 1
+    return f"""{name}(user_id, t, {", ".join(columns)}) AS (SELECT user_id, 0::BIGINT, {", ".join(first)} FROM {source} WHERE t = 1
         UNION ALL SELECT f.user_id, f.t + 1, {", ".join(step)} FROM {name} f JOIN {source} q ON q.user_id = f.user_id AND q.t = f.t + 1)"""
 
 
-_S = f"""WITH RECURSIVE {event_queries._I}, s AS (SELECT user_id, k - min(k) OVER (PARTITION BY user_id) AS i, filled AS v, count(*) OVER (PARTITION BY user_id) AS n FROM i),
-    line AS (SELECT user_id, regr_slope(v, i) AS b, regr_intercept(v, i) AS a FROM s WHERE n >= 8 GROUP BY 1 HAVING min(v) < max(v)),
-    x AS (SELECT user_id, i, n, v, v - a - b * i AS x, least(21, n - 1) AS edge FROM s JOIN line USING (user_id))"""
-_EXTENDED = f"""{_S}, ends AS (SELECT user_id, min_by(x, i) AS head, max_by(x, i) AS tail FROM x GROUP BY 1),
-    extended AS (SELECT user_id, i AS p, x FROM x UNION ALL SELECT user_id, -i, 2 * head - x FROM x JOIN ends USING (user_id) WHERE i BETWEEN 1 AND edge
-        UNION ALL SELECT user_id, 2 * (n - 1) - i, 2 * tail - x FROM x JOIN ends USING (user_id) WHERE i BETWEEN n - 1 - edge AND n - 2),
-    q1 AS MATERIALIZED (SELECT user_id, p, row_number() OVER (PARTITION BY user_id ORDER BY p) AS t, x FROM extended)"""
+def _filtered(tag: str, source: str, sections: np.ndarray) -> str:
+    """CTEs; the last, ``tag``, has user_id, i, n, x of ``source`` (the same columns) filtered there and back, both ends extended."""
+    last = f"y{len(sections)}"
+    return f"""{tag}_e AS (SELECT user_id, min_by(x, i) AS head, max_by(x, i) AS tail, least({dsp.edge_of(sections)}, any_value(n) - 1) AS edge FROM {source} GROUP BY 1),
+        {tag}_x AS (SELECT user_id, i AS p, x FROM {source} UNION ALL SELECT user_id, -i, 2 * head - x FROM {source} JOIN {tag}_e USING (user_id) WHERE i BETWEEN 1 AND edge
+            UNION ALL SELECT user_id, 2 * (n - 1) - i, 2 * tail - x FROM {source} JOIN {tag}_e USING (user_id) WHERE i BETWEEN n - 1 - edge AND n - 2),
+        {tag}_q1 AS MATERIALIZED (SELECT user_id, p, row_number() OVER (PARTITION BY user_id ORDER BY p) AS t, x FROM {tag}_x), {_recursion(f"{tag}_f1", f"{tag}_q1", sections)},
+        {tag}_q2 AS MATERIALIZED (SELECT f.user_id, q.p, row_number() OVER (PARTITION BY f.user_id ORDER BY f.t DESC) AS t, f.{last} AS x FROM {tag}_f1 f JOIN {tag}_q1 q USING (user_id, t)), {_recursion(f"{tag}_f2", f"{tag}_q2", sections)},
+        {tag} AS MATERIALIZED (SELECT s.user_id, s.i, s.n, f.{last} AS x FROM {tag}_f2 f JOIN {tag}_q2 q USING (user_id, t) JOIN {source} s ON s.user_id = f.user_id AND s.i = q.p)"""
 
 
-def _band(tag: str, band: tuple[float, float]) -> str:
-    """CTEs behind ``_EXTENDED``; the last, ``tag``, has user_id, i, n, x of the filtered band."""
-    return f"""{_recursion(f"{tag}_f1", "q1", band)}, {tag}_q2 AS MATERIALIZED (SELECT f.user_id, q1.p, row_number() OVER (PARTITION BY f.user_id ORDER BY f.t DESC) AS t, f.y3 AS x FROM {tag}_f1 f JOIN q1 USING (user_id, t)),
-        {_recursion(f"{tag}_f2", f"{tag}_q2", band)}, {tag} AS (SELECT x.user_id, x.i, x.n, f.y3 AS x FROM {tag}_f2 f JOIN {tag}_q2 q USING (user_id, t) JOIN x ON x.user_id = f.user_id AND x.i = q.p)"""
+def _band(tag: str, band: tuple[float, float], source: str = "x") -> str:
+    return _filtered(tag, source, dsp.butter_bandpass(*band, RATE))
 
 
+_S = f"""WITH RECURSIVE {event_queries._I}, s AS (SELECT user_id, k - min(k) OVER (PARTITION BY user_id) AS i, filled AS v, count(*) OVER (PARTITION BY user_id) AS n FROM i),
+    line AS (SELECT user_id, regr_slope(v, i) AS b, regr_intercept(v, i) AS a FROM s WHERE n >= 8 GROUP BY 1 HAVING min(v) < max(v)),
+    x AS (SELECT user_id, i, n, v, v - a - b * i AS x FROM s JOIN line USING (user_id))"""
 def _analytic(tag: str, source: str) -> str:
     """CTEs; ``tag`` has user_id, i, phase, envelope of ``source``'s analytic signal, by the discrete Fourier transform."""
     return f"""{tag}_c AS MATERIALIZED (SELECT user_id, n, k, sum(x * cos(2 * pi() * ((k * i) % n) / n)) AS re, -sum(x * sin(2 * pi() * ((k * i) % n) / n)) AS im
@@ -226,7 +265,7 @@ def _coupling(mask: str) -> str:
     """Modulation index, its z among 120 hashed shifts and the preferred phase, over hours that ``mask`` lets through."""
     mi = f"({math.log(dsp.BINS)!r} + sum(greatest(m / tot, 1e-12) * ln(greatest(m / tot, 1e-12)))) / {math.log(dsp.BINS)!r}"
     width = 2 * math.pi / dsp.BINS
-    return f"""{_EXTENDED}, {_band("slow", SLOW)}, {_band("fast", SPINDLE)}, {_analytic("pa", "slow")}, {_analytic("aa", "fast")},
+    return f"""{_S}, {_band("slow", SLOW)}, {_band("fast", SPINDLE)}, {_analytic("pa", "slow")}, {_analytic("aa", "fast")},
         used AS (SELECT user_id, least({dsp.BINS - 1}, floor((pa.phase + pi()) / {width!r}))::INT AS bin, aa.envelope AS a, row_number() OVER (PARTITION BY user_id ORDER BY i) - 1 AS p, count(*) OVER (PARTITION BY user_id) AS m FROM pa JOIN aa USING (user_id, i) WHERE {mask}),
         lists AS MATERIALIZED (SELECT user_id, m, list(a ORDER BY p) AS amps, list(bin ORDER BY p) AS bins FROM used GROUP BY 1, 2 HAVING m >= {5 * RATE}),
         drawn AS (SELECT *, CASE WHEN j < 0 THEN 0 ELSE lo + floor((('0x' || substr(md5(user_id || '|' || j), 1, 8))::BIGINT + 0.5) / 4294967296.0 * (greatest(floor(0.9 * m)::BIGINT, lo + 1) - lo))::BIGINT END AS shift
@@ -253,7 +292,7 @@ def _peaks(tag: str, source: str, height: float, gap: int) -> str:
 
 
 #: Slow troughs, the windows of 24 hours to both sides that lie inside, and the score of a band's envelope in them.
-_TROUGHS = f"{_EXTENDED}, {_band('y', SLOW)}, {_z('yz', 'y', 'x', '-')}, {_peaks('troughs', 'yz', 1.0, 15)}, sizes AS (SELECT DISTINCT user_id, n FROM x), inside AS (SELECT user_id, i AS e FROM troughs JOIN sizes USING (user_id) WHERE i > 24 AND i < n - 24)"
+_TROUGHS = f"{_S}, {_band('y', SLOW)}, {_z('yz', 'y', 'x', '-')}, {_peaks('troughs', 'yz', 1.0, 15)}, sizes AS (SELECT DISTINCT user_id, n FROM x), inside AS (SELECT user_id, i AS e FROM troughs JOIN sizes USING (user_id) WHERE i > 24 AND i < n - 24)"
 
 
 def _envelope(tag: str, band: tuple[float, float]) -> str:
@@ -265,7 +304,7 @@ def _locked(tag: str) -> str:
 
 
 _HALF, _LEAST, _SURROGATES = 12, 5, 200
-_TRIGGERED = f"""{_EXTENDED}, {_band("w", (0.5, 4.0))}, marks AS (SELECT user_id, floor(t / 3600)::BIGINT - k0 AS mark FROM e JOIN (SELECT user_id, min(k) AS k0 FROM i GROUP BY 1) USING (user_id) WHERE event_type = 'purchase'),
+_TRIGGERED = f"""{_S}, {_band("w", (0.5, 4.0))}, marks AS (SELECT user_id, floor(t / 3600)::BIGINT - k0 AS mark FROM e JOIN (SELECT user_id, min(k) AS k0 FROM i GROUP BY 1) USING (user_id) WHERE event_type = 'purchase'),
         enough AS (SELECT user_id FROM marks GROUP BY 1 HAVING count(*) >= {_LEAST}), sizes AS (SELECT DISTINCT user_id, n FROM x),
         valid AS (SELECT user_id, mark, n FROM marks JOIN enough USING (user_id) JOIN sizes USING (user_id) WHERE mark >= {_HALF} AND mark < n - {_HALF}),
         counts AS (SELECT user_id, any_value(n) AS n, count(*) AS m FROM valid GROUP BY 1 HAVING count(*) >= {_LEAST}),
@@ -275,14 +314,24 @@ _TRIGGERED = f"""{_EXTENDED}, {_band("w", (0.5, 4.0))}, marks AS (SELECT user_id
         cut AS (SELECT p.user_id, s, o, avg(w.x) AS m FROM picked p, range(-{_HALF}, {_HALF}) r(o), w WHERE w.user_id = p.user_id AND w.i = p.mark + o GROUP BY 1, 2, 3),
         heights AS (SELECT user_id, s, max(m) - min(m) AS h FROM cut GROUP BY 1, 2)
         SELECT user_id, round((any_value(h) FILTER (s < 0) - avg(h) FILTER (s >= 0)) / (stddev_pop(h) FILTER (s >= 0) + 1e-12), 6) AS z, any_value(m)::INT AS n_events FROM heights JOIN counts USING (user_id) GROUP BY 1"""
-_HIERARCHY = f"""{_EXTENDED}, {_band("y", SLOW)}, {_analytic("slow", "y")}, {_envelope("spindle", SPINDLE)}, {_envelope("ripple", RIPPLE)}, {_peaks("sp", "spindle", 1.5, 8)}, {_peaks("rp", "ripple", 2.0, 1)},
+_HIERARCHY = f"""{_S}, {_band("y", SLOW)}, {_analytic("slow", "y")}, {_envelope("spindle", SPINDLE)}, {_envelope("ripple", RIPPLE)}, {_peaks("sp", "spindle", 1.5, 8)}, {_peaks("rp", "ripple", 2.0, 1)},
         phases AS (SELECT user_id, 'slow_spindle' AS leg, phase FROM sp JOIN slow USING (user_id, i) UNION ALL SELECT rp.user_id, 'spindle_ripple', phase FROM rp JOIN spindle s ON s.user_id = rp.user_id AND s.i = rp.i AND s.z > 1 JOIN spindle_a a ON a.user_id = rp.user_id AND a.i = rp.i),
         sums AS (SELECT user_id, leg, count(*) AS n, sqrt(pow(sum(cos(phase)), 2) + pow(sum(sin(phase)), 2)) / count(*) AS mrl, atan2(sum(sin(phase)), sum(cos(phase))) AS pref FROM phases GROUP BY 1, 2 HAVING count(*) >= 5)
         SELECT user_id, leg, n, round(mrl, 6) AS mrl, round(pref, 6) AS pref_phase, round(greatest(0.0, least(1.0, exp(-n * mrl * mrl) * (1 + (2 * n * mrl * mrl - pow(n * mrl * mrl, 2)) / (4 * n)))), 6) AS rayleigh_p FROM sums"""
-_SLOW = f"{_EXTENDED}, {_band('y', SLOW)}"
+_SLOW = f"{_S}, {_band('y', SLOW)}"
 _AREA = "coalesce(sum(p) FILTER (hz >= {0} AND hz < {1}) - (arg_min(p, hz) FILTER (hz >= {0} AND hz < {1}) + arg_max(p, hz) FILTER (hz >= {0} AND hz < {1})) / 2, 0)"
 
 
+def _welch(source: str, keys: str, size: int) -> str:
+    """CTEs; the last, ``powers``, has the keys, hz and p of ``source`` (keys, i, n, x): Hann windows, each half over the next."""
+    return f"""p AS (SELECT *, least({size}, n) AS size, least({size}, n) - least({size}, n) // 2 AS step FROM {source}),
+        cut AS (SELECT {keys}, seg, size, i - seg * step AS place, x FROM (SELECT *, unnest(range(greatest(0, (i - size + step) // step), least(i // step, (n - size) // step) + 1)) AS seg FROM p)),
+        tapered AS (SELECT {keys}, seg, size, place, (x - avg(x) OVER (PARTITION BY {keys}, seg)) * (0.5 - 0.5 * cos(2 * pi() * place / size)) AS x, sum(pow(0.5 - 0.5 * cos(2 * pi() * place / size), 2)) OVER (PARTITION BY {keys}, seg) AS mass FROM cut),
+        parts AS (SELECT {keys}, seg, size, f, (pow(sum(x * cos(2 * pi() * ((f * place) % size) / size)), 2) + pow(sum(x * sin(2 * pi() * ((f * place) % size) / size)), 2)) / ({RATE} * any_value(mass)) * CASE WHEN f = 0 OR 2 * f = size THEN 1 ELSE 2 END AS p
+            FROM tapered, range(0, {size // 2 + 1}) fs(f) WHERE 2 * f <= size GROUP BY {keys}, seg, size, f),
+        powers AS (SELECT {keys}, f * {RATE} / size AS hz, avg(p) AS p FROM parts GROUP BY {keys}, f, size)"""
+
+
 def _fir(down: int, taps: list[float]) -> str:
     half = (len(taps) - 1) // 2
     return f"""{_S}, taps AS (SELECT unnest(range({len(taps)})) AS m, unnest({taps!r}) AS h)
@@ -309,14 +358,18 @@ ORACLES = {
     "long_traces": f"""{_S}, asked AS (SELECT user_id, n, unnest(range(0, ceil(least(n / {RATE}, 20.0) * 12)::BIGINT)) AS j FROM x WHERE i = 0),
         placed AS (SELECT user_id, j, least(j * {RATE} / 12, n - 1) AS p FROM asked)
         SELECT user_id, j::INT AS i, round(a.x + (b.x - a.x) * (p - floor(p)), 6) AS x FROM placed JOIN x a USING (user_id) JOIN x b USING (user_id) WHERE a.i = floor(p) AND b.i = ceil(p)""",
-    "welch_kernel": f"""{_S}, p AS (SELECT *, least({WELCH_HOURS}, n) AS size, least({WELCH_HOURS}, n) - least({WELCH_HOURS}, n) // 2 AS step FROM x),
-        cut AS (SELECT user_id, seg, size, i - seg * step AS place, x FROM (SELECT *, unnest(range(greatest(0, (i - size + step) // step), least(i // step, (n - size) // step) + 1)) AS seg FROM p)),
-        tapered AS (SELECT user_id, seg, size, place, (x - avg(x) OVER (PARTITION BY user_id, seg)) * (0.5 - 0.5 * cos(2 * pi() * place / size)) AS x, sum(pow(0.5 - 0.5 * cos(2 * pi() * place / size), 2)) OVER (PARTITION BY user_id, seg) AS mass FROM cut),
-        parts AS (SELECT user_id, seg, size, f, (pow(sum(x * cos(2 * pi() * ((f * place) % size) / size)), 2) + pow(sum(x * sin(2 * pi() * ((f * place) % size) / size)), 2)) / ({RATE} * any_value(mass)) * CASE WHEN f = 0 OR 2 * f = size THEN 1 ELSE 2 END AS p
-            FROM tapered, range(0, {WELCH_HOURS // 2 + 1}) fs(f) WHERE 2 * f <= size GROUP BY 1, 2, 3, 4),
-        powers AS (SELECT user_id, f * {RATE} / size AS hz, avg(p) AS p FROM parts GROUP BY 1, 2),
-        areas AS (SELECT user_id, {_AREA.format(*WELCH_WHOLE)} AS whole, {", ".join(f"{_AREA.format(*b)} AS {name}" for name, b in WELCH_BANDS.items())} FROM powers GROUP BY 1)
+    "welch_kernel": f"""{_S}, {_welch("x", "user_id", WELCH_HOURS)}, areas AS (SELECT user_id, {_AREA.format(*WELCH_WHOLE)} AS whole, {", ".join(f"{_AREA.format(*b)} AS {name}" for name, b in WELCH_BANDS.items())} FROM powers GROUP BY 1)
         SELECT user_id, {", ".join(f"round({name} / whole, 6) AS {name}" for name in WELCH_BANDS)} FROM areas WHERE whole > 0""",
+    "notched_signals": f"""{_S}, {", ".join(_filtered(f"n{k}", f"n{k - 1}" if k else "x", dsp.notch(f, RATE)) for k, f in enumerate(np.arange(LINE, RATE / 2, LINE)))}
+        SELECT user_id, i::INT AS i, round(x, 4) AS x FROM n{len(np.arange(LINE, RATE / 2, LINE)) - 1}""",
+    "night_blocks": f"""WITH {event_queries._I}, c AS (SELECT i.user_id, i.k, i.filled AS x, g.v IS NOT NULL AS seen, (i.k - min(i.k) OVER (PARTITION BY i.user_id)) // {EPOCH_HOURS} AS epoch FROM i JOIN g USING (user_id, k)),
+        ok AS (SELECT user_id, epoch FROM c GROUP BY 1, 2 HAVING count(*) = {EPOCH_HOURS} AND avg(seen::INT) >= {OBSERVED} AND min(x) < max(x)),
+        x AS (SELECT user_id, epoch, k - min(k) OVER (PARTITION BY user_id, epoch) AS i, {EPOCH_HOURS} AS n, x FROM c JOIN ok USING (user_id, epoch)), {_welch("x", "user_id, epoch", 24)},
+        ratios AS (SELECT user_id, epoch, {_AREA.format(*DELTA)} / {_AREA.format(*DELTA_WHOLE)} AS ratio FROM powers GROUP BY 1, 2),
+        nrem AS (SELECT user_id, epoch FROM ratios QUALIFY ratio >= quantile_cont(ratio, {AWAKE}) OVER (PARTITION BY user_id)),
+        runs AS (SELECT user_id, epoch, epoch - row_number() OVER (PARTITION BY user_id ORDER BY epoch) AS r FROM nrem),
+        pieces AS (SELECT *, (row_number() OVER (PARTITION BY user_id, r ORDER BY epoch) - 1) // 3 AS p FROM runs)
+        SELECT user_id, min(epoch) * {EPOCH_HOURS} AS start_h, count(*) * {EPOCH_HOURS} AS dur_h FROM pieces GROUP BY user_id, r, p""",
     "bootstrap_ci": f"""WITH {relational_queries._O}, means AS (SELECT r_name, o_orderstatus, n_name, avg(o_totalprice) AS v FROM o GROUP BY 1, 2, 3), {sql.bootstrap("means", ["r_name", "o_orderstatus"], ["n_name"], "v")}
         SELECT r_name, o_orderstatus, round(mean, 4) AS mean, round(ci_lo, 4) AS ci_lo, round(ci_hi, 4) AS ci_hi, n FROM ci""",
     "wilcoxon_p": f"""WITH RECURSIVE {relational_queries._O}, pairs AS (SELECT r_name, n_name, round(avg(o_totalprice) FILTER (o_orderstatus = 'O') - avg(o_totalprice) FILTER (o_orderstatus = 'F'), 6) AS d FROM o GROUP BY 1, 2), {sql.signed_rank("pairs", "r_name", "d")}""",
