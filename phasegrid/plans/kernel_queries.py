@@ -14,9 +14,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from phasegrid.functions import dsp
-from phasegrid.operators import blocks, inference, kernels, rollup, samples
+from phasegrid.operators import blocks, inference, kernels, quality, rollup, samples
 from phasegrid.operators import events as ev
 from phasegrid.plans import event_queries, relational_queries, sql
+from phasegrid.session import written
 
 RATE = 24.0
 SLOW, SPINDLE, RIPPLE = (0.5, 1.25), (2.0, 4.0), (6.0, 11.0)
@@ -183,6 +184,45 @@ def long_traces(spark, d):
     return _rounded(got.select("user_id", F.posexplode("samples").alias("i", "x")))
 
 
+#: Half a window in hours, points a day of the common axis, distance of troughs in days, rows of a heat map, days and points a day of a long trace, half an example in days.
+QC_HALF, QC_TARGET, QC_DISTANCE, QC_ROWS, QC_DAYS, QC_LONG, QC_EXAMPLE = 24, 10.0, 0.6, 40, 40.0, 10.0, 4.0
+
+
+def _clips(spark, d):
+    """Users as clips: ten subjects with five channels and as many clips as there are, cleaned."""
+    own = recordings(spark, d).select((F.col("user_id") % 10).alias("subject"), F.floor(F.col("user_id") / 50).alias("clip"), (F.floor(F.col("user_id") / 10) % 5).alias("channel"), "samples")
+    return quality.cleaned(own, RATE, LINE)
+
+
+def _qc(spark, d):
+    clips = _clips(spark, d)
+    rows = written(quality.banded(clips, RATE, SLOW, SPINDLE), "qc")
+    return clips, rows, written(quality.trough_events(rows, RATE, QC_HALF, 0.75, QC_DISTANCE), "qc-events")
+
+
+def qc_averages(spark, d):
+    """A subject's mean windows around slow troughs, on a common axis."""
+    _, rows, found = _qc(spark, d)
+    return _rounded(quality.epoch_averages(quality.event_epochs(found, rows, RATE, QC_HALF, QC_TARGET)))
+
+
+def qc_heat_rows(spark, d):
+    """At most ``QC_ROWS`` of a subject's windows, later events in the place of the first slots."""
+    _, rows, found = _qc(spark, d)
+    return _rounded(quality.heat_rows(found, quality.event_epochs(found, rows, RATE, QC_HALF, QC_TARGET), QC_ROWS), 5)
+
+
+def qc_summary(spark, d):
+    """Counts and seconds of each subject, and the clip that serves as its example."""
+    clips, rows, found = _qc(spark, d)
+    return _rounded(quality.summary(clips, found, RATE).join(quality.example_windows(found, rows, RATE, QC_EXAMPLE), "subject"))
+
+
+def qc_long_traces(spark, d):
+    """Each subject's channel with most hours, its clips one after the other up to ``QC_DAYS`` days."""
+    return _rounded(quality.long_traces(_clips(spark, d), RATE, SLOW, SPINDLE, QC_DAYS, QC_LONG))
+
+
 def bootstrap_ci(spark, d):
     """Mean of the nations' means and its interval, by region and state."""
     o = relational_queries._orders(spark, d).groupBy("r_name", "o_orderstatus", "n_name").agg(F.avg("o_totalprice").alias("v"))
@@ -216,7 +256,7 @@ def region_profile(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    notched_signals, night_blocks, pac_surrogate_z, pac_masked, sos_bandpass, hilbert_kernel, welch_kernel, peaks_kernel, nesting_timecourse, nesting_by_subject, ripple_triggered_z, event_hierarchy, time_frequency_map, resampled_signals, decimated_signals,
+    qc_averages, qc_heat_rows, qc_summary, qc_long_traces, notched_signals, night_blocks, pac_surrogate_z, pac_masked, sos_bandpass, hilbert_kernel, welch_kernel, peaks_kernel, nesting_timecourse, nesting_by_subject, ripple_triggered_z, event_hierarchy, time_frequency_map, resampled_signals, decimated_signals,
     long_traces, bootstrap_ci, wilcoxon_p, one_sample_wilcoxon, spearman_p, region_profile,
 )}
 
@@ -319,6 +359,15 @@ _HIERARCHY = f"""{_S}, {_band("y", SLOW)}, {_analytic("slow", "y")}, {_envelope(
         sums AS (SELECT user_id, leg, count(*) AS n, sqrt(pow(sum(cos(phase)), 2) + pow(sum(sin(phase)), 2)) / count(*) AS mrl, atan2(sum(sin(phase)), sum(cos(phase))) AS pref FROM phases GROUP BY 1, 2 HAVING count(*) >= 5)
         SELECT user_id, leg, n, round(mrl, 6) AS mrl, round(pref, 6) AS pref_phase, round(greatest(0.0, least(1.0, exp(-n * mrl * mrl) * (1 + (2 * n * mrl * mrl - pow(n * mrl * mrl, 2)) / (4 * n)))), 6) AS rayleigh_p FROM sums"""
 _SLOW = f"{_S}, {_band('y', SLOW)}"
+_ROLES = "user_id % 10 AS subject, user_id // 50 AS clip, user_id // 10 % 5 AS channel"
+_QC = f"""{_S}, {_filtered("clean", "x", dsp.notch(LINE, RATE))}, {_band("so", SLOW, "clean")}, {_band("fast", SPINDLE, "clean")}, {_analytic("aa", "fast")}, {_z("sp", "aa", "envelope")},
+    bands AS MATERIALIZED (SELECT c.user_id, c.i, c.n, c.x AS raw, so.x AS so, sp.z AS sp_z FROM clean c JOIN so USING (user_id, i) JOIN sp USING (user_id, i)),
+    deep AS (SELECT user_id, i, -so / stddev_pop(so) OVER (PARTITION BY user_id) AS z FROM bands), {_peaks("troughs", "deep", 0.75, int(QC_DISTANCE * RATE))},
+    found AS MATERIALIZED (SELECT {_ROLES}, user_id, t.i AS place, n, row_number() OVER (PARTITION BY user_id % 10 ORDER BY user_id // 50, user_id // 10 % 5, t.i) AS nth, count(*) OVER (PARTITION BY user_id) AS many
+        FROM troughs t JOIN (SELECT DISTINCT user_id, n FROM bands) USING (user_id) WHERE t.i > {QC_HALF} AND t.i < n - {QC_HALF}),
+    asked AS (SELECT subject, user_id, nth, j::INT AS j, place - {QC_HALF} + least(j * {RATE} / {QC_TARGET}, {2 * QC_HALF - 1}) AS p FROM found, range(0, {round(2 * QC_HALF / RATE * QC_TARGET)}) r(j)),
+    epochs AS MATERIALIZED (SELECT subject, user_id, nth, j, a.raw + (b.raw - a.raw) * (p - floor(p)) AS raw, a.so + (b.so - a.so) * (p - floor(p)) AS so, a.sp_z + (b.sp_z - a.sp_z) * (p - floor(p)) AS sp_z
+        FROM asked JOIN bands a USING (user_id) JOIN bands b USING (user_id) WHERE a.i = floor(p) AND b.i = ceil(p))"""
 _AREA = "coalesce(sum(p) FILTER (hz >= {0} AND hz < {1}) - (arg_min(p, hz) FILTER (hz >= {0} AND hz < {1}) + arg_max(p, hz) FILTER (hz >= {0} AND hz < {1})) / 2, 0)"
 
 
@@ -339,6 +388,26 @@ def _fir(down: int, taps: list[float]) -> str:
 
 
 ORACLES = {
+    "qc_averages": f"{_QC} SELECT subject, j, round(avg(raw), 6) AS raw, round(avg(so), 6) AS so, round(avg(sp_z), 6) AS sp_z, count(*) AS n_events FROM epochs GROUP BY 1, 2",
+    "qc_heat_rows": f"""{_QC}, slots AS (SELECT subject, CASE WHEN nth <= {QC_ROWS} THEN nth - 1 WHEN nth % {QC_ROWS} < {QC_ROWS // quality.REPLACED} THEN nth % {QC_ROWS} END AS slot, max(nth) AS nth FROM found GROUP BY 1, 2 HAVING slot IS NOT NULL),
+        own AS (SELECT subject, slot, j, so, so - median(so) OVER (PARTITION BY subject, slot) AS away FROM epochs JOIN slots USING (subject, nth)),
+        scaled AS (SELECT *, 1.4826 * median(abs(away)) OVER (PARTITION BY subject, slot) AS mad, stddev_pop(so) OVER (PARTITION BY subject, slot) AS sd FROM own)
+        SELECT subject, slot::INT AS slot, j, round(away / (CASE WHEN mad > 0 THEN mad ELSE sd END + 1e-12), 5) AS z FROM scaled""",
+    "qc_summary": f"""{_QC}, traces AS (SELECT {_ROLES}, user_id, any_value(n) AS n, quantile_cont(abs(so), 0.95) + 0.2 * quantile_cont(sp_z, 0.95) AS score FROM bands GROUP BY user_id),
+        totals AS (SELECT subject, count(DISTINCT clip) AS n_clips, count(DISTINCT channel) AS n_channels, count(*) AS n_traces, round(sum(n / {RATE}), 6) AS duration_s FROM traces GROUP BY 1),
+        numbers AS (SELECT subject, count(*) AS n_events FROM found GROUP BY 1),
+        middle AS (SELECT * FROM found QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY place) - 1 = many // 2),
+        best AS (SELECT m.subject, m.clip, m.channel, greatest(0, m.place - {int(QC_EXAMPLE * RATE)}) AS low, least(m.n, m.place + {int(QC_EXAMPLE * RATE)}) AS high FROM middle m JOIN traces t USING (user_id) QUALIFY row_number() OVER (PARTITION BY m.subject ORDER BY t.score DESC, m.clip, m.channel) = 1)
+        SELECT * FROM totals JOIN numbers USING (subject) JOIN best USING (subject)""",
+    "qc_long_traces": f"""{_S}, {_filtered("clean", "x", dsp.notch(LINE, RATE))}, sizes AS (SELECT {_ROLES}, user_id, any_value(n) / {RATE} AS dur FROM clean GROUP BY user_id),
+        best AS (SELECT subject, channel FROM sizes GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY subject ORDER BY sum(dur) DESC, count(*) DESC, channel DESC) = 1),
+        used AS (SELECT *, least(dur, {QC_DAYS} - (sum(dur) OVER (PARTITION BY subject ORDER BY clip) - dur)) AS take FROM sizes JOIN best USING (subject, channel)),
+        short AS (SELECT c.user_id, c.i, greatest(2, trunc(take * {RATE}))::BIGINT AS n, c.x FROM clean c JOIN used USING (user_id) WHERE take > 0 AND c.i < greatest(2, trunc(take * {RATE}))), {_band("so", SLOW, "short")}, {_band("fast", SPINDLE, "short")}, {_analytic("aa", "fast")}, {_z("sp", "aa", "envelope")},
+        bands AS MATERIALIZED (SELECT c.user_id, c.i, c.n, c.x AS raw, so.x AS so, sp.z AS sp_z FROM short c JOIN so USING (user_id, i) JOIN sp USING (user_id, i)),
+        asked AS (SELECT *, unnest(range(0, points)) AS j FROM (SELECT *, greatest(2, round_even(take * {QC_LONG}, 0))::BIGINT AS points FROM used WHERE take > 0)),
+        placed AS (SELECT a.*, least(j * take / points * {RATE}, n - 1.0) AS p FROM asked a JOIN (SELECT DISTINCT user_id, n FROM short) USING (user_id))
+        SELECT subject, clip, channel, j::INT AS j, round(a.raw + (b.raw - a.raw) * (p - floor(p)), 6) AS raw, round(a.so + (b.so - a.so) * (p - floor(p)), 6) AS so, round(a.sp_z + (b.sp_z - a.sp_z) * (p - floor(p)), 6) AS sp_z
+        FROM placed JOIN bands a USING (user_id) JOIN bands b USING (user_id) WHERE a.i = floor(p) AND b.i = ceil(p)""",
     "pac_surrogate_z": _coupling("true"),
     "pac_masked": _coupling("i % 24 < 20"),
     "hilbert_kernel": f"{_SLOW}, {_analytic('a', 'y')} SELECT user_id, i::INT AS i, round(phase, 4) AS phase, round(envelope, 4) AS envelope FROM a",
