@@ -34,10 +34,10 @@ from phasegrid.llm.words import bounded_sample, fold, held_out, remembers, turn_
 WORD = re.compile(r"[^\W\d_]+")
 #: Texts that the distributions are fitted on at most; rounds of expectation maximisation; added to each expected count.
 MOST_TEXTS, MOST_CHARS, ROUNDS, SMOOTHING = 2_000, 32_000_000, 3, 0.05
-#: Probability of a character that no piece covers, times the pieces' rest; scale of a character, against underflow; longest stretch scored as one.
-UNCOVERED, SCALE, STRETCH = 1e-6, 8.0, 40
-#: Words a worker remembers, and how many are worked on together.
-REMEMBERED, TOGETHER = 150_000, 5_000
+#: Probability of a character that no piece covers, times the pieces' rest; places after which sums are scaled anew, against underflow.
+UNCOVERED, EVERY = 1e-6, 16
+#: Words a worker remembers, the longest of them, and places of words that are worked on together.
+REMEMBERED, LONGEST, TOGETHER = 150_000, 64, 150_000
 UNDETERMINED = "und"
 
 
@@ -84,35 +84,77 @@ class Lattice:
         order = np.lexsort((word, end))
         return cls(sizes, *(a[order].astype(np.int32) for a in (word, begin, end, piece)))
 
-    def forward(self, weight: np.ndarray) -> np.ndarray:
-        """alpha[word, place, language], from the scaled weight of each edge and language."""
+    def forward(self, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """alpha[word, place, language] from the weight of each edge and language, and the logarithm that each was scaled by.
+
+        An edge reaches back no farther than the longest piece, so every few places
+        the last ones of a word are scaled to a largest sum of 1, whatever its length.
+        """
         alpha = np.zeros((len(self.sizes), int(self.sizes.max(initial=0)) + 1, weight.shape[1]))
+        scale = np.zeros_like(alpha)
         alpha[:, 0] = 1.0
+        reach = int((self.end - self.begin).max(initial=1))
         cuts = np.searchsorted(self.end, np.arange(1, alpha.shape[1] + 1))
         for place in range(1, alpha.shape[1]):
             own = slice(cuts[place - 1], cuts[place])
             word = self.word[own]
+            scale[:, place] = scale[:, place - 1]
             if len(word):
                 first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
                 alpha[word[first], place] = np.add.reduceat(alpha[word, self.begin[own]] * weight[own], first)
-        return alpha
-
-    def backward(self, weight: np.ndarray, alpha: np.ndarray) -> np.ndarray:
-        beta = np.zeros_like(alpha)
+            if place % EVERY == 0:
+                _rescale(alpha[:, max(0, place - reach + 1) : place + 1], scale[:, max(0, place - reach + 1) : place + 1])
+        return alpha, scale
+
+    def backward(self, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """beta[word, place, language]: the sums behind each place, scaled in the same way."""
+        beta = np.zeros((len(self.sizes), int(self.sizes.max(initial=0)) + 1, weight.shape[1]))
+        scale = np.zeros_like(beta)
         beta[np.arange(len(self.sizes)), self.sizes] = 1.0
-        cuts = np.searchsorted(self.end, np.arange(1, alpha.shape[1] + 1))
-        for place in range(alpha.shape[1] - 1, 0, -1):
+        reach = int((self.end - self.begin).max(initial=1))
+        cuts = np.searchsorted(self.end, np.arange(1, beta.shape[1] + 1))
+        for place in range(beta.shape[1] - 1, 0, -1):
             own = slice(cuts[place - 1], cuts[place])
             np.add.at(beta, (self.word[own], self.begin[own]), beta[self.word[own], place] * weight[own])
-        return beta
+            if place % EVERY == 0:
+                window = slice(max(0, place - reach), place)
+                inside = place <= self.sizes  # the words that the pass has reached
+                part, own_scale = beta[inside, window], scale[inside, window]
+                _rescale(part, own_scale)
+                beta[inside, window], scale[inside, window] = part, own_scale
+                scale[inside, : window.start] = own_scale[:, :1]
+        return beta, scale
 
     def weight(self, probabilities: np.ndarray) -> np.ndarray:
-        return probabilities[self.piece] * (SCALE ** (self.end - self.begin))[:, None]
+        return probabilities[self.piece]
 
-    def log_probabilities(self, probabilities: np.ndarray) -> np.ndarray:
+    def whole(self, alpha: np.ndarray, scale: np.ndarray) -> np.ndarray:
         """[word, language]: log of the sum over all segmentations."""
-        alpha = self.forward(self.weight(probabilities))
-        return np.log(np.maximum(alpha[np.arange(len(self.sizes)), self.sizes], 1e-300)) - (self.sizes * np.log(SCALE))[:, None]
+        at = np.arange(len(self.sizes)), self.sizes
+        return np.log(np.maximum(alpha[at], 1e-300)) + scale[at]
+
+    def log_probabilities(self, probabilities: np.ndarray) -> np.ndarray:
+        return self.whole(*self.forward(self.weight(probabilities)))
+
+
+def _rescale(sums: np.ndarray, scale: np.ndarray) -> None:
+    """Scale [word, place, language] to a largest place of 1 for each word and language; where all are 0, nothing changes."""
+    top = sums.max(axis=1, keepdims=True)
+    top[top == 0] = 1.0
+    sums /= top
+    scale += np.log(top)
+
+
+def batches_of(words: Sequence[str]) -> Iterator[list[str]]:
+    """Words by length, so many together that the places of all, filled up to the longest, are ``TOGETHER`` or one word's."""
+    part: list[str] = []
+    for w in sorted(words, key=lambda w: (len(w), w)):
+        if part and (len(part) + 1) * (len(w) + 1) > TOGETHER:
+            yield part
+            part = []
+        part.append(w)
+    if part:
+        yield part
 
 
 @dataclass
@@ -122,37 +164,39 @@ class Model:
 
 
 def words_of(text: str) -> list[str]:
-    """Words with their mark; longer runs of letters than STRETCH are cut, the later parts without a mark."""
-    out = []
-    for w in WORD.findall(text.lower()):
-        w = MARK + w
-        out += [w] if len(w) <= STRETCH else [w[k : k + STRETCH] for k in range(0, len(w), STRETCH)]
-    return out
+    """Words with their mark. Text without white space is one word, however long."""
+    return [MARK + w for w in WORD.findall(text.lower())]
 
 
 def fit(counts: dict[str, dict[str, int]], vocabulary: Vocabulary, rounds: int = ROUNDS) -> Model:
     """Distributions from word counts by language."""
     languages = sorted(counts)
-    words = sorted({w for of in counts.values() for w in of})
-    n = np.array([[counts[x].get(w, 0) for x in languages] for w in words], dtype=np.float64).reshape(len(words), len(languages))
-    lattices = [(slice(k, k + TOGETHER), Lattice.of(words[k : k + TOGETHER], vocabulary)) for k in range(0, len(words), TOGETHER)]
+    parts = []
+    for words in batches_of({w for of in counts.values() for w in of}):
+        n = np.array([[counts[x].get(w, 0) for x in languages] for w in words], dtype=np.float64).reshape(len(words), len(languages))
+        parts.append((n, Lattice.of(words, vocabulary)))
     p = np.full((vocabulary.size, len(languages)), 1.0 / vocabulary.size)
     p[-1] = UNCOVERED
     for _ in range(rounds):
         expected = np.full_like(p, SMOOTHING)
-        for own, lattice in lattices:
-            weight = lattice.weight(p)
-            alpha = lattice.forward(weight)
-            beta = lattice.backward(weight, alpha)
-            whole = np.maximum(alpha[np.arange(len(lattice.sizes)), lattice.sizes], 1e-300)
-            share = alpha[lattice.word, lattice.begin] * weight * beta[lattice.word, lattice.end] / whole[lattice.word] * n[own][lattice.word]
-            for k in range(len(languages)):
-                expected[:, k] += np.bincount(lattice.piece, weights=share[:, k], minlength=vocabulary.size)
+        for n, lattice in parts:
+            counted = expected_counts(lattice, p, n)
+            expected += counted
         p = expected / expected[:-1].sum(axis=0)
         p[-1] = UNCOVERED
     return Model(languages, p)
 
 
+def expected_counts(lattice: Lattice, p: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """[piece, language]: how often pieces are expected in words that occur ``n`` [word, language] times, over all segmentations."""
+    weight = lattice.weight(p)
+    alpha, before = lattice.forward(weight)
+    beta, behind = lattice.backward(weight)
+    logs = before[lattice.word, lattice.begin] + behind[lattice.word, lattice.end] - lattice.whole(alpha, before)[lattice.word]
+    share = alpha[lattice.word, lattice.begin] * weight * beta[lattice.word, lattice.end] * np.exp(logs) * n[lattice.word]
+    return np.stack([np.bincount(lattice.piece, weights=share[:, k], minlength=len(p)) for k in range(p.shape[1])], axis=1) if p.shape[1] else np.zeros_like(p)
+
+
 class Scorer:
     """Scores texts; a worker remembers the log-probabilities of many words, one row each, and whether they hold a letter."""
 
@@ -169,13 +213,15 @@ class Scorer:
         words = [words_of(t) for t in texts]
         if len(self.index) > REMEMBERED:
             self._forget()
-        fresh = sorted({w for of in words for w in of if w not in self.index})
-        for k in range(0, len(fresh), TOGETHER):
-            part = fresh[k : k + TOGETHER]
+        fresh = {w for of in words for w in of if w not in self.index}
+        for part in batches_of(fresh):
             self.index.update(zip(part, range(len(self.rows), len(self.rows) + len(part)), strict=True))
             self.rows = np.concatenate([self.rows, Lattice.of(part, self.vocabulary).log_probabilities(self.model.probabilities)])
         counts = np.array([len(of) for of in words])
         at = np.fromiter((self.index[w] for of in words for w in of), dtype=np.int64, count=int(counts.sum()))
+        for w in fresh:
+            if len(w) > LONGEST:
+                del self.index[w]
         owner, total = np.repeat(np.arange(len(texts)), counts), np.zeros((len(texts), len(self.model.languages)))
         for k in range(total.shape[1]):
             total[:, k] = np.bincount(owner, weights=self.rows[at, k], minlength=len(texts))

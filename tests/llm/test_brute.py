@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from phasegrid.llm import fingerprint, pieces, quality, tokens, toxicity, words
+from phasegrid.llm import fingerprint, langid, pieces, quality, tokens, toxicity, words
 
 TOP = (1 << 64) - 1
 
@@ -270,3 +270,53 @@ def test_pieces_when_stretches_are_forgotten(monkeypatch):
     short = pieces.Pieces(path)
     assert [short.encode(t) for t in texts] == expected and expected[:5] == one
     assert len(short.known) < len(whole.known)
+
+
+# language identification
+
+
+def plain_passes(word, vocabulary, p, k):
+    """(log of the sum over segmentations, expected count of each piece) of a word in language k, in logarithms, one place at a time."""
+    edges = [(end + 1 - int(vocabulary.lengths[i]), end + 1, i) for end, i in vocabulary.automaton.iter(word)] + [(c, c + 1, vocabulary.size - 1) for c in range(len(word))]
+    add = lambda a, b: b if a == -math.inf else a if b == -math.inf else max(a, b) + math.log1p(math.exp(-abs(a - b)))
+    alpha, beta = [-math.inf] * (len(word) + 1), [-math.inf] * (len(word) + 1)
+    alpha[0] = beta[-1] = 0.0
+    for b, e, i in sorted(edges, key=lambda x: x[1]):
+        alpha[e] = add(alpha[e], alpha[b] + math.log(p[i, k]))
+    for b, e, i in sorted(edges, key=lambda x: -x[0]):
+        beta[b] = add(beta[b], beta[e] + math.log(p[i, k]))
+    counts = np.zeros(len(p))
+    for b, e, i in edges:
+        counts[i] += math.exp(alpha[b] + math.log(p[i, k]) + beta[e] - alpha[-1])
+    return alpha[-1], counts
+
+
+def test_words_of_any_length_equal_plain_passes():
+    v = langid.Vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    r = np.random.default_rng(1)
+    p = r.random((v.size, 2)) ** 6
+    p /= p.sum(axis=0)
+    p[-1] = langid.UNCOVERED
+    letters = "abcdefghilmnoprstué日本"
+    words = [langid.MARK + "".join(r.choice(list(letters), n)) for n in (1, 5, 39, 40, 41, 80, 100, 700)] + ["ж" * 120, langid.MARK + "the"]
+    lattice = langid.Lattice.of(words, v)
+    want = np.array([[plain_passes(w, v, p, k)[0] for k in range(2)] for w in words])
+    assert np.allclose(lattice.log_probabilities(p), want, rtol=1e-10)
+    n = r.integers(0, 5, (len(words), 2)).astype(float)
+    counts = np.stack([sum(n[j, k] * plain_passes(w, v, p, k)[1] for j, w in enumerate(words)) for k in range(2)], axis=1)
+    assert np.allclose(langid.expected_counts(lattice, p, n), counts, rtol=1e-8, atol=1e-12)
+
+
+def test_text_without_spaces_is_one_word():
+    assert langid.words_of("Ab" * 300 + " c1d") == [langid.MARK + "ab" * 300, langid.MARK + "c", langid.MARK + "d"]
+    v = langid.Vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    scorer = langid.Scorer(langid.Model(["x", "y"], np.full((v.size, 2), 1.0 / v.size)), v)
+    once, n = scorer.sums(["ab" * 300, "", "ab cd ab"])
+    again, _ = scorer.sums(["ab" * 300, "", "ab cd ab"])
+    assert n.tolist() == [1, 0, 3] and np.array_equal(once, again) and all(len(w) <= langid.LONGEST for w in scorer.index)
+
+
+def test_words_are_batched_by_length(monkeypatch):
+    monkeypatch.setattr(langid, "TOGETHER", 30)
+    got = list(langid.batches_of({"a" * n for n in (1, 2, 3, 9, 14, 100)}))
+    assert sorted(len(w) for part in got for w in part) == [1, 2, 3, 9, 14, 100] and all(len(part) == 1 or len(part) * (max(map(len, part)) + 1) <= 30 for part in got)
