@@ -6,13 +6,14 @@ bytes of the records and channels asked for, no others. So a recording of any le
 is read in parallel and no row holds more than a part of it.
 
     spark.dataSource.register(EdfRanges)
-    spark.read.format("edf_ranges").load("s3://bucket/night.edf").where("channel = 'LA1' and start_s >= 3600")
-
-Filters on ``channel`` (equal to a value or one of several) and on ``start_s`` and
-``end_s`` (compared with a number) choose what is read, where Spark hands filters to
-Python sources (``spark.sql.python.filterPushdown.enabled``); the options ``channels``
-(separated by commas), ``from_s`` and ``to_s`` always do. ``edf_details`` reads headers
-only: a row for each channel with its rate and the recording's length.
+    spark.read.format("edf_ranges").option("channels", "LA1,LA2").option("from_s", 3600).load("s3://bucket/night.edf")
+
+The options ``channels`` (separated by commas), ``from_s`` and ``to_s`` choose what is
+read. ``edf_filtered_ranges`` also takes the query's filters on ``channel`` (equal to a
+value or one of several) and on ``start_s`` and ``end_s`` (compared with a number),
+where Spark hands them to Python sources (``spark.sql.python.filterPushdown.enabled``).
+``edf_details`` reads headers only: a row for each channel with its rate and the
+recording's length.
 """
 
 from __future__ import annotations
@@ -145,19 +146,6 @@ class RangeReader(DataSourceReader):
     def __init__(self, path: str, wanted: Wanted, part_s: float):
         self.path, self.wanted, self.part_s = path, wanted, part_s
 
-    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
-        """Takes what it can answer exactly, gives back the rest."""
-        signs = {EqualTo: "=", LessThan: "<", LessThanOrEqual: "<=", GreaterThan: ">", GreaterThanOrEqual: ">="}
-        for f in filters:
-            name = f.attribute if hasattr(f, "attribute") else ()
-            if name == ("channel",) and isinstance(f, (EqualTo, In)):
-                own = {f.value} if isinstance(f, EqualTo) else set(f.value)
-                self.wanted.channels = own if self.wanted.channels is None else self.wanted.channels & own
-            elif name in (("start_s",), ("end_s",)) and type(f) in signs and isinstance(f.value, (int, float)):
-                self.wanted.row.append((name[0], signs[type(f)], float(f.value)))
-            else:
-                yield f
-
     def partitions(self) -> list[Part]:
         out = []
         for path in recordings_at(self.path):
@@ -183,6 +171,21 @@ class RangeReader(DataSourceReader):
             yield from read_part(file, h, partition, self.wanted.channels)
 
 
+class FilteredRangeReader(RangeReader):
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        """Takes what it can answer exactly, gives back the rest."""
+        signs = {EqualTo: "=", LessThan: "<", LessThanOrEqual: "<=", GreaterThan: ">", GreaterThanOrEqual: ">="}
+        for f in filters:
+            name = f.attribute if hasattr(f, "attribute") else ()
+            if name == ("channel",) and isinstance(f, (EqualTo, In)):
+                own = {f.value} if isinstance(f, EqualTo) else set(f.value)
+                self.wanted.channels = own if self.wanted.channels is None else self.wanted.channels & own
+            elif name in (("start_s",), ("end_s",)) and type(f) in signs and isinstance(f.value, (int, float)):
+                self.wanted.row.append((name[0], signs[type(f)], float(f.value)))
+            else:
+                yield f
+
+
 def stretches(h: Header, signals: list[int]) -> list[tuple[int, int]]:
     """Byte ranges of a record that hold the signals; those closer than ``GAP`` are one."""
     at = np.concatenate([[0], np.cumsum(h.each)]) * 2
@@ -236,6 +239,18 @@ class EdfRanges(DataSource):
         return RangeReader(o["path"], wanted, float(o.get("part_s", PART_S)))
 
 
+class EdfFilteredRanges(EdfRanges):
+    """The same, choosing what it reads by the query's filters too; needs ``spark.sql.python.filterPushdown.enabled``."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "edf_filtered_ranges"
+
+    def reader(self, schema: StructType) -> RangeReader:
+        plain = super().reader(schema)
+        return FilteredRangeReader(plain.path, plain.wanted, plain.part_s)
+
+
 class DetailsReader(DataSourceReader):
     def __init__(self, path: str):
         self.path = path

@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SCHEMA = "path string, channel string, sfreq double, start_s double, samples array<double>, error string"
@@ -121,10 +121,22 @@ def read_metadata(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_tsv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Tab-separated events or channels, with the file's path; ``n/a`` is null. Columns come by name."""
-    raw = spark.read.option("header", True).option("sep", "\t").option("nullValue", "n/a").csv(path)
+    """Tab-separated events or channels, with the file's path.
+
+    Each file's columns are found by the names in its own header, in any order; one
+    that a file lacks, ``n/a``, an empty value and one that isn't of its type are
+    null. These tables are small: a file is a row until its lines are parted.
+    """
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.split("value", r"\r?\n").alias("lines"))
+    rows = files.select("path", F.split(F.get("lines", F.lit(0)), "\t").alias("header"), F.posexplode("lines").alias("nth", "line")).where("nth > 0 and trim(line) <> ''")
+    values = rows.withColumn("cells", F.split("line", "\t"))
     want = [f.strip().split() for f in schema.split(",")]
-    return raw.select(*[(F.col(c).cast(t) if c in raw.columns else F.lit(None).cast(t)).alias(c) for c, t in want], F.col("_metadata.file_path").alias("path"))
+
+    def cell(name: str, kind: str) -> Column:
+        text = F.get("cells", F.array_position("header", F.lit(name)).cast("int") - 1)
+        return F.when(~text.isin("n/a", ""), text).try_cast(kind).alias(name)
+
+    return values.select(*[cell(*c) for c in want], "path")
 
 
 def sample_of(onset: str = "onset", sample: str = "sample", rate: float = 1000.0):

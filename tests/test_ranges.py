@@ -21,9 +21,10 @@ def night(tmp_path_factory):
 def source(spark):
     """A reader of its own for each test: options stay with it."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    spark.dataSource.register(ranges.EdfRanges)
-    spark.dataSource.register(ranges.EdfDetails)
-    return spark.read.format("edf_ranges").option("part_s", 6)
+    for kind in (ranges.EdfRanges, ranges.EdfFilteredRanges, ranges.EdfDetails):
+        spark.dataSource.register(kind)
+    yield spark.read.format("edf_filtered_ranges").option("part_s", 6)
+    spark.conf.unset("spark.sql.python.filterPushdown.enabled")
 
 
 def test_parts_put_together_are_the_file(spark, source, night):
@@ -35,11 +36,12 @@ def test_parts_put_together_are_the_file(spark, source, night):
     assert all(np.allclose(got[c], whole[c], atol=1e-15, rtol=0) for c in whole)
 
 
-def test_filters_choose_channels_and_times(source, night):
+def test_filters_choose_channels_and_times(spark, source, night):
     path, _ = night
     df = source.load(str(path)).where("channel in ('LA2', 'LA4') and start_s >= 6 and end_s < 20")
     assert sorted((r.channel, r.start_s) for r in df.collect()) == [("LA2", 6.0), ("LA2", 12.0), ("LA4", 6.0), ("LA4", 12.0)]
-    asked = source.option("channels", "LA1").option("from_s", 7).option("to_s", 13).load(str(path)).collect()
+    plain = spark.read.format("edf_ranges").option("part_s", 6)
+    asked = plain.option("channels", "LA1").option("from_s", 7).option("to_s", 13).load(str(path)).collect()
     assert sorted((r.start_s, r.end_s, len(r.samples)) for r in asked) == [(7.0, 12.0, 250), (12.0, 13.0, 50)]
 
 
