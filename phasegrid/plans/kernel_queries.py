@@ -17,7 +17,8 @@ from phasegrid.functions import dsp
 from phasegrid.operators import blocks, inference, kernels, quality, rollup, samples
 from phasegrid.operators import events as ev
 from phasegrid.plans import event_queries, relational_queries, sql
-from phasegrid.session import written
+from phasegrid.session import scratch, written
+from phasegrid.sources import ranges
 
 RATE = 24.0
 SLOW, SPINDLE, RIPPLE = (0.5, 1.25), (2.0, 4.0), (6.0, 11.0)
@@ -69,6 +70,39 @@ def hilbert_kernel(spark, d):
     return _rounded(got.select("user_id", F.posexplode(F.arrays_zip("phase", "envelope")).alias("i", "z")).select("user_id", "i", "z.phase", "z.envelope"), 4)
 
 
+#: Days and channels (users by their last two digits) that the range scan asks for; hours of a record and of a part.
+SCAN_DAYS, SCAN_CHANNELS, RECORD_HOURS, PART_HOURS = (3, 12), ("u07", "u42"), 24, 96
+
+
+def _recorded(spark, d):
+    """A folder of EDF recordings, one for each hundred users: their filled hours on one axis, an hour as a second, zeros where a user has none."""
+    folder = scratch(spark, "recordings")
+    own = hours(spark, d)
+    low, high = own.agg(F.min("k"), F.max("k")).first()
+    if low is None:
+        return folder
+    values = own.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct((F.col("k") - F.lit(low)).alias("i"), "v"))).alias("held"))
+    dense = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(high - low)), lambda i: F.coalesce(F.try_element_at("held", i), F.lit(0.0)))
+    named = values.select(F.format_string("rec%06d", F.floor(F.col("user_id") / 100)).alias("recording"), F.format_string("u%02d", F.col("user_id") % 100).alias("channel"), dense.alias("samples"))
+    ranges.write_edf(named, folder, 1.0, RECORD_HOURS, "V").count()
+    return folder
+
+
+def edf_range_scan(spark, d):
+    """Some channels of recordings in some days, read by ranges: the sum of each part's samples and where it lies."""
+    spark.dataSource.register(ranges.EdfRanges)
+    asked = spark.read.format("edf_ranges").option("part_s", PART_HOURS).option("channels", ",".join(SCAN_CHANNELS)).option("from_s", SCAN_DAYS[0] * 24).option("to_s", SCAN_DAYS[1] * 24)
+    got = asked.load(_recorded(spark, d)).withColumn("recording", F.regexp_extract("path", r"(rec\d+)", 1))
+    return got.select("recording", "channel", F.col("start_s").cast("int").alias("start_h"), F.size("samples").alias("n"), F.round(F.aggregate("samples", F.lit(0.0), lambda s, x: s + x), 5).alias("total"))
+
+
+def edf_channel_details(spark, d):
+    """Rate, length and samples of each recording's channels, from headers alone."""
+    spark.dataSource.register(ranges.EdfDetails)
+    got = spark.read.format("edf_details").load(_recorded(spark, d))
+    return got.select(F.regexp_extract("path", r"(rec\d+)", 1).alias("recording"), "channel", "sfreq", F.col("dur_s").cast("int").alias("dur_h"), "n_samples", "unit")
+
+
 #: The line and its multiples that are taken out.
 LINE = 5.0
 
@@ -256,7 +290,7 @@ def region_profile(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    qc_averages, qc_heat_rows, qc_summary, qc_long_traces, notched_signals, night_blocks, pac_surrogate_z, pac_masked, sos_bandpass, hilbert_kernel, welch_kernel, peaks_kernel, nesting_timecourse, nesting_by_subject, ripple_triggered_z, event_hierarchy, time_frequency_map, resampled_signals, decimated_signals,
+    edf_range_scan, edf_channel_details, qc_averages, qc_heat_rows, qc_summary, qc_long_traces, notched_signals, night_blocks, pac_surrogate_z, pac_masked, sos_bandpass, hilbert_kernel, welch_kernel, peaks_kernel, nesting_timecourse, nesting_by_subject, ripple_triggered_z, event_hierarchy, time_frequency_map, resampled_signals, decimated_signals,
     long_traces, bootstrap_ci, wilcoxon_p, one_sample_wilcoxon, spearman_p, region_profile,
 )}
 
@@ -387,7 +421,13 @@ def _fir(down: int, taps: list[float]) -> str:
         SELECT user_id, ((i + m - {half}) // {down})::INT AS i, round(sum(v * h), 5) AS x FROM x, taps WHERE (i + m - {half}) % {down} = 0 AND i + m >= {half} AND i + m - {half} < n GROUP BY 1, 2"""
 
 
+_AXIS = f"""WITH {event_queries._I}, ends AS (SELECT min(k) AS lo, max(k) AS hi FROM i), users AS (SELECT DISTINCT user_id, 'rec' || lpad((user_id // 100)::VARCHAR, 6, '0') AS recording, 'u' || lpad((user_id % 100)::VARCHAR, 2, '0') AS channel FROM i),
+    records AS (SELECT lo, (hi - lo) // {RECORD_HOURS} + 1 AS n FROM ends)"""
 ORACLES = {
+    "edf_range_scan": f"""{_AXIS}, hours AS (SELECT recording, channel, user_id, h, lo + h AS k FROM users, (SELECT lo, unnest(range({SCAN_DAYS[0] * 24}, least({SCAN_DAYS[1] * 24}, n * {RECORD_HOURS}))) AS h FROM records) WHERE channel IN {SCAN_CHANNELS}),
+        held AS (SELECT recording, channel, greatest(h // {PART_HOURS} * {PART_HOURS}, {SCAN_DAYS[0] * 24})::INT AS start_h, (floor((greatest(-1000, least(1000, coalesce(filled, 0))) + 1000) * (65535 / 2000) - 32768 + 0.5) + 32768) * (2000 / 65535) - 1000 AS x FROM hours LEFT JOIN i USING (user_id, k))
+        SELECT recording, channel, start_h, count(*)::INT AS n, round(sum(x), 5) AS total FROM held GROUP BY 1, 2, 3""",
+    "edf_channel_details": f"{_AXIS} SELECT recording, channel, 1.0::DOUBLE AS sfreq, (n * {RECORD_HOURS})::INT AS dur_h, n * {RECORD_HOURS} AS n_samples, 'V' AS unit FROM users, records",
     "qc_averages": f"{_QC} SELECT subject, j, round(avg(raw), 6) AS raw, round(avg(so), 6) AS so, round(avg(sp_z), 6) AS sp_z, count(*) AS n_events FROM epochs GROUP BY 1, 2",
     "qc_heat_rows": f"""{_QC}, slots AS (SELECT subject, CASE WHEN nth <= {QC_ROWS} THEN nth - 1 WHEN nth % {QC_ROWS} < {QC_ROWS // quality.REPLACED} THEN nth % {QC_ROWS} END AS slot, max(nth) AS nth FROM found GROUP BY 1, 2 HAVING slot IS NOT NULL),
         own AS (SELECT subject, slot, j, so, so - median(so) OVER (PARTITION BY subject, slot) AS away FROM epochs JOIN slots USING (subject, nth)),

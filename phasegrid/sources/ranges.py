@@ -24,8 +24,11 @@ from dataclasses import dataclass, field
 from typing import Any
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 from pyspark.sql.types import StructType
 
@@ -282,3 +285,40 @@ class EdfDetails(DataSource):
 
     def reader(self, schema: StructType) -> DetailsReader:
         return DetailsReader(self.options["path"])
+
+
+#: Physical bounds of written files and the digital ones; values beyond are cut.
+PHYSICAL, DIGITAL = (-1000, 1000), (-32768, 32767)
+
+
+def edf_bytes(channels: dict[str, np.ndarray], sfreq: float, record_s: float, unit: str) -> bytes:
+    """An EDF file of channels of one length; the last record is filled up with zeros."""
+    each = int(round(sfreq * record_s))
+    longest = max((len(x) for x in channels.values()), default=0)
+    records = -(-longest // each)
+    pad = lambda v, width: str(v).encode("latin-1", "replace")[:width].ljust(width)
+    head = pad(0, 8) + pad("", 80) + pad("", 80) + pad("01.01.00", 8) + pad("00.00.00", 8) + pad(256 * (len(channels) + 1), 8) + pad("", 44) + pad(records, 8) + pad(f"{record_s:g}", 8) + pad(len(channels), 4)
+    for width, value in ((16, None), (80, ""), (8, unit), (8, PHYSICAL[0]), (8, PHYSICAL[1]), (8, DIGITAL[0]), (8, DIGITAL[1]), (80, ""), (8, each), (32, "")):
+        head += b"".join(pad(name if value is None else value, width) for name in channels)
+    scale = (DIGITAL[1] - DIGITAL[0]) / (PHYSICAL[1] - PHYSICAL[0])
+    blocks = []
+    for x in channels.values():
+        full = np.zeros(records * each)
+        full[: len(x)] = x
+        blocks.append(np.floor((np.clip(full, *PHYSICAL) - PHYSICAL[0]) * scale + DIGITAL[0] + 0.5).astype("<i2").reshape(records, each))
+    return head + (np.concatenate(blocks, axis=1).tobytes() if blocks else b"")
+
+
+def write_edf(signals: DataFrame, folder: str, sfreq: float, record_s: float, unit: str = "uV") -> DataFrame:
+    """``path, channels``: ``signals`` (recording, channel, samples) as a file for each recording, which a task writes whole."""
+
+    def write(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        store, inner = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+        store.create_dir(inner, recursive=True)
+        rows = rows.sort_values("channel")
+        with store.open_output_stream(f"{inner}/{key[0]}.edf") as out:
+            out.write(edf_bytes({str(c): np.asarray(x, dtype=np.float64) for c, x in zip(rows["channel"], rows["samples"], strict=True)}, sfreq, record_s, unit))
+        return pd.DataFrame([(f"{folder}/{key[0]}.edf", len(rows))], columns=["path", "channels"])
+
+    own = signals.select(F.col("recording").cast("string").alias("recording"), F.col("channel").cast("string").alias("channel"), "samples")
+    return own.groupBy("recording").applyInPandas(write, "path string, channels long")

@@ -110,3 +110,12 @@ def test_folders_and_files_cut_short(spark, source, night, tmp_path):
     rows = source.load(str(tmp_path)).where("channel = 'LA1'").groupBy("path").agg(F.max("end_s").alias("end")).collect()
     assert sorted((r.path.rsplit("/", 1)[1], r.end) for r in rows) == [("a.edf", 20.0), ("b.edf", 19.0)]
     assert spark.read.format("edf_details").load(str(tmp_path)).where("dur_s = 0").count() == 4
+
+
+def test_written_recordings_come_back(spark, source, tmp_path):
+    rows = [("r1", "b", [1.5, -2000.0, 3.0, 4.0, 5.0]), ("r1", "a", [0.25, 0.5]), ("r2", "a", [7.0])]
+    df = spark.createDataFrame(rows, "recording string, channel string, samples array<double>")
+    assert sorted(r.channels for r in ranges.write_edf(df, str(tmp_path / "out"), 1.0, 2.0, "V").collect()) == [1, 2]
+    got = {(r.path[-6:-4], r.channel): r.samples for r in spark.read.format("edf_ranges").load(str(tmp_path / "out")).collect()}
+    want = {("r1", "b"): [1.5, -1000.0, 3, 4, 5, 0], ("r1", "a"): [0.25, 0.5, 0, 0, 0, 0], ("r2", "a"): [7.0, 0]}
+    assert set(got) == set(want) and all(np.allclose(got[k], want[k], atol=0.016) for k in want)
