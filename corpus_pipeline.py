@@ -18,7 +18,13 @@ LEAST_LIKELY = 0.5
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Tell each document's language, which becomes its ``lang``; those without one go."""
+    """Tell each document's language, which becomes its ``lang``; those without one go.
+
+    Rows with a null or empty text, one without a letter, or one that no language
+    makes likely go; ids and sources may be null. Each row is told for itself, so
+    repeated rows stay or go together. An empty table, or one without a known
+    language to learn from, gives an empty result.
+    """
     path = public_tokenizers.path(VOCABULARY)
     told = langid.predict(docs, langid.train(docs, path), path)
     sure = told.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("lang_score") >= LEAST_LIKELY))
@@ -26,22 +32,42 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with equal text one stays."""
+    """Of documents with equal text one stays.
+
+    White-space runs count as one space and null texts as empty. The smallest id
+    stays, rows without one come last, ties and repeated rows go by the row's hash.
+    An empty table gives an empty result.
+    """
     return exact.exact_dedup(docs).select(docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents connected by similarity one stays: five-word shingles, 0.8 or more."""
+    """Of documents connected by similarity one stays: five-word shingles, 0.8 or more.
+
+    The one with the smallest id stays. Null texts and texts without words are like
+    no other and stay, as do rows without an id; rows that share an id stay or go
+    together. An empty table gives an empty result.
+    """
     return near.near_dedup(docs).select(docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources drawn to the square root of their sizes, in shuffled order."""
+    """Sources drawn to the square root of their sizes, in shuffled order.
+
+    A document comes out no time, once or several times, then with the same id each
+    time; so ids repeat from here on. A null source is the source ''. Null ids and
+    texts are drawn like others, rows equal in id, source and text draw the same
+    number. An empty table gives an empty result.
+    """
     return mixing.mix_sources(docs, power=0.5, seed=17).select(docs.columns)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids of each document, checked by decoding them again."""
+    """Piece ids of each document, checked by decoding them again.
+
+    A row for each row: null and empty texts have no pieces, ids may be null or
+    repeat. An empty table gives an empty result.
+    """
     return pieces.encode_documents(docs, public_tokenizers.path(VOCABULARY))
 
 

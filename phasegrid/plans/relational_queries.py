@@ -191,7 +191,7 @@ def _contacts(spark, d):
 
 
 SHAFTS = ("LA", "LB", "LC", "LH", "RA")
-#: Contacts that belong to the region, by name, and the largest number used; staging contacts in order of preference.
+# Contacts that belong to the region, by name, and the largest number used; staging contacts in order of preference.
 REGION, MOST_CONTACT, STAGING = "^(LA|LB|LC|LH)", 6, ("LB4", "LC4", "LB6", "LH4", "LC6")
 
 
