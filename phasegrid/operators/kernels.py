@@ -97,18 +97,6 @@ def coupling_z(df, keys, samples, phase: tuple[float, float], amplitude: tuple[f
     return map_signals(df, keys, samples, "mi double, mi_z double, pref_phase double", kernel)
 
 
-def troughs(df, keys, samples, low, high, sfreq, height: float = 1.0, distance: float = 0.6, sign: int = -1):
-    """``at, depth``: troughs (sign -1) or peaks (1) of a band's z-score, of ``height`` or more, at least ``distance`` seconds apart."""
-
-    def kernel(own, x):
-        z = sign * dsp.zscore(dsp.bandpass(dsp.detrend(x), low, high, sfreq))
-        for k in range(len(x)):
-            for at in dsp.find_peaks(z[k], height, max(1.0, distance * sfreq)):
-                yield k, int(at), float(z[k][at])
-
-    return map_signals(df, keys, samples, "at int, depth double", kernel)
-
-
 def locked_envelopes(df, keys, samples, slow: tuple[float, float], bands: dict[str, tuple[float, float]], sfreq, half: float, height: float = 1.0, distance: float = 0.6):
     """``band, offset, total, n``: sums of z-scored envelopes around slow troughs; mergeable over signals."""
 
@@ -188,22 +176,6 @@ def time_frequency(df, keys, samples, events: str, freqs: Sequence[float], sfreq
     return map_signals(_with_events(df, events), [*keys, events], samples, "freq double, offset int, total double, n long", kernel, 2 * half + 3).drop(events)
 
 
-def resampled(df, keys, samples, up: int, down: int):
-    def kernel(own, x):
-        for k, y in enumerate(dsp.resample(x, up, down)):
-            yield k, y.tolist()
-
-    return map_signals(df, keys, samples, "samples array<double>", kernel)
-
-
-def decimated(df, keys, samples, factor: int):
-    def kernel(own, x):
-        for k, y in enumerate(dsp.decimate(x, factor)):
-            yield k, y.tolist()
-
-    return map_signals(df, keys, samples, "samples array<double>", kernel)
-
-
 def long_trace(df, keys, samples, sfreq: float, rate: float = 100.0, seconds: float = 180.0):
     """``samples``: at most ``seconds`` of each cleaned signal on a common axis, by linear interpolation."""
 
