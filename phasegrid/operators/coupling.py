@@ -11,6 +11,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,20 +32,32 @@ def dft_band(x: np.ndarray, band: Band) -> np.ndarray:
 
 def _stacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(indices of usable rows, their samples): rows of the first usable length; null, empty, constant and non-finite signals are left out."""
-    rows = column.to_pylist()
-    length = next((len(r) for r in rows if r), 0)
-    use = [k for k, r in enumerate(rows) if r and len(r) == length and None not in r]
-    x = np.array([rows[k] for k in use], dtype=np.float64).reshape(len(use), length)
+    sizes = _lengths(column)
+    length = next(iter(sizes[sizes > 0].tolist()), 0)
+    use = np.flatnonzero(sizes == length) if length else np.zeros(0, dtype=np.int64)
+    flat = column.take(pa.array(use)).flatten().to_numpy(zero_copy_only=False)  # a null among numbers is a NaN here
+    x = np.asarray(flat, dtype=np.float64).reshape(len(use), length)
     fine = np.isfinite(x).all(axis=1)
     fine[fine] = x[fine].std(axis=1) >= 1e-9
-    return np.array(use, dtype=np.int64)[fine], x[fine]
+    return use[fine], x[fine]
+
+
+def _lengths(column: pa.Array) -> np.ndarray:
+    """Lengths of the lists; 0 for a null."""
+    return pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+#: Samples that a kernel takes at once, a signal at least: what it holds does not grow with the rows of an Arrow batch.
+PIECE = 1 << 17
 
 
 def by_length(batch: pa.RecordBatch, samples: int) -> Iterator[pa.RecordBatch]:
-    """The batch's rows grouped by signal length, so that kernels get rectangular arrays."""
-    sizes = np.array([len(r) if r else 0 for r in batch.column(samples).to_pylist()])
+    """The batch's rows grouped by signal length, so that kernels get rectangular arrays, in pieces of ``PIECE`` samples."""
+    sizes = _lengths(batch.column(samples))
     for n in np.unique(sizes[sizes > 0]):
-        yield batch.take(pa.array(np.flatnonzero(sizes == n)))
+        own, most = np.flatnonzero(sizes == n), max(1, PIECE // int(n))
+        for at in range(0, len(own), most):
+            yield batch.take(pa.array(own[at : at + most]))
 
 
 def phase_amplitude_sums(

@@ -1,5 +1,7 @@
 """Signal kernels over array rows: Arrow batches in, numpy arrays of equal length inside, rows out.
 
+Batches are worked off in pieces of some hundred signals, so a task's memory does not grow with their rows.
+
 Random draws are made from a hash of the row's key, so a result depends neither
 on partitioning nor on the order of rows. Signals that are null, empty, not
 finite, constant or too short give no row.
@@ -20,26 +22,31 @@ from phasegrid.functions import dsp, stats
 from phasegrid.operators.coupling import _stacked, by_length
 
 Row = tuple
+#: Arrow's types of what kernels give.
+ARROW = {"double": pa.float64(), "int": pa.int32(), "bigint": pa.int64(), "string": pa.string(), "array<double>": pa.list_(pa.float64()), "array<int>": pa.list_(pa.int32())}
 
 
 def map_signals(df: DataFrame, keys: Sequence[str], samples: str, out: str, kernel: Callable[[list[Row], np.ndarray], Iterator[Row]], least: int = 8) -> DataFrame:
     """``*keys`` and the columns of ``out``: ``kernel(keys of the rows, [row, time])`` yields (row number, *values)."""
     names = list(keys)
-    schema = T.StructType([*(df.schema[k] for k in names), *T._parse_datatype_string(out).fields])
+    fields = T._parse_datatype_string(out).fields
+    schema, types = T.StructType([*(df.schema[k] for k in names), *fields]), [ARROW[f.dataType.simpleString()] for f in fields]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in batches:
-            batch = pa.RecordBatch.from_pandas(frame, preserve_index=False)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             for part in by_length(batch, len(names)):
                 use, x = _stacked(part.column(len(names)))
                 if not len(use) or x.shape[1] < least:
                     continue
                 own = list(zip(*(part.column(k).take(pa.array(use)).to_pylist() for k in range(len(names))), strict=True))
-                rows = [(*own[k], *values) for k, *values in kernel(own, x)]
+                rows = list(kernel(own, x))
                 if rows:
-                    yield pd.DataFrame(rows, columns=schema.names)
+                    row, *values = zip(*rows, strict=True)
+                    at = pa.array(use[list(row)])
+                    columns = [pa.array(v, kind, from_pandas=True) for v, kind in zip(values, types, strict=True)]
+                    yield pa.RecordBatch.from_arrays([*(part.column(k).take(at) for k in range(len(names))), *columns], schema.names)
 
-    return df.select(*names, F.col(samples).cast("array<double>").alias("samples")).mapInPandas(run, schema)
+    return df.select(*names, F.col(samples).cast("array<double>").alias("samples")).mapInArrow(run, schema)
 
 
 def filtered(df, keys, samples, low, high, sfreq):
@@ -47,7 +54,7 @@ def filtered(df, keys, samples, low, high, sfreq):
 
     def kernel(own, x):
         for k, y in enumerate(dsp.bandpass(dsp.detrend(x), low, high, sfreq)):
-            yield k, y.tolist()
+            yield k, y
 
     return map_signals(df, keys, samples, "samples array<double>", kernel)
 
@@ -57,7 +64,7 @@ def analytic(df, keys, samples, low, high, sfreq):
 
     def kernel(own, x):
         for k, z in enumerate(dsp.analytic(dsp.bandpass(dsp.detrend(x), low, high, sfreq))):
-            yield k, np.angle(z).tolist(), np.abs(z).tolist()
+            yield k, np.angle(z), np.abs(z)
 
     return map_signals(df, keys, samples, "phase array<double>, envelope array<double>", kernel)
 
@@ -110,10 +117,15 @@ def locked_envelopes(df, keys, samples, slow: tuple[float, float], bands: dict[s
             for b, e in env.items():
                 cut = dsp.epochs(e[k], events, w)
                 if len(cut):
-                    for offset, total in zip(range(-w, w), cut.sum(axis=0), strict=True):
-                        yield k, b, offset, float(total), len(cut)
+                    yield k, b, cut.sum(axis=0), len(cut)
+
+    return _by_offset(map_signals(df, keys, samples, "band string, totals array<double>, n long", kernel), [*keys, "band"], int(half * sfreq))
+
 
-    return map_signals(df, keys, samples, "band string, offset int, total double, n long", kernel)
+def _by_offset(summed: DataFrame, names: Sequence[str], half: int) -> DataFrame:
+    """``*names, offset, total, n`` from the sums of windows as arrays."""
+    each = summed.select(*names, "n", F.posexplode("totals").alias("__at", "total"))
+    return each.select(*names, (F.col("__at") - half).alias("offset"), "total", "n")
 
 
 def triggered_z(df, keys, samples, events: str, low, high, sfreq, half: int, surrogates: int = 200, least: int = 30):
@@ -164,16 +176,17 @@ def time_frequency(df, keys, samples, events: str, freqs: Sequence[float], sfreq
     """``freq, offset, total, n``: sums of z-scored envelopes at each frequency (band width max(1, 0.3 f), in units of the rate's scale) around events."""
     def kernel(own, x):
         x = dsp.detrend(x)
+        marks = [np.array(row[-1], dtype=np.int64) for row in own]
         for f in freqs:
             width = max(1.0, 0.3 * f)
             env = dsp.zscore(np.abs(dsp.analytic(dsp.bandpass(x, max(0.1, f - width / 2), min(0.49 * sfreq, f + width / 2), sfreq))))
             for k in range(len(x)):
-                cut = dsp.epochs(env[k], np.array(own[k][-1], dtype=np.int64), half)
+                cut = dsp.epochs(env[k], marks[k], half)
                 if len(cut):
-                    for offset, total in zip(range(-half, half), cut.sum(axis=0), strict=True):
-                        yield k, float(f), offset, float(total), len(cut)
+                    yield k, float(f), cut.sum(axis=0), len(cut)
 
-    return map_signals(_with_events(df, events), [*keys, events], samples, "freq double, offset int, total double, n long", kernel, 2 * half + 3).drop(events)
+    got = map_signals(_with_events(df, events), [*keys, events], samples, "freq double, totals array<double>, n long", kernel, 2 * half + 3)
+    return _by_offset(got, [*keys, "freq"], half)
 
 
 def long_trace(df, keys, samples, sfreq: float, rate: float = 100.0, seconds: float = 180.0):
@@ -184,7 +197,7 @@ def long_trace(df, keys, samples, sfreq: float, rate: float = 100.0, seconds: fl
             clean = dsp.clean_trace(row, sfreq)
             if clean is not None:
                 n = min(len(row) / sfreq, seconds)
-                yield k, np.interp(np.arange(0, n, 1 / rate), np.arange(len(row)) / sfreq, clean).tolist()
+                yield k, np.interp(np.arange(0, n, 1 / rate), np.arange(len(row)) / sfreq, clean)
 
     return map_signals(df, keys, samples, "samples array<double>", kernel)
 
