@@ -53,6 +53,40 @@ def interpolated(grid: DataFrame, keys: Sequence[str], k: str = "k", v: str = "v
     return both.withColumn("filled", F.coalesce(F.col(v), line, a["v"], z["v"])).drop("__a", "__z")
 
 
+def knots(events: DataFrame, keys: Sequence[str], t: str, value: str, step: float) -> DataFrame:
+    """``*keys, k, v, low, high, next_k, next_v``: the steps with a mean value, the steps each fills up to the next one, and that one's value.
+
+    What ``on_grid`` and ``interpolated`` give, before it is spread out: only steps
+    with events are shuffled and sorted, gaps are filled from a row's own columns.
+    Keys without any value have one row, whose value is null.
+    """
+    held = events.groupBy(*keys, F.floor(F.col(t) / step).alias("k")).agg(F.avg(value).alias("v")).where("k is not null")
+    known = held.withColumn("v", F.when(~F.greatest(*[F.col(c).isNull() for c in keys], F.lit(False)), F.col("v")))
+    whole, by = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("k")
+    ends = known.withColumn("__lo", F.min("k").over(whole)).withColumn("__hi", F.max("k").over(whole)).withColumn("__some", F.count("v").over(whole))
+    own = ends.where("v is not null or (`__some` = 0 and k = `__lo`)")
+    low = F.when(F.lag("k").over(by).isNull(), F.col("__lo")).otherwise(F.col("k"))
+    return own.select(*keys, "k", "v", low.alias("low"), F.coalesce(F.lead("k").over(by) - 1, F.col("__hi")).alias("high"), F.lead("k").over(by).alias("next_k"), F.lead("v").over(by).alias("next_v"))
+
+
+def on_line(at: Column) -> Column:
+    """A knot's value at one of its steps: on the line to the next one, held at the ends."""
+    line = F.col("v") + (F.col("next_v") - F.col("v")) * (at - F.col("k")) / (F.col("next_k") - F.col("k"))
+    return F.when((at > F.col("k")) & F.col("next_k").isNotNull(), line).otherwise(F.col("v"))
+
+
+def spread(knots: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``*keys, k, v, filled`` from knots: a row for each step, as ``interpolated`` gives it."""
+    own = knots.select("*", F.explode(F.sequence("low", "high")).alias("__at"))
+    return own.select(*keys, F.col("__at").alias("k"), F.when(F.col("__at") == F.col("k"), F.col("v")).alias("v"), on_line(F.col("__at")).alias("filled"))
+
+
+def joined_up() -> Column:
+    """An aggregate over knots, or parts of them: their values in order as one array."""
+    part = F.struct("low", F.transform(F.sequence("low", "high"), on_line).alias("x"))
+    return F.flatten(F.transform(F.sort_array(F.collect_list(part)), lambda p: p["x"]))
+
+
 def best_window(grid: DataFrame, keys: Sequence[str], width: int, k: str = "k", v: str = "v") -> DataFrame:
     """``*keys, start, mean_v``: the earliest of the best full windows of ``width`` steps; the very last start is not tried."""
     own = Window.partitionBy(*keys).orderBy(k)

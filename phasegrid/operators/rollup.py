@@ -114,6 +114,19 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, shares: Se
     return listed.join(totals, names) if names else listed.crossJoin(F.broadcast(totals))
 
 
+def with_percentile(df: DataFrame, keys: Sequence[str], value: str, share: float, name: str) -> DataFrame:
+    """``df`` with the exact percentile of its keys' values in a column: ``lo + (hi - lo) * part`` of the two values beside it.
+
+    Where a value is compared with it, the rule counts: a weighted sum of both can lie
+    one digit beside a value that the percentile meets. Nulls are left out of it.
+    """
+    whole = Window.partitionBy(*keys)
+    rank = F.row_number().over(whole.orderBy(F.asc_nulls_last(value))) - 1
+    own = df.withColumn("__rank", rank).withColumn("__at", F.lit(float(share)) * (F.count(value).over(whole) - 1))
+    low, high = (F.max(F.when(F.col("__rank") == end("__at"), F.col(value))).over(whole) for end in (F.floor, F.ceil))
+    return own.withColumn("__lo", low).withColumn("__hi", high).withColumn(name, F.col("__lo") + (F.col("__hi") - F.col("__lo")) * (F.col("__at") - F.floor("__at"))).drop("__rank", "__at", "__lo", "__hi")
+
+
 def signed_rank(df: DataFrame, keys: Sequence[str], difference: str) -> DataFrame:
     """``*keys, n, w_plus, w_minus, ties`` of the signed-rank statistic; null and zero differences are dropped, ties share their average rank.
 

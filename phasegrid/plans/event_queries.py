@@ -141,9 +141,8 @@ def usable_share(spark, d):
 
 def percentile_stage(spark, d):
     """Hours at or above the user's 55th percentile count as staged."""
-    grid = _grid(spark, d).where("v is not null")
-    cut = F.percentile("v", F.lit(0.55)).over(Window.partitionBy("user_id"))
-    staged = grid.withColumn("staged", F.col("v") >= cut)
+    grid = ev.knots(table(spark, d), ["user_id"], "t", "value", HOUR).where("v is not null").select("user_id", "v")
+    staged = rollup.with_percentile(grid, ["user_id"], "v", 0.55, "cut").withColumn("staged", F.col("v") >= F.col("cut"))
     return staged.groupBy("user_id").agg(F.count("*").alias("n"), F.count_if("staged").alias("n_staged"))
 
 

@@ -122,8 +122,7 @@ def cohort_summary(centres: DataFrame, by: Sequence[str], key: str = "subject")
 def staged(epochs: DataFrame, sfreq: float, pct: float = 0.55) -> DataFrame:
     """``epoch, delta_ratio, nrem``: 30 s epochs of one recording; the upper share of delta ratios counts as NREM, asleep or not."""
     ratio = kernels.band_powers(epochs, ["recording", "epoch"], "samples", {"delta_ratio": (0.5, 4.0)}, (0.5, 25.0), sfreq)
-    cut = ratio.groupBy("recording").agg(F.percentile("delta_ratio", F.lit(pct)).alias("cut"))
-    return ratio.join(cut, "recording").select("recording", "epoch", "delta_ratio", (F.col("delta_ratio") >= F.col("cut")).alias("nrem"))
+    return rollup.with_percentile(ratio, ["recording"], "delta_ratio", pct, "cut").select("recording", "epoch", "delta_ratio", (F.col("delta_ratio") >= F.col("cut")).alias("nrem"))
 
 
 def night_blocks(hypnogram: DataFrame, epoch_s: float = 30.0, most_s: float = 600.0) -> DataFrame:

@@ -18,6 +18,26 @@ def plan(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_staged_hours_meet_the_threshold_as_in_sql(spark, tmp_path):
+    """101 hours: the percentile is the 56th value and a bit of rounding."""
+    r = np.random.default_rng(0)
+    (tmp_path / "t").mkdir()
+    con = duckdb.connect()
+    con.execute("SET TimeZone = 'UTC'")
+    table = pa.table({"user_id": np.repeat(np.arange(400), 101), "k": np.tile(np.arange(101), 400), "value": np.round(r.uniform(0, 200, 40400), 2) / r.choice([1, 2, 3], 40400)})
+    con.execute(f"COPY (SELECT row_number() OVER () AS event_id, TIMESTAMP '2024-01-01' + k * INTERVAL 1 HOUR AS ts, user_id, 'view' AS event_type, value, '' AS props FROM \"table\") TO '{tmp_path}/events.parquet'")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    want = con.execute(catalog.ORACLES["percentile_stage"]).fetchall()
+    got = catalog.QUERIES["percentile_stage"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_percentile_of_a_column(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", None), ("a", 4.0), ("b", None), ("c", 7.0)], "k string, v double")
+    got = {r.k: r.p for r in rollup.with_percentile(df, ["k"], "v", 0.5, "p").collect()}
+    assert got == {"a": 2.5, "b": None, "c": 7.0}
+
+
 def test_kernels_take_pieces_of_a_batch():
     """A batch went through the kernels whole, whatever its rows."""
     rows = pa.array([np.arange(720.0) for _ in range(1000)] + [None, np.zeros(0), np.arange(8.0)], pa.list_(pa.float64()))
@@ -31,3 +51,15 @@ def test_filters_are_worked_out_once_in_a_process():
     assert dsp.state_space(dsp.butter_bandpass(1, 2, 24)) is dsp.state_space(dsp.butter_bandpass(1, 2, 24))
 
 
+@pytest.fixture(scope="module")
+def gaps(spark):
+    rows = [(1, 2.5, 4.0), (1, 2.6, 6.0), (1, 7.0, 1.0), (1, 9.0, None), (2, 3.0, None), (2, 5.0, None), (3, 0.0, None), (3, 4.0, 2.0), (3, 8.0, float("nan")), (4, 1.0, 3.0), (None, 1.0, 3.0), (None, 3.0, 4.0), (4, None, 9.0)]
+    return spark.createDataFrame(rows, "u int, t double, x double").repartition(5)
+
+
+def test_knots_give_the_filled_grid(gaps):
+    want = ev.interpolated(ev.on_grid(gaps, ["u"], "t", "x", 1.0), ["u"]).select("u", "k", "v", "filled")
+    got = ev.spread(ev.knots(gaps, ["u"], "t", "x", 1.0), ["u"])
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+
+
