@@ -1,7 +1,7 @@
 """Quality control of a subject's clips: event averages on a common axis, a bounded heat map, an example and one long trace.
 
 Clips are rows ``subject, clip, channel`` with cleaned ``samples``; a clip is short
-enough for a row. From the bands on, everything is a row for each sample or event.
+enough for a row. Windows are cut from a clip's own row; behind that, everything is a row for each event or place.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from phasegrid.functions import dsp
 from phasegrid.operators import events as ev
-from phasegrid.operators import kernels, samples
+from phasegrid.operators import kernels
 
 TRACE = ["subject", "clip", "channel"]
 #: The part of a heat map's rows that later events replace.
@@ -31,44 +31,58 @@ def cleaned(clips: DataFrame, sfreq: float, line: float) -> DataFrame:
     return kernels.map_signals(clips, TRACE, "samples", "samples array<double>", kernel)
 
 
-def banded(clips: DataFrame, sfreq: float, slow: tuple[float, float], spindle: tuple[float, float]) -> DataFrame:
-    """``*TRACE, i, n, raw, so, sp_z``: a row for each sample of cleaned clips, the slow band, and the score of the spindle band's envelope."""
+def banded(clips: DataFrame, sfreq: float, slow: tuple[float, float], spindle: tuple[float, float], depth: float = 0.75, distance_s: float = 0.6, more: Sequence[str] = ()) -> DataFrame:
+    """``*TRACE, *more, n, raw, so, sp_z, troughs``: cleaned clips, the slow band, the score of the spindle band's envelope, and the sample numbers of slow troughs of ``depth`` standard deviations."""
 
     def kernel(own, x):
         so = dsp.bandpass(x, *slow, sfreq)
         sp = dsp.zscore(np.abs(dsp.analytic(dsp.bandpass(x, *spindle, sfreq))))
         for k in range(len(x)):
-            yield k, x[k].tolist(), so[k].tolist(), sp[k].tolist()
+            yield k, x.shape[1], x[k], so[k], sp[k], dsp.find_peaks(-so[k] / so[k].std(), depth, max(1, int(distance_s * sfreq))).astype(np.int32)
 
-    arrays = kernels.map_signals(clips, TRACE, "samples", "raw array<double>, so array<double>, sp_z array<double>", kernel)
-    return arrays.select(*TRACE, F.size("so").alias("n"), F.posexplode(F.arrays_zip("raw", "so", "sp_z")).alias("i", "s")).select(*TRACE, F.col("i").cast("long").alias("i"), "n", "s.*")
+    return kernels.map_signals(clips, [*TRACE, *more], "samples", "n int, raw array<double>, so array<double>, sp_z array<double>, troughs array<int>", kernel)
 
 
-def trough_events(rows: DataFrame, sfreq: float, half: int, depth: float = 0.75, distance_s: float = 0.6) -> DataFrame:
-    """``*TRACE, at, n, nth, of``: slow troughs of ``depth`` standard deviations whose window lies inside, numbered in their subject and counted in their clip."""
-    spread = rows.groupBy(*TRACE, "n").agg(F.stddev_pop("so").alias("__s"))
-    deep = rows.join(spread.drop("n"), TRACE).withColumn("__d", -F.col("so") / F.col("__s"))
-    found = samples.apart(samples.local_maxima(deep, TRACE, "i", "__d", depth), TRACE, max(1, int(distance_s * sfreq)))
-    inside = found.join(spread.select(*TRACE, "n"), TRACE).where((F.col("at") > half) & (F.col("at") < F.col("n") - half))
-    order = Window.partitionBy("subject").orderBy("clip", "channel", "at")
-    return inside.select(*TRACE, "at", "n", F.row_number().over(order).alias("nth"), F.count("*").over(Window.partitionBy(*TRACE)).alias("of"))
+def inside(half: int) -> Column:
+    """The troughs of banded clips whose window lies inside."""
+    return F.filter("troughs", lambda t: (t > half) & (t < F.col("n") - half))
 
 
-def on_axis(places: DataFrame, rows: DataFrame, keys: Sequence[str], at: Column, values: Sequence[str]) -> DataFrame:
-    """``*keys`` and ``values`` at fractional sample numbers: each place asks for the one or two samples beside it, by equal keys, and adds up their parts."""
-    low = F.floor(at)
-    beside = F.array(F.struct(low.alias("i"), (1 - (at - low)).alias("w")), F.struct((low + 1).alias("i"), (at - low).alias("w")))
-    asked = places.select(*keys, F.explode(F.filter(beside, lambda b: b["w"] > 0)).alias("b")).select(*keys, "b.i", "b.w")
-    on = [*TRACE, "i"]
-    return asked.join(rows.select(*on, *values), on).groupBy(*keys).agg(*[F.sum(F.col("w") * F.col(v)).alias(v) for v in values])
+def trough_events(rows: DataFrame, half: int) -> DataFrame:
+    """``*TRACE, at, n, nth, of``: troughs of banded clips whose window lies inside, numbered in their subject and counted in their clip.
 
+    A clip's first number is the sum of the counts of those before it, so what is put in order is a row for each clip.
+    """
+    own = rows.select(*TRACE, "n", inside(half).alias("places")).withColumn("of", F.size("places").cast("long")).where("of > 0")
+    before = Window.partitionBy("subject").orderBy("clip", "channel").rowsBetween(Window.unboundedPreceding, -1)
+    counted = own.withColumn("__before", F.coalesce(F.sum("of").over(before), F.lit(0).cast("long")))
+    each = counted.select(*TRACE, "n", "of", "__before", F.posexplode("places").alias("place", "at"))
+    return each.select(*TRACE, "at", "n", (F.col("__before") + F.col("place") + 1).alias("nth"), "of")
+
+
+def between(values: Column, at: Column) -> Column:
+    """An array's value at a fractional place, on the line between those beside it."""
+    low = F.get(values, F.floor(at).cast("int"))
+    return low + (F.get(values, F.ceil(at).cast("int")) - low) * (at - F.floor(at))
+
+
+def event_epochs(rows: DataFrame, places: Column, sfreq: float, half: int, target: float, values: Sequence[str] = ("raw", "so", "sp_z")) -> DataFrame:
+    """``*TRACE, nth, j`` and ``values``: the windows around events at ``target`` samples a second; their last sample holds up to the end.
 
-def event_epochs(events: DataFrame, rows: DataFrame, sfreq: float, half: int, target: float) -> DataFrame:
-    """``*TRACE, nth, j, raw, so, sp_z``: the windows around events at ``target`` samples a second; their last sample holds up to the end."""
+    ``places`` are sample numbers inside, or structs of ``at`` and ``nth``. A window is cut from its clip's own row, and
+    only then spread out: no table of places is joined with one of samples.
+    """
     count = int(round(2 * half / sfreq * target))
-    places = events.select(*TRACE, "at", "nth", F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("j"))
-    at = F.col("at") - half + F.least(F.col("j") * sfreq / target, F.lit(2.0 * half - 1))
-    return on_axis(places, rows, [*TRACE, "nth", "j"], at, ["raw", "so", "sp_z"])
+
+    def cut(e: Column) -> Column:
+        at = e["at"] if numbered else e
+        return F.struct((e["nth"] if numbered else F.lit(None).cast("long")).alias("nth"), *[F.slice(v, at - half + 1, F.lit(2 * half)).alias(v) for v in values])
+
+    numbered = dict(rows.select(places.alias("p")).dtypes)["p"] != "array<int>"
+    windows = rows.select(*TRACE, F.explode(F.transform(places, cut)).alias("w")).select(*TRACE, "w.*")
+    each = windows.select("*", F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("j"))
+    at = F.least(F.col("j") * sfreq / target, F.lit(2.0 * half - 1))
+    return each.select(*TRACE, "nth", "j", *[between(F.col(v), at).alias(v) for v in values])
 
 
 def epoch_averages(epochs: DataFrame) -> DataFrame:
@@ -76,6 +90,15 @@ def epoch_averages(epochs: DataFrame) -> DataFrame:
     return epochs.groupBy("subject", "j").agg(*[F.avg(c).alias(c) for c in ("raw", "so", "sp_z")], F.count("*").alias("n_events"))
 
 
+def kept_events(events: DataFrame, most: int) -> DataFrame:
+    """The rows of ``events`` that a heat map keeps, and their ``slot``; see ``heat_rows``."""
+    turn = F.col("nth") % most
+    slot = F.when(F.col("nth") <= most, F.col("nth") - 1).when(turn < most // REPLACED, turn)
+    own = events.withColumn("slot", slot).where("slot is not null")
+    rest = [c for c in events.columns if c not in ("subject", "nth")]
+    return own.groupBy("subject", "slot").agg(F.max_by(F.struct("nth", *rest), "nth").alias("e")).select("subject", "slot", "e.*")
+
+
 def heat_rows(events: DataFrame, epochs: DataFrame, most: int) -> DataFrame:
     """``subject, slot, j, z``: at most ``most`` epochs of a subject, each as its robust score.
 
@@ -83,9 +106,7 @@ def heat_rows(events: DataFrame, epochs: DataFrame, most: int) -> DataFrame:
     twentieth of the slots in turn. A slot keeps its latest event, which is a
     maximum, so subjects' parts can be put together in any order.
     """
-    turn = F.col("nth") % most
-    slot = F.when(F.col("nth") <= most, F.col("nth") - 1).when(turn < most // REPLACED, turn)
-    kept = events.withColumn("slot", slot).where("slot is not null").groupBy("subject", "slot").agg(F.max("nth").alias("nth"))
+    kept = kept_events(events, most).select("subject", "slot", "nth")
     own = epochs.join(kept, ["subject", "nth"]).groupBy("subject", "slot").agg(F.transform(F.sort_array(F.collect_list(F.struct("j", "so"))), lambda x: x["so"]).alias("so"))
 
     def median(x: Column) -> Column:
@@ -100,13 +121,21 @@ def heat_rows(events: DataFrame, epochs: DataFrame, most: int) -> DataFrame:
     return flat.withColumn("scale", scale).select("subject", "slot", F.posexplode("away").alias("j", "v"), "scale").select("subject", "slot", "j", (F.col("v") / F.col("scale")).alias("z"))
 
 
-def example_windows(events: DataFrame, rows: DataFrame, sfreq: float, half_s: float = 4.0) -> DataFrame:
-    """``subject, clip, channel, low, high``: of a subject's clips with events the one with the largest waves, around its middle event."""
-    top = rows.groupBy(*TRACE).agg((F.percentile(F.abs("so"), F.lit(0.95)) + 0.2 * F.percentile("sp_z", F.lit(0.95))).alias("score"))
-    middle = events.withColumn("place", F.row_number().over(Window.partitionBy(*TRACE).orderBy("at")) - 1).where("place = floor(of / 2)")
-    ranked = middle.join(top, TRACE).withColumn("rank", F.row_number().over(Window.partitionBy("subject").orderBy(F.desc("score"), "clip", "channel"))).where("rank = 1")
+def example_windows(rows: DataFrame, half: int, sfreq: float, half_s: float = 4.0) -> DataFrame:
+    """``subject, clip, channel, low, high``: of a subject's banded clips with events the one with the largest waves, around its middle event.
+
+    Scores are compared to a billionth: copies of a clip have the same one, wherever they were filtered.
+    """
+
+    def percentile(x: Column) -> Column:
+        return between(F.sort_array(x), 0.95 * (F.size(x) - 1))
+
+    score = F.round(percentile(F.transform("so", F.abs)) + 0.2 * percentile(F.col("sp_z")), 9)
+    own = rows.select(*TRACE, "n", inside(half).alias("places"), score.alias("score")).where("size(places) > 0")
+    middle = own.withColumn("at", F.get("places", F.floor(F.size("places") / 2).cast("int")))
+    best = middle.groupBy("subject").agg(F.min_by(F.struct("clip", "channel", "n", "at"), F.struct(-F.col("score"), "clip", "channel")).alias("e")).select("subject", "e.*")
     wide = int(half_s * sfreq)
-    return ranked.select(*TRACE, F.greatest(F.lit(0), F.col("at") - wide).cast("long").alias("low"), F.least(F.col("n"), F.col("at") + wide).cast("long").alias("high"))
+    return best.select(*TRACE, F.greatest(F.lit(0), F.col("at") - wide).cast("long").alias("low"), F.least(F.col("n"), F.col("at") + wide).cast("long").alias("high"))
 
 
 def long_traces(clips: DataFrame, sfreq: float, slow: tuple[float, float], spindle: tuple[float, float], most_s: float = 180.0, target: float = 100.0) -> DataFrame:
@@ -115,18 +144,23 @@ def long_traces(clips: DataFrame, sfreq: float, slow: tuple[float, float], spind
     Of channels with equal seconds the one with more clips, then the last by name.
     A clip that reaches over ``most_s`` is cut before its bands are made.
     """
-    sized = clips.withColumn("dur", F.size("samples") / sfreq)
+    sized = clips.select(*TRACE, (F.size("samples") / sfreq).alias("dur"))
     best = sized.groupBy("subject", "channel").agg(F.sum("dur").alias("s"), F.count("*").alias("c")).groupBy("subject").agg(F.max_by("channel", F.struct("s", "c", "channel")).alias("channel"))
-    used = ev.until_cap(sized.join(best, ["subject", "channel"]), ["subject"], ["clip"], "dur", most_s)
+    used = ev.until_cap(sized.join(best, ["subject", "channel"]), ["subject"], ["clip"], "dur", most_s).select(*TRACE, "used")
     count = F.greatest(F.lit(2), (F.col("used") * sfreq).cast("int"))
-    short = used.withColumn("samples", F.slice("samples", F.lit(1), count))
+    short = clips.join(used, TRACE).withColumn("samples", F.slice("samples", F.lit(1), count))
     out = F.greatest(F.lit(2), F.rint(F.col("used") * target).cast("int"))
-    places = short.select(*TRACE, "used", F.size("samples").alias("n"), out.alias("out"), F.explode(F.sequence(F.lit(0), out - 1)).alias("j"))
-    at = F.least(F.col("j") * F.col("used") / F.col("out") * sfreq, F.col("n") - 1.0)
-    return on_axis(places, banded(short, sfreq, slow, spindle), [*TRACE, "j"], at, ["raw", "so", "sp_z"])
+    values = ("raw", "so", "sp_z")
+
+    def place(j: Column) -> Column:
+        at = F.least(j * F.col("used") / F.col("out") * sfreq, F.col("n") - 1.0)
+        return F.struct(j.alias("j"), *[between(F.col(v), at).alias(v) for v in values])
+
+    rows = banded(short.withColumn("out", out), sfreq, slow, spindle, more=["used", "out"])
+    return rows.select(*TRACE, F.explode(F.transform(F.sequence(F.lit(0), F.col("out") - 1), place)).alias("w")).select(*TRACE, "w.*")
 
 
-def summary(clips: DataFrame, events: DataFrame, sfreq: float) -> DataFrame:
+def summary(clips: DataFrame, rows: DataFrame, sfreq: float, half: int) -> DataFrame:
     """``subject, n_clips, n_channels, n_traces, duration_s, n_events`` of subjects with events."""
     traces = clips.groupBy("subject").agg(F.countDistinct("clip").alias("n_clips"), F.countDistinct("channel").alias("n_channels"), F.count("*").alias("n_traces"), F.sum(F.size("samples") / sfreq).alias("duration_s"))
-    return traces.join(events.groupBy("subject").agg(F.count("*").alias("n_events")), "subject")
+    return traces.join(rows.groupBy("subject").agg(F.sum(F.size(inside(half))).alias("n_events")).where("n_events > 0"), "subject")

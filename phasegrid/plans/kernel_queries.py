@@ -228,28 +228,30 @@ def _clips(spark, d):
     return quality.cleaned(own, RATE, LINE)
 
 
-def _qc(spark, d):
-    clips = _clips(spark, d)
-    rows = written(quality.banded(clips, RATE, SLOW, SPINDLE), "qc")
-    return clips, rows, written(quality.trough_events(rows, RATE, QC_HALF, 0.75, QC_DISTANCE), "qc-events")
+def _bands(clips):
+    return quality.banded(clips, RATE, SLOW, SPINDLE, 0.75, QC_DISTANCE)
 
 
 def qc_averages(spark, d):
     """A subject's mean windows around slow troughs, on a common axis."""
-    _, rows, found = _qc(spark, d)
-    return _rounded(quality.epoch_averages(quality.event_epochs(found, rows, RATE, QC_HALF, QC_TARGET)))
+    rows = _bands(_clips(spark, d))
+    return _rounded(quality.epoch_averages(quality.event_epochs(rows, quality.inside(QC_HALF), RATE, QC_HALF, QC_TARGET)))
 
 
 def qc_heat_rows(spark, d):
     """At most ``QC_ROWS`` of a subject's windows, later events in the place of the first slots."""
-    _, rows, found = _qc(spark, d)
-    return _rounded(quality.heat_rows(found, quality.event_epochs(found, rows, RATE, QC_HALF, QC_TARGET), QC_ROWS), 5)
+    rows = written(_bands(_clips(spark, d)).select(*quality.TRACE, "n", "so", "troughs"), "qc")
+    found = quality.trough_events(rows, QC_HALF)
+    places = quality.kept_events(found, QC_ROWS).groupBy(*quality.TRACE).agg(F.collect_list(F.struct("at", "nth")).alias("places"))
+    epochs = quality.event_epochs(rows.join(places, quality.TRACE), F.col("places"), RATE, QC_HALF, QC_TARGET, ("so",))
+    return _rounded(quality.heat_rows(found, epochs, QC_ROWS), 5)
 
 
 def qc_summary(spark, d):
     """Counts and seconds of each subject, and the clip that serves as its example."""
-    clips, rows, found = _qc(spark, d)
-    return _rounded(quality.summary(clips, found, RATE).join(quality.example_windows(found, rows, RATE, QC_EXAMPLE), "subject"))
+    clips = _clips(spark, d)
+    rows = _bands(clips)
+    return _rounded(quality.summary(clips, rows, RATE, QC_HALF).join(quality.example_windows(rows, QC_HALF, RATE, QC_EXAMPLE), "subject"))
 
 
 def qc_long_traces(spark, d):

@@ -18,6 +18,24 @@ def plan(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_averages_of_windows_join_nothing(spark):
+    """Windows were found by joining a row for each of their points, which Spark took for a small table and broadcast."""
+    assert "Join" not in plan(catalog.QUERIES["qc_averages"](spark, DIR)).replace("LeftOuter", "")
+
+
+def test_heat_rows_cut_only_the_windows_they_keep(spark, monkeypatch):
+    cut = []
+    own = kernel_queries.quality.event_epochs
+    monkeypatch.setattr(kernel_queries.quality, "event_epochs", lambda *a, **k: cut.append(own(*a, **k)) or cut[-1])
+    rows = catalog.QUERIES["qc_heat_rows"](spark, DIR).count()
+    assert cut[0].count() == rows
+
+
+def test_example_and_long_traces_have_no_row_for_each_sample(spark):
+    for name in ("qc_summary", "qc_long_traces"):
+        assert "sp_z#" in plan(catalog.QUERIES[name](spark, DIR)) and "posexplode" not in plan(catalog.QUERIES[name](spark, DIR)), name
+
+
 def test_staged_hours_meet_the_threshold_as_in_sql(spark, tmp_path):
     """101 hours: the percentile is the 56th value and a bit of rounding."""
     r = np.random.default_rng(0)
