@@ -77,12 +77,13 @@ SCAN_DAYS, SCAN_CHANNELS, RECORD_HOURS, PART_HOURS = (3, 12), ("u07", "u42"), 24
 def _recorded(spark, d):
     """A folder of EDF recordings, one for each hundred users: their filled hours on one axis, an hour as a second, zeros where a user has none."""
     folder = scratch(spark, "recordings")
-    own = hours(spark, d)
-    low, high = own.agg(F.min("k"), F.max("k")).first()
+    hour = F.floor(F.col("t") / event_queries.HOUR)
+    low, high = event_queries.table(spark, d).agg(F.min(hour), F.max(hour)).first()
     if low is None:
         return folder
-    values = own.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct((F.col("k") - F.lit(low)).alias("i"), "v"))).alias("held"))
-    dense = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(high - low)), lambda i: F.coalesce(F.try_element_at("held", i), F.lit(0.0)))
+    values = ev.knots(event_queries.table(spark, d), ["user_id"], "t", "value", event_queries.HOUR).groupBy("user_id").agg(ev.joined_up().alias("held"), F.min("low").alias("first"), F.max("high").alias("last"))
+    zeros = lambda n: F.array_repeat(F.lit(0.0), n.cast("int"))
+    dense = F.concat(zeros(F.col("first") - F.lit(low)), F.transform("held", lambda v: F.coalesce(v, F.lit(0.0))), zeros(F.lit(high) - F.col("last")))
     named = values.select(F.format_string("rec%06d", F.floor(F.col("user_id") / 100)).alias("recording"), F.format_string("u%02d", F.col("user_id") % 100).alias("channel"), dense.alias("samples"))
     ranges.write_edf(named, folder, 1.0, RECORD_HOURS, "V").count()
     return folder

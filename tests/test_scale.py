@@ -81,3 +81,11 @@ def test_knots_give_the_filled_grid(gaps):
     assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
 
 
+def test_recordings_written_without_looking_up_each_hour(spark, monkeypatch):
+    """Each hour was looked up in a map of all others."""
+    seen = []
+    own = kernel_queries.ranges.write_edf
+    monkeypatch.setattr(kernel_queries.ranges, "write_edf", lambda df, *a: seen.append(df) or own(df, *a))
+    assert catalog.QUERIES["edf_range_scan"](spark, DIR).count() and "map_from_entries" not in plan(seen[0])
+    lengths = seen[0].select(F.size("samples").alias("n")).distinct().collect()
+    assert len(lengths) == 1
