@@ -13,13 +13,14 @@ from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from phasegrid.functions import dsp
+from phasegrid.operators import events as ev
 
 #: Samples of a block, where nothing else is said.
 SIZE = 65_536
@@ -32,6 +33,13 @@ def blocks_of_samples(rows: DataFrame, keys: Sequence[str], k: str = "k", v: str
     return cell.groupBy(*keys, "block").agg(each.alias("samples"))
 
 
+def blocks_of_knots(knots: DataFrame, keys: Sequence[str], size: int = SIZE) -> DataFrame:
+    """The same from the knots of gridded events (``events.knots``), which are cut at the blocks' ends."""
+    cut = knots.select("*", F.explode(F.sequence(F.floor(F.col("low") / size), F.floor(F.col("high") / size))).alias("block"))
+    low, high = F.greatest(F.col("low"), F.col("block") * size), F.least(F.col("high"), F.col("block") * size + size - 1)
+    return cut.withColumn("low", low).withColumn("high", high).groupBy(*keys, "block").agg(ev.joined_up().alias("samples"))
+
+
 def blocks_of_signals(signals: DataFrame, keys: Sequence[str], samples: str = "samples", size: int = SIZE) -> DataFrame:
     """The same from array rows."""
     last = F.floor((F.size(samples) - 1) / size)
@@ -48,9 +56,9 @@ class _System:
     """A filter and what blocks of some length do in it, each worked out once."""
 
     def __init__(self, sections: np.ndarray):
-        self.space, self.edge = dsp.StateSpace(sections), dsp.edge_of(sections)
-        self.crossed = lru_cache(self._crossed)
-        self.trend = lru_cache(self._trend)
+        self.space, self.edge = dsp.state_space(sections), dsp.edge_of(sections)
+        self.crossed = lru_cache(1024)(self._crossed)
+        self.trend = lru_cache(1024)(self._trend)
 
     def maps(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """End states from zero: of the rows forward, and of that output backward."""
@@ -67,6 +75,12 @@ class _System:
         return self.maps(np.stack([np.ones(n), np.arange(n, dtype=np.float64)]))
 
 
+@lru_cache(maxsize=128)
+def _system(raw: bytes) -> _System:
+    """The system of these sections, worked out once in a process and not for each signal."""
+    return _System(np.frombuffer(raw).reshape(-1, 6))
+
+
 #: Columns of a block's summary; the prefix keeps them apart from keys.
 _SUMMED = "__n long, __total double, __weighted double, __low double, __high double, __head array<double>, __tail array<double>, __there array<double>, __back array<double>"
 
@@ -77,7 +91,7 @@ def _summed(blocks: DataFrame, keys: list[str], sections: np.ndarray) -> DataFra
     schema = T.StructType([*(blocks.schema[k] for k in [*keys, "block"]), *T._parse_datatype_string(_SUMMED).fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system = _System(sections)
+        system = _system(raw)
         for batch in batches:
             rows = []
             for value in batch.column(batch.num_columns - 1):
@@ -87,26 +101,42 @@ def _summed(blocks: DataFrame, keys: list[str], sections: np.ndarray) -> DataFra
             if rows:
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(list(c)) for c in zip(*rows, strict=True))], names)
 
+    raw = np.ascontiguousarray(sections, dtype=np.float64).tobytes()
     own = blocks.where("size(samples) > 0").select(*keys, "block", F.col("samples").cast("array<double>"))
     return own.mapInArrow(run, schema)
 
 
-def _composed(system: _System, rows: pd.DataFrame, detrend: bool, least: int) -> list[tuple]:
-    """For each of a signal's blocks, in order: first sample, the line in it (value at its start, slope), forward and backward state."""
-    n = rows["__n"].to_numpy()
+def _structs(column: pa.ListArray) -> Iterator[dict]:
+    """For each list of structs a dict of its fields: arrays of numbers, lists of arrays."""
+    ends = np.concatenate([[0], np.cumsum(pc.list_value_length(column).to_numpy())])
+    flat = column.flatten()
+    whole = {}
+    for field, child in zip(flat.type, flat.flatten(), strict=True):
+        if pa.types.is_list(child.type):
+            at = np.cumsum(pc.list_value_length(child).to_numpy())[:-1]
+            whole[field.name] = np.split(child.flatten().to_numpy(zero_copy_only=False), at) if len(child) else []
+        else:
+            whole[field.name] = child.to_numpy(zero_copy_only=False)
+    for a, b in zip(ends[:-1], ends[1:], strict=True):
+        yield {name: values[a:b] for name, values in whole.items()}
+
+
+def _composed(system: _System, rows: dict, detrend: bool, least: int) -> list[tuple]:
+    """For each of a signal's blocks, in order: first sample, the line in it (value at its start, slope), forward and backward state. ``rows`` has an array or list for each column."""
+    n = rows["__n"]
     start, all_n = np.concatenate([[0], np.cumsum(n)[:-1]]), int(n.sum())
-    total, low, high = rows["__total"].to_numpy().sum(), rows["__low"].to_numpy().min(), rows["__high"].to_numpy().max()
+    total, low, high = rows["__total"].sum(), rows["__low"].min(), rows["__high"].max()
     if all_n < least or not np.isfinite([total, low, high]).all() or low == high:
         return []
     slope = level = 0.0
     if detrend:
         middle = (all_n - 1) / 2
-        weighted = rows["__weighted"].to_numpy().sum() + (start * rows["__total"].to_numpy()).sum() - middle * total
+        weighted = rows["__weighted"].sum() + (start * rows["__total"]).sum() - middle * total
         slope = weighted / (all_n * (all_n**2 - 1) / 12)
         level = total / all_n - slope * middle
     at = level + slope * start
     space, edge = system.space, min(system.edge, all_n - 1)
-    there, back = np.stack(rows["__there"].to_list()), np.stack(rows["__back"].to_list())
+    there, back = np.stack(rows["__there"]), np.stack(rows["__back"])
     for k, size in enumerate(n.tolist()):
         (ones, ramp), (ones_back, ramp_back) = system.trend(size)
         there[k] -= at[k] * ones + slope * ramp
@@ -118,11 +148,11 @@ def _composed(system: _System, rows: pd.DataFrame, detrend: bool, least: int) ->
         for k in order:
             if held > edge:
                 break
-            parts.append(np.asarray(rows[f"__{column}"].iloc[k]))
+            parts.append(rows[f"__{column}"][k])
             held += len(parts[-1])
         return np.concatenate(parts if column == "head" else parts[::-1])
 
-    head, tail = ends("head", range(len(rows)))[: edge + 1], ends("tail", range(len(rows) - 1, -1, -1))[-edge - 1 :]
+    head, tail = ends("head", range(len(n)))[: edge + 1], ends("tail", range(len(n) - 1, -1, -1))[-edge - 1 :]
     head = head - level - slope * np.arange(edge + 1)
     tail = tail - level - slope * np.arange(all_n - edge - 1, all_n)
     before = (2 * head[0] - head[:0:-1])[None, :]
@@ -150,20 +180,31 @@ def filtered_blocks(blocks: DataFrame, keys: Sequence[str], sections: np.ndarray
     give no row; empty blocks neither. What meets in one task of a signal is a row
     of some hundred numbers for each block.
     """
-    names = list(keys)
+    names, raw = list(keys), np.ascontiguousarray(sections, dtype=np.float64).tobytes()
     states = "block long, start long, __at double, __slope double, __forward array<double>, __backward array<double>"
     schema = T.StructType([*(blocks.schema[k] for k in names), *T._parse_datatype_string(states).fields])
 
-    def compose(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        out = _composed(_System(sections), rows.sort_values("block"), detrend, least)
-        return pd.DataFrame([(*key, *r) for r in out], columns=schema.names)
-
-    found = _summed(blocks, names, sections).groupBy(*names).applyInPandas(compose, schema)
+    def compose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out, of = [], []
+            for k, rows in enumerate(_structs(batch.column(len(names)))):
+                own = _composed(_system(raw), rows, detrend, least)
+                out += own
+                of += [k] * len(own)
+            if out:
+                kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.float64()), pa.list_(pa.float64())]
+                columns = [pa.array(list(c), kind) for c, kind in zip(zip(*out, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).take(pa.array(of)) for k in range(len(names))), *columns], schema.names)
+
+    # a row for each signal, many of them in a batch: a call for each signal would cost more than its few products
+    summed = _summed(blocks, names, sections)
+    listed = F.sort_array(F.collect_list(F.struct(*[c for c in summed.columns if c not in names])))
+    found = summed.groupBy(*names).agg(listed.alias("__blocks")).mapInArrow(compose, schema)
     both = blocks.select(*names, "block", F.col("samples").cast("array<double>").alias("samples")).join(found, [*names, "block"])
     out = T.StructType([*(blocks.schema[k] for k in names), *T._parse_datatype_string("block long, start long, samples array<double>").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        space = dsp.StateSpace(sections)
+        space = dsp.state_space(sections)
         for batch in batches:
             done = []
             own = [batch.column(batch.num_columns - 5 + k).to_numpy(zero_copy_only=False) for k in range(5)]

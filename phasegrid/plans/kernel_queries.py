@@ -28,21 +28,24 @@ SLOW, SPINDLE, RIPPLE = (0.5, 1.25), (2.0, 4.0), (6.0, 11.0)
 HOURS = 256
 
 
+def _knots(spark: SparkSession, d: str) -> DataFrame:
+    return ev.knots(event_queries.table(spark, d), ["user_id"], "t", "value", event_queries.HOUR)
+
+
 def hours(spark: SparkSession, d: str) -> DataFrame:
     """``user_id, k, v``: a row for each hour from the user's first event to the last."""
-    return ev.interpolated(event_queries._grid(spark, d), ["user_id"]).select("user_id", "k", F.col("filled").alias("v"))
+    return ev.spread(_knots(spark, d), ["user_id"]).select("user_id", "k", F.col("filled").alias("v"))
 
 
 def slow_hours(spark: SparkSession, d: str) -> DataFrame:
     """``user_id, i, x``: the slow band, line taken off, zero phase."""
-    own = blocks.blocks_of_samples(hours(spark, d), ["user_id"], size=HOURS)
+    own = blocks.blocks_of_knots(_knots(spark, d), ["user_id"], HOURS)
     return blocks.samples_of_blocks(blocks.bandpassed_blocks(own, ["user_id"], *SLOW, RATE), ["user_id"])
 
 
 def recordings(spark: SparkSession, d: str) -> DataFrame:
     """``user_id, samples, marks``: a user's hours from the first event to the last, and the hours of purchases in it."""
-    grid = ev.interpolated(event_queries._grid(spark, d), ["user_id"])
-    signals = grid.groupBy("user_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "filled"))), lambda e: e["filled"]).alias("samples"), F.min("k").alias("k0"))
+    signals = _knots(spark, d).groupBy("user_id").agg(ev.joined_up().alias("samples"), F.min("low").alias("k0"))
     marks = event_queries.table(spark, d).where("event_type = 'purchase'").groupBy("user_id").agg(F.sort_array(F.collect_list(F.floor(F.col("t") / 3600))).alias("hours"))
     at = F.transform(F.coalesce("hours", F.array().cast("array<bigint>")), lambda h: (h - F.col("k0")).cast("int"))
     return signals.join(marks, "user_id", "left").select("user_id", "samples", at.alias("marks"))
@@ -81,7 +84,7 @@ def _recorded(spark, d):
     low, high = event_queries.table(spark, d).agg(F.min(hour), F.max(hour)).first()
     if low is None:
         return folder
-    values = ev.knots(event_queries.table(spark, d), ["user_id"], "t", "value", event_queries.HOUR).groupBy("user_id").agg(ev.joined_up().alias("held"), F.min("low").alias("first"), F.max("high").alias("last"))
+    values = _knots(spark, d).groupBy("user_id").agg(ev.joined_up().alias("held"), F.min("low").alias("first"), F.max("high").alias("last"))
     zeros = lambda n: F.array_repeat(F.lit(0.0), n.cast("int"))
     dense = F.concat(zeros(F.col("first") - F.lit(low)), F.transform("held", lambda v: F.coalesce(v, F.lit(0.0))), zeros(F.lit(high) - F.col("last")))
     named = values.select(F.format_string("rec%06d", F.floor(F.col("user_id") / 100)).alias("recording"), F.format_string("u%02d", F.col("user_id") % 100).alias("channel"), dense.alias("samples"))
@@ -110,9 +113,10 @@ LINE = 5.0
 
 def notched_signals(spark, d):
     """Signals without their line and without a comb of notches at ``LINE`` cycles a day, one after the other, zero phase."""
-    own = blocks.blocks_of_samples(hours(spark, d), ["user_id"], size=HOURS)
+    own = blocks.blocks_of_knots(_knots(spark, d), ["user_id"], HOURS)
     for k, f in enumerate(np.arange(LINE, RATE / 2, LINE)):
-        own = blocks.filtered_blocks(own, ["user_id"], dsp.notch(f, RATE), detrend=k == 0)
+        # a filter reads its blocks twice; the one before it shall run once
+        own = blocks.filtered_blocks(written(own, "notched") if k else own, ["user_id"], dsp.notch(f, RATE), detrend=k == 0)
     return blocks.samples_of_blocks(own, ["user_id"]).select("user_id", F.col("i").cast("int").alias("i"), F.round("x", 4).alias("x"))
 
 
@@ -126,15 +130,14 @@ def night_blocks(spark, d):
     Gaps of an epoch are filled before its spectrum is taken; one with too few
     values has no ratio.
     """
-    grid = ev.interpolated(event_queries._grid(spark, d), ["user_id"])
+    grid = ev.spread(_knots(spark, d), ["user_id"])
     epoch = F.floor((F.col("k") - F.min("k").over(Window.partitionBy("user_id"))) / EPOCH_HOURS)
     cut = grid.withColumn("epoch", epoch)
     enough = cut.groupBy("user_id", "epoch").agg(F.count("*").alias("n"), F.avg(F.col("v").isNotNull().cast("double")).alias("share")).where(f"n = {EPOCH_HOURS} and share >= {OBSERVED}")
     rows = cut.join(enough.select("user_id", "epoch"), ["user_id", "epoch"]).select("user_id", "epoch", "k", F.col("filled").alias("v"))
     powers = samples.welch(samples.numbered(rows, ["user_id", "epoch"]), ["user_id", "epoch"], 24, RATE)
     ratio = samples.band_shares(powers, ["user_id", "epoch"], {"ratio": DELTA}, DELTA_WHOLE)
-    limit = ratio.groupBy("user_id").agg(F.percentile("ratio", F.lit(AWAKE)).alias("limit"))
-    staged = ratio.join(limit, "user_id").select("user_id", F.col("epoch").alias("k"), (F.col("ratio") >= F.col("limit")).alias("nrem"))
+    staged = rollup.with_percentile(ratio, ["user_id"], "ratio", AWAKE, "limit").select("user_id", F.col("epoch").alias("k"), (F.col("ratio") >= F.col("limit")).alias("nrem"))
     runs = ev.capped_runs(staged, ["user_id"], "nrem", 3)
     return runs.select("user_id", (F.col("first_k") * EPOCH_HOURS).alias("start_h"), (F.col("n") * EPOCH_HOURS).alias("dur_h"))
 
@@ -150,7 +153,8 @@ def welch_kernel(spark, d):
 
 def peaks_kernel(spark, d):
     """Troughs of the slow band's z-score, a standard deviation deep or more and 0.6 days apart."""
-    z = samples.scored(slow_hours(spark, d), ["user_id"], "x").withColumn("x", -F.col("x"))
+    own = written(slow_hours(spark, d), "slow")
+    z = samples.scored(own, ["user_id"], "x").withColumn("x", -F.col("x"))
     found = samples.apart(samples.local_maxima(z, ["user_id"], "i", "x", 1.0), ["user_id"], 0.6 * RATE)
     return found.select("user_id", F.col("at").cast("int").alias("at"), F.round("height", 6).alias("depth"))
 

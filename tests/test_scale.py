@@ -81,6 +81,20 @@ def test_knots_give_the_filled_grid(gaps):
     assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
 
 
+def test_blocks_of_knots(gaps):
+    own = ev.knots(gaps, ["u"], "t", "x", 1.0)
+    want = blocks.blocks_of_samples(ev.spread(own, ["u"]), ["u"], "k", "filled", 3)
+    assert sorted(map(repr, blocks.blocks_of_knots(own, ["u"], 3).collect())) == sorted(map(repr, want.collect()))
+
+
+def test_hours_are_shuffled_as_events_only(spark):
+    """The grid was shuffled and sorted as a row for each hour, twice."""
+    for name in ("hours", "recordings"):
+        text = getattr(kernel_queries, name)(spark, DIR)._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin [user_id" not in text.split("marks")[0] or name == "recordings", name
+    assert event_queries.HOUR == 3600.0 and "Join" not in plan(kernel_queries.hours(spark, DIR))
+
+
 def test_recordings_written_without_looking_up_each_hour(spark, monkeypatch):
     """Each hour was looked up in a map of all others."""
     seen = []
