@@ -138,25 +138,72 @@ def signed_rank(df: DataFrame, keys: Sequence[str], difference: str) -> DataFram
     return ranked.groupBy(*keys).agg(F.sum("c").alias("n"), F.sum(F.col("up") * F.col("r")).alias("w_plus"), F.sum((F.col("c") - F.col("up")) * F.col("r")).alias("w_minus"), F.sum(t * t * t - t).alias("ties"))
 
 
+#: Groups whose counts are kept running side by side; the rows of a key with more groups are read once for every so many.
+WIDE = 8
+#: Rows of a table that is broadcast.
+FEW = 100_000
+
+
+def in_ranges(hist: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """``hist`` with ``__range``: ranges of a key's values, ascending, each with about ``FIT`` rows at most; equal values share one.
+
+    ``hist`` is counted and read again, so it has to be written. Keys that fit one range have
+    no cuts, and the others one for each ``FIT`` rows: that is what is broadcast.
+    """
+    names = list(keys)
+    most = hist.groupBy(*names).count().agg(F.max("count")).first()[0] or 0
+    if most <= FIT:
+        return hist.withColumn("__range", F.lit(0))
+    ranges = most // FIT + 1
+    shares = F.array(*[F.lit(k / ranges) for k in range(1, ranges)])
+    cuts = hist.groupBy(*names).agg(F.percentile_approx(value, shares, F.lit(20 * ranges)).alias("__cuts"), F.floor(F.lit(ranges * FIT) / F.count("*")).alias("__every"))
+    cuts = F.broadcast(cuts.where(F.col("__every") < ranges).select(*names, F.filter("__cuts", lambda c, k: (k + 1) % F.col("__every") == 0).alias("__cuts")))
+    own = hist.join(cuts, names, "left") if names else hist.crossJoin(cuts)
+    # the cuts up to a value are counted by halving; what lies beyond the last is null
+    halves = F.array(*[F.lit(1 << k) for k in reversed(range(ranges.bit_length()))])
+    below = F.aggregate(halves, F.lit(0), lambda at, step: F.when(F.get("__cuts", at + step - 1) <= F.col(value), at + step).otherwise(at))
+    return own.withColumn("__range", below).drop("__cuts")
+
+
 def rank_sum(df: DataFrame, keys: Sequence[str], group: str, value: str) -> DataFrame:
     """``*keys, a, b, n_a, n_b, u, ties``: the rank-sum statistic of each pair of groups a < b.
 
-    ``ties`` is the sum of t^3 - t over the pair's tied values. Groups of one key are
-    joined on inequality after they have been reduced to histograms of (group,
-    value), so what is joined is distinct values. Null values are left out.
+    ``ties`` is the sum of t^3 - t over the pair's tied values. A key's values are put in
+    order once for all its groups: a row meets the running counts of ``WIDE`` groups,
+    and what is summed up for each range and group tells all pairs. With L(a, b) the pairs
+    of a row of a and one of b that is not larger, u is (n_a n_b + L(a, b) - L(b, a)) / 2.
+    Null values are left out.
     """
-    hist = df.where(F.col(value).isNotNull()).groupBy(*keys, group, value).agg(F.count("*").alias("c"))
-    groups = hist.groupBy(*keys, group).agg(F.sum("c").alias("n"))
-    pairs = groups.select(*keys, F.col(group).alias("a"), F.col("n").alias("n_a")).join(groups.select(*keys, F.col(group).alias("b"), F.col("n").alias("n_b")), list(keys)).where("a < b") if keys else (
-        groups.select(F.col(group).alias("a"), F.col("n").alias("n_a")).join(groups.select(F.col(group).alias("b"), F.col("n").alias("n_b")), F.col("a") < F.col("b"))
-    )
-    # every value of either group, with the counts of both
-    none = F.lit(0).cast("long")
-    a = pairs.join(hist.withColumnRenamed(group, "a"), [*keys, "a"]).select(*keys, "a", "b", "n_a", "n_b", value, F.col("c").alias("ca"), none.alias("cb"))
-    b = pairs.join(hist.withColumnRenamed(group, "b"), [*keys, "b"]).select(*keys, "a", "b", "n_a", "n_b", value, none.alias("ca"), F.col("c").alias("cb"))
-    merged = a.unionByName(b).groupBy(*keys, "a", "b", "n_a", "n_b", value).agg(F.sum("ca").alias("ca"), F.sum("cb").alias("cb"))
-    lower = with_running_counts(merged, [*keys, "a", "b"], value, ["cb"]).withColumn("t", (F.col("ca") + F.col("cb")).cast("double"))
-    return lower.groupBy(*keys, "a", "b", "n_a", "n_b").agg(F.sum(F.col("ca") * (F.col("below_cb") + F.col("cb") / 2)).alias("u"), F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).alias("ties"))
+    names = list(keys)
+    own = df.where(F.col(value).isNotNull() & F.col(group).isNotNull())
+    hist = written(own.groupBy(*names, F.col(group).alias("__g"), F.col(value).alias("__v")).agg(F.count("*").alias("__c")), "ranks")
+    c, slots = F.col("__c").cast("double"), range(WIDE)
+    groups = hist.groupBy(*names, "__g").agg(F.sum("__c").alias("__n"), F.sum(c * c * c).alias("__cubes"))
+    groups = groups.withColumn("__at", F.row_number().over(Window.partitionBy(*names).orderBy("__g")) - 1).withColumn("__last", F.max("__at").over(Window.partitionBy(*names)))
+    groups = F.broadcast(groups) if groups.limit(FEW + 1).count() <= FEW else groups
+    blocks = F.explode(F.sequence(F.lit(0), F.floor(F.col("__last") / WIDE).cast("int"))).alias("__block")
+    rows = in_ranges(hist, names, "__v").join(groups.select(*names, "__g", "__at", "__last"), [*names, "__g"]).select(*names, blocks, "__range", "__v", "__at", "__c")
+
+    def of(slot: int, count: str) -> Column:
+        return F.sum(F.when(F.col("__at") - F.col("__block") * WIDE == slot, F.col(count)).otherwise(0))
+
+    cell = [*names, "__block", "__range"]
+    inside = Window.partitionBy(*cell).orderBy("__v")
+    upto, same = inside.rangeBetween(Window.unboundedPreceding, Window.currentRow), inside.rangeBetween(Window.currentRow, Window.currentRow)
+    met = rows.select(*cell, "__at", "__c", *[of(s, "__c").over(upto).alias(f"__upto{s}") for s in slots], *[of(s, "__c").over(same).alias(f"__same{s}") for s in slots])
+    sums = met.groupBy(*cell, "__at").agg(F.sum("__c").alias("__n"), *[F.sum(c * F.col(f"__upto{s}")).alias(f"__l{s}") for s in slots], *[F.sum(c * c * F.col(f"__same{s}")).alias(f"__t{s}") for s in slots])
+    # what is left has a row for each range and group; whole numbers of any size
+    before = Window.partitionBy(*names, "__block").orderBy("__range").rangeBetween(Window.unboundedPreceding, -1)
+    placed = sums.select("*", *[F.coalesce(of(s, "__n").over(before), F.lit(0)).cast("decimal(19,0)").alias(f"__start{s}") for s in slots])
+    n = F.col("__n").cast("decimal(19,0)")
+    each = [F.struct((F.col("__block") * WIDE + s).alias("__to"), (F.col(f"__l{s}").cast("decimal(38,0)") + n * F.col(f"__start{s}")).alias("__l"), F.col(f"__t{s}").alias("__t")) for s in slots]
+    ahead = F.col("__at") < F.col("__to")
+    pairs = placed.select(*names, "__at", F.inline(F.array(*each))).where("__at <> __to").groupBy(*names, F.least("__at", "__to").alias("__a"), F.greatest("__at", "__to").alias("__b"))
+    pairs = pairs.agg(F.sum(F.when(ahead, F.col("__l")).otherwise(-F.col("__l"))).alias("__d"), F.sum("__t").alias("__t"))
+    a, b = (groups.select(*names, F.col("__at").alias(f"__{x}"), F.col("__g").alias(x), F.col("__n").alias(f"n_{x}"), F.col("__cubes").alias(f"__cubes_{x}")) for x in "ab")
+    u = (F.col("n_a").cast("decimal(19,0)") * F.col("n_b").cast("decimal(19,0)") + F.col("__d")).cast("double") / 2
+    ties = F.col("__cubes_a") + F.col("__cubes_b") + 3 * F.col("__t") - F.col("n_a") - F.col("n_b")
+    return pairs.join(a, [*names, "__a"]).join(b, [*names, "__b"]).select(*names, "a", "b", "n_a", "n_b", u.alias("u"), ties.alias("ties"))
 
 
 def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:

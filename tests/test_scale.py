@@ -103,3 +103,51 @@ def test_recordings_written_without_looking_up_each_hour(spark, monkeypatch):
     assert catalog.QUERIES["edf_range_scan"](spark, DIR).count() and "map_from_entries" not in plan(seen[0])
     lengths = seen[0].select(F.size("samples").alias("n")).distinct().collect()
     assert len(lengths) == 1
+
+
+def rows_of_joins(df):
+    """Rows that each join of a collected frame gave."""
+    found, left = [], [df._jdf.queryExecution().executedPlan()]
+    while left:
+        p = left.pop()
+        name = p.nodeName()
+        if name == "AdaptiveSparkPlan":
+            left.append(p.executedPlan())
+        elif name.endswith("QueryStage"):
+            left.append(p.plan())
+        else:
+            left += [p.children().apply(k) for k in range(p.children().size())]
+            if "Join" in name:
+                found.append(p.metrics().apply("numOutputRows").value())
+    return found
+
+
+def test_rank_sums_have_no_row_for_each_pair_of_groups(spark):
+    """Each value was copied for every other group, in one task where the values were few enough to be broadcast."""
+    values = spark.range(6000).select((F.col("id") % 12).alias("g"), F.xxhash64("id").alias("v"))
+    u = rollup.rank_sum(values, [], "g", "v")
+    assert len(u.collect()) == 66
+    assert max(rows_of_joins(u)) <= 6000
+
+
+@pytest.mark.parametrize("fit", [7, 100_000])
+def test_rank_sums_over_ranges(spark, monkeypatch, fit):
+    """More groups than are counted side by side, ties, keys of very different sizes, NaN, nulls, and ranges of a few values."""
+    monkeypatch.setattr(rollup, "FIT", fit)
+    r = np.random.default_rng(1)
+    rows = [("big", f"g{r.integers(19):02}", float(v)) for v in r.integers(0, 90, 700)]
+    rows += [("small", g, v) for g, v in (("x", 1.0), ("y", 1.0), ("y", float("nan")), ("x", float("nan")), ("z", -0.0), ("x", 0.0), ("z", None), ("w", None), (None, 3.0))]
+    rows += [("alone", "x", 1.0), (None, "x", 1.0), (None, "y", 2.0)]
+    got = {(x.k, x.a, x.b): (x.n_a, x.n_b, x.u, x.ties) for x in rollup.rank_sum(spark.createDataFrame(rows, "k string, g string, v double"), ["k"], "g", "v").collect()}
+    sides = {}
+    for k, g, v in rows:
+        if k is not None and g is not None and v is not None:
+            sides.setdefault((k, g), []).append(np.inf if np.isnan(v) else v)
+    want = {}
+    for (k, a), x in sides.items():
+        for (other, b), y in sides.items():
+            if k == other and a < b:
+                sizes = np.unique([*x, *y], return_counts=True)[1].astype(float)
+                want[k, a, b] = (len(x), len(y), sum((p > q) + (p == q) / 2 for p in x for q in y), float(np.sum(sizes**3 - sizes)))
+    assert got == want and len(want) == 171 + 3
+    assert rollup.rank_sum(spark.createDataFrame([], "k string, g string, v double"), [], "g", "v").count() == 0
