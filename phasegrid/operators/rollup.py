@@ -52,20 +52,41 @@ def paired_states(df: DataFrame, keys: Sequence[str], state: str, value: str, st
     return df.groupBy(*keys).pivot(state, list(states)).agg(F.avg(value)).dropna(subset=list(states))
 
 
-#: Ranges that the values of a key are dealt to.
-RANGES = 64
+#: Distinct values of a key that are put in order in one task.
+FIT = 100_000
 
 
-def with_running_counts(hist: DataFrame, keys: Sequence[str], value: str, counts: Sequence[str], ranges: int = RANGES) -> DataFrame:
-    """``hist`` with ``below_<c>`` for each of ``counts``: the sum of c over the key's rows with a smaller value.
+def in_ranges(hist: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """``hist`` with ``__range``: ranges of a key's values, ascending, each with about ``FIT`` rows at most; equal values share one.
 
-    ``hist`` has one row for each key and value. The values of a key are dealt to
-    ranges at approximate quantiles; sums run inside a range, and a range starts
-    from the totals of those before it. So a key's values are never all in one task.
+    ``hist`` is counted and read again, so it has to be written. Keys that fit one range have
+    no cuts, and the others one for each ``FIT`` rows: that is what is broadcast.
     """
+    names = list(keys)
+    most = hist.groupBy(*names).count().agg(F.max("count")).first()[0] or 0
+    if most <= FIT:
+        return hist.withColumn("__range", F.lit(0))
+    ranges = most // FIT + 1
     shares = F.array(*[F.lit(k / ranges) for k in range(1, ranges)])
-    cuts = hist.groupBy(*keys).agg(F.percentile_approx(value, shares, F.lit(20 * ranges)).alias("__cuts"))
-    dealt = hist.join(cuts, list(keys)).withColumn("__range", F.size(F.filter("__cuts", lambda c: c <= F.col(value)))).drop("__cuts")
+    cuts = hist.groupBy(*names).agg(F.percentile_approx(value, shares, F.lit(20 * ranges)).alias("__cuts"), F.floor(F.lit(ranges * FIT) / F.count("*")).alias("__every"))
+    cuts = cuts.where(F.col("__every") < ranges).select(*names, F.filter("__cuts", lambda c, k: (k + 1) % F.col("__every") == 0).alias("__cuts"))
+    # approximate quantiles taken again could be others
+    cuts = F.broadcast(written(cuts, "cuts"))
+    own = hist.join(cuts, names, "left") if names else hist.crossJoin(cuts)
+    # the cuts up to a value are counted by halving; what lies beyond the last is null
+    halves = F.array(*[F.lit(1 << k) for k in reversed(range(ranges.bit_length()))])
+    below = F.aggregate(halves, F.lit(0), lambda at, step: F.when(F.get("__cuts", at + step - 1) <= F.col(value), at + step).otherwise(at))
+    return own.withColumn("__range", below).drop("__cuts")
+
+
+def with_running_counts(hist: DataFrame, keys: Sequence[str], value: str, counts: Sequence[str]) -> DataFrame:
+    """``hist`` with ``below_<c>`` for each of ``counts``: the sum of c over the key's rows with a smaller value.
+
+    ``hist`` has one row for each key and value, and is written. Sums run inside a
+    range of ``in_ranges``, and a range starts from the totals of those before it. So
+    a key's values are never all in one task.
+    """
+    dealt = in_ranges(written(hist, "counts"), keys, value)
     before = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     zero = F.lit(0).cast("long")
     totals = dealt.groupBy(*keys, "__range").agg(*[F.sum(c).alias(f"__{c}") for c in counts])
@@ -76,8 +97,8 @@ def with_running_counts(hist: DataFrame, keys: Sequence[str], value: str, counts
     return placed.select(*hist.columns, *running)
 
 
-#: Distinct values of a key that are put in order in one task.
-FIT = 100_000
+#: Ranges that the values of a key are dealt to, when percentiles are looked for.
+RANGES = 64
 
 
 def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, shares: Sequence[float]) -> DataFrame:
@@ -144,27 +165,6 @@ WIDE = 8
 FEW = 100_000
 
 
-def in_ranges(hist: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """``hist`` with ``__range``: ranges of a key's values, ascending, each with about ``FIT`` rows at most; equal values share one.
-
-    ``hist`` is counted and read again, so it has to be written. Keys that fit one range have
-    no cuts, and the others one for each ``FIT`` rows: that is what is broadcast.
-    """
-    names = list(keys)
-    most = hist.groupBy(*names).count().agg(F.max("count")).first()[0] or 0
-    if most <= FIT:
-        return hist.withColumn("__range", F.lit(0))
-    ranges = most // FIT + 1
-    shares = F.array(*[F.lit(k / ranges) for k in range(1, ranges)])
-    cuts = hist.groupBy(*names).agg(F.percentile_approx(value, shares, F.lit(20 * ranges)).alias("__cuts"), F.floor(F.lit(ranges * FIT) / F.count("*")).alias("__every"))
-    cuts = F.broadcast(cuts.where(F.col("__every") < ranges).select(*names, F.filter("__cuts", lambda c, k: (k + 1) % F.col("__every") == 0).alias("__cuts")))
-    own = hist.join(cuts, names, "left") if names else hist.crossJoin(cuts)
-    # the cuts up to a value are counted by halving; what lies beyond the last is null
-    halves = F.array(*[F.lit(1 << k) for k in reversed(range(ranges.bit_length()))])
-    below = F.aggregate(halves, F.lit(0), lambda at, step: F.when(F.get("__cuts", at + step - 1) <= F.col(value), at + step).otherwise(at))
-    return own.withColumn("__range", below).drop("__cuts")
-
-
 def rank_sum(df: DataFrame, keys: Sequence[str], group: str, value: str) -> DataFrame:
     """``*keys, a, b, n_a, n_b, u, ties``: the rank-sum statistic of each pair of groups a < b.
 

@@ -1,5 +1,7 @@
 """What has to hold for large tables: plans without joins of spread-out rows, kernels in pieces, gaps filled from knots, percentiles by the SQL's rule."""
 
+import re
+
 import duckdb
 import numpy as np
 import pyarrow as pa
@@ -18,6 +20,10 @@ def plan(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def plan_run(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_averages_of_windows_join_nothing(spark):
     """Windows were found by joining a row for each of their points, which Spark took for a small table and broadcast."""
     assert "Join" not in plan(catalog.QUERIES["qc_averages"](spark, DIR)).replace("LeftOuter", "")
@@ -151,3 +157,19 @@ def test_rank_sums_over_ranges(spark, monkeypatch, fit):
                 want[k, a, b] = (len(x), len(y), sum((p > q) + (p == q) / 2 for p in x for q in y), float(np.sum(sizes**3 - sizes)))
     assert got == want and len(want) == 171 + 3
     assert rollup.rank_sum(spark.createDataFrame([], "k string, g string, v double"), [], "g", "v").count() == 0
+
+
+def test_running_counts_do_not_bring_a_key_together(spark, monkeypatch):
+    """Values were shuffled by their key to meet their cuts."""
+    monkeypatch.setattr(rollup, "FIT", 50)
+    hist = spark.range(400).select((F.col("id") % 7 == 0).alias("k"), F.pmod(F.xxhash64("id"), F.lit(10**6)).alias("v"), (F.col("id") % 3 + 1).alias("c")).groupBy("k", "v").agg(F.sum("c").alias("c"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as for tables beyond it
+    try:
+        got = rollup.with_running_counts(hist, ["k"], "v", ["c"])
+        found = {(r.k, r.v): r.below_c for r in got.collect()}
+        assert not re.search(r"(SortMerge|ShuffledHash)Join \[k#\d+\]", plan_run(got))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    rows = hist.collect()
+    want = {(r.k, r.v): sum(x.c for x in rows if x.k == r.k and x.v < r.v) for r in rows}
+    assert found == want
